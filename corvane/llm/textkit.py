@@ -165,3 +165,19 @@ def code_points(data: np.ndarray) -> np.ndarray:
     out = np.zeros(len(data) + 1, np.int64)
     np.cumsum((data & 0xC0) != 0x80, out=out[1:])
     return out
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, codes: np.ndarray = _CODES) -> np.ndarray:
+    """Hash of the bytes of each span; the spans come in ascending order and do not overlap."""
+    out, done = np.empty(len(starts), _U), 0
+    while done < len(starts):
+        lo = int(starts[done])
+        k = max(done + 1, int(np.searchsorted(ends, lo + _BLOCK, "right")))
+        n = int(ends[k - 1]) - lo
+        pow_, inv = (_POW, _INV) if n <= _BLOCK else (_powers(_BASE, n + 1), _powers(_BASE_INV, n + 1))
+        sums = np.zeros(n + 1, _U)
+        np.cumsum(codes[data[lo : lo + n]] * pow_[:n], out=sums[1:])
+        s, e = starts[done:k] - lo, ends[done:k] - lo
+        out[done:k] = mix((sums[e] - sums[s]) * inv[s] + (e - s).astype(_U))
+        done = k
+    return out
