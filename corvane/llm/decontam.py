@@ -206,21 +206,47 @@ class Plan:
         return [(d, k, start - int(firsts[d]), n, edits) for (d, k), (edits, start, n) in sorted(best.items())]
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """One row for each document and item that it holds: doc_id, item_id, first_word, n_words, edits, similarity."""
+def _plans(docs: DataFrame, benchmark: DataFrame) -> Iterator:
+    """Broadcast plans of the blocks of items."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
     blocks = max(1, -(-items.count() // ITEM_BLOCK))
+    for b in range(blocks):
+        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
+        yield docs.sparkSession.sparkContext.broadcast(Plan(sorted((r["item_id"] if r["item_id"] is not None else -1, r["text"]) for r in rows)))
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """One row for each document and item that it holds: doc_id, item_id (-1 for null), first_word, n_words, edits, similarity."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     fields = "doc_id long, item_id long, first_word long, n_words long, edits long, similarity double"
     found = None
-    for b in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
-        sent = docs.sparkSession.sparkContext.broadcast(Plan(sorted((r["item_id"] if r["item_id"] is not None else -1, r["text"]) for r in rows)))
+    for sent in _plans(docs, benchmark):
         part = own.mapInArrow(_finder(sent), fields)
         found = part if found is None else found.unionByName(part)
     return found
 
 
+def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that hold no item, with all their columns; each row is judged by its own text, without a shuffle."""
+    for sent in _plans(docs, benchmark):
+        docs = docs.mapInArrow(_cleaner(sent), docs.schema)
+    return docs
+
+
+def _cleaner(sent):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plan: Plan = sent.value
+        for whole in batches:
+            for batch in K.slices(whole, "text"):
+                data, offs, _ = K.string_buffers(batch.column("text"))
+                words = K.Words(data, offs, WORD_BYTE, K.FOLDED)
+                keep = np.ones(batch.num_rows, bool)
+                keep[[g[0] for g in plan.search(words.hashes, words.first)] if plan.items else []] = False
+                yield batch.filter(pa.array(keep))
+
+    return run
+
+
 def _finder(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plan: Plan = sent.value
@@ -237,11 +263,5 @@ def _finder(sent):
     return run
 
 
-def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that hold no item; rows with a null doc_id go with a null match."""
-    bad = contaminated(docs, benchmark).select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(bad.hint("merge"), docs["doc_id"].cast("long").eqNullSafe(F.col("bad_id")), "left_anti")
-
-
 def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -245,6 +245,26 @@ def identify(docs: DataFrame, net: ByteGRU | None) -> DataFrame:
     return own.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
+#: A document whose language is less likely than this is rejected, as is one without a letter.
+LEAST_SCORE = 0.35
+
+
+def identified(docs: DataFrame, net: ByteGRU | None) -> DataFrame:
+    """The rows of ``docs`` whose language is known well enough, with all their columns. Without a network nothing is rejected but texts without letters."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in K.slices(whole, "text", 2 << 20):
+                labels, score = predict(net, batch.column("text"))
+                if net:
+                    keep = [x != UNKNOWN and s >= LEAST_SCORE for x, s in zip(labels, score.tolist())]
+                else:
+                    keep = [bool(x) and any(map(str.isalpha, x)) for x in batch.column("text").to_pylist()]
+                yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return identify(docs, learn(docs))

@@ -27,6 +27,8 @@ WEIGHTS = (1, 2, 3)
 MOST = 3
 #: Hash bits of each level of buckets, and of all levels.
 BITS, HASH_BITS = 12, 48
+#: Sources whose plan is broadcast, at most.
+BROADCAST_SOURCES = 100_000
 _WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -86,29 +88,36 @@ def _thresholds(sized: DataFrame, plan: DataFrame, side) -> DataFrame:
     return last.select("source", F.when(F.col("after") - F.col("budget") < F.col("budget") - F.col("below"), F.col("low") + 1).otherwise(F.col("low")).alias("at"))
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
-    """One row a document: doc_id, size, source, source_size, target, times (how often it is taken), taken."""
+def _planned(docs: DataFrame, weights, most: int) -> tuple[DataFrame, DataFrame]:
+    """The sizes and hashes of all rows, and for each source (``of``) its target, whole times and threshold, ready to be joined."""
     sized = settle(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words("text").alias("size")).withColumn("hash", _hash()), "mix-sizes")
     plan = settle(
         source_targets(sized, weights, most)
         .withColumn("whole", F.when(F.col("source_size") > 0, F.least(F.lit(float(most)), F.floor(F.col("target") / F.col("source_size")))).otherwise(0).cast("long"))
         .withColumn("budget", F.col("target") - F.col("whole") * F.col("source_size")), "mix-plan")
-    small = plan.count() <= 100_000  # rows of a source or two numbers each; beyond that, plain joins
-    side = F.broadcast if small else (lambda x: x.hint("merge"))
+    # a row of a few numbers a source; beyond the bound, plain joins
+    side = F.broadcast if plan.count() <= BROADCAST_SOURCES else (lambda x: x.hint("merge"))
     limits = _thresholds(sized, plan.where("budget > 0 AND source_size > 0").select("source", "budget"), side)
-    targets = plan.join(limits.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")), "left").drop("of").withColumnRenamed("source", "of")
-    times = F.col("whole") + F.when(F.col("hash") < F.coalesce("at", F.lit(0)), 1).otherwise(0)
-    return sized.join(side(targets), F.col("source").eqNullSafe(F.col("of"))).select("doc_id", "size", "source", "source_size", "target", times.alias("times"), (times * F.col("size")).alias("taken"))
+    targets = plan.join(limits.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")), "left").select(F.col("source").alias("of"), "source_size", "target", "whole", F.coalesce("at", F.lit(0)).alias("at"))
+    return sized, side(targets)
+
+
+_TIMES = "whole + CASE WHEN hash < at THEN 1 ELSE 0 END"
+
+
+def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
+    """One row a document: doc_id, size, source, source_size, target, times (how often it is taken), taken."""
+    sized, targets = _planned(docs, weights, most)
+    joined = sized.join(targets, F.col("source").eqNullSafe(F.col("of"))).withColumn("times", F.expr(_TIMES))
+    return joined.select("doc_id", "size", "source", "source_size", "target", "times", (F.col("times") * F.col("size")).alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
-    """The rows of ``docs`` as often as the mix takes them."""
-    plan = mix(docs, weights, most).groupBy(F.col("doc_id").alias("of")).agg(F.max("times").alias("times_taken"))
-    names = docs.columns
-    return (
-        docs.join(plan.hint("merge"), docs["doc_id"].cast("long").eqNullSafe(F.col("of"))).where("times_taken > 0")
-        .withColumn("copy_ix", F.explode(F.array_repeat(F.lit(1), F.col("times_taken").cast("int")))).select(*[docs[c] for c in names])
-    )
+    """The rows of ``docs`` as often as the mix takes them; texts are not shuffled while the sources can be broadcast."""
+    _, targets = _planned(docs, weights, most)
+    own = docs.select(F.struct(*docs.columns).alias("row"), F.col("source").cast("string").alias("key"), F.col("doc_id").cast("long").alias("doc_id")).withColumn("hash", _hash())
+    joined = own.join(targets, F.col("key").eqNullSafe(F.col("of"))).withColumn("times", F.expr(_TIMES))
+    return joined.select("row", F.explode(F.array_repeat(F.lit(1), F.col("times").cast("int")))).select("row.*")
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

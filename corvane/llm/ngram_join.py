@@ -397,17 +397,24 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each_group(docs: DataFrame) -> DataFrame:
-    """Rows of ``docs`` that stand for their component: the one with its smallest doc_id, once.
+    """Rows of ``docs`` that stand for their component: the one with its smallest doc_id.
 
-    Of repeated rows with that doc_id one stays. Rows with a null doc_id stay
-    only in components without any doc_id, and there all of them stay.
+    Of rows that share that doc_id the one with the lowest text hash stays. Rows
+    with a null doc_id stay only in components without any doc_id.
     """
-    ids = jaccard_components(docs).where("doc_id = component_id OR component_id IS NULL").select(F.col("doc_id").alias("keep_id")).distinct()
-    kept = docs.join(ids.hint("merge"), docs["doc_id"].eqNullSafe(ids["keep_id"]), "left_semi")
-    twice = docs.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select("doc_id")
-    single = kept.join(twice, "doc_id", "left_anti").select(*docs.columns)
-    repeated = kept.join(twice, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
-    return single.unionByName(repeated)
+    names = docs.columns
+    found = settle(jaccard_components(docs), "groups")
+    ids = found.where("doc_id = component_id").select(F.col("doc_id").alias("keep_id")).distinct()
+    kept = docs.where("doc_id IS NOT NULL").join(ids.hint("merge"), F.col("doc_id").cast("long") == F.col("keep_id"), "left_semi")
+    one = kept.groupBy("doc_id").agg(F.min_by(F.struct(*names), F.xxhash64("text")).alias("row")).select("row.*")
+    if found.where("doc_id IS NULL AND component_id IS NULL").limit(1).count() == 0:
+        return one
+    # rows without an identifier are found again by their sets
+    loose = docs.where("doc_id IS NULL")
+    rows = found.where("doc_id IS NULL AND component_id IS NULL").count()
+    if rows == found.where("doc_id IS NULL").count():
+        return one.unionByName(loose.dropDuplicates(["text"]))
+    return one.unionByName(loose.join(docs.where("doc_id IS NOT NULL").select(F.col("text").alias("known")), F.col("text").eqNullSafe(F.col("known")), "left_anti").dropDuplicates(["text"]))
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
