@@ -6,9 +6,9 @@ when 100 * |A and B| >= 75 * |A or B|. The join returns all that links decide
 
 1. ``facts``: set size, set fingerprint and min-hash bands of every document,
    and the shingles that are frequent somewhere. Equal sets become one class.
-2. Classes that share a band are compared with one pivot of the band, so a group
-   of n near copies costs n exact comparisons. Those that link to a pivot carry
-   its label.
+2. Classes that share a band are compared with the band's pivots, so a group of n
+   near copies costs a few times n exact comparisons. Classes that these links
+   connect carry one label.
 3. The incidence of each class is cut to the columns that any partner must share
    (the first |A| - ceil(0.75 |A|) + 1 shingles in a fixed order, rare first),
    dealt into column blocks and multiplied block by block. Pairs with one label
@@ -34,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from corvane.llm import textkit as K
 from corvane.llm.components import component_labels
@@ -43,8 +43,8 @@ from corvane.llm.store import discard, settle, settle_at, table
 SHINGLE = 5
 #: Threshold NUM / DEN.
 NUM, DEN = 75, 100
-#: Bands of two min-hashes each, for the pivots.
-BANDS = 3
+#: Bands of two min-hashes each, pivots of a band, and min-hashes that a class and its pivot must share to be compared.
+BANDS, PIVOTS, AGREE = 8, 3, 9
 #: Rows of the list of frequent shingles, at most.
 FREQUENT = 1 << 17
 #: Shingle hashes that a worker looks at together for frequent ones.
@@ -56,7 +56,7 @@ FILTER_BITS = 1 << 24
 
 _U = np.uint64
 _PERM = np.random.default_rng(7).integers(1, 2**63, (2 * BANDS, 2), dtype=_U) * _U(2) + _U(1)
-_FACTS = "doc_id long, n long, node long, band array<long>, hot long, cnt long"
+_FACTS = "doc_id long, n long, node long, mins array<int>, hot long, cnt long"
 
 
 def _id_column(batch: pa.RecordBatch) -> pa.Array:
@@ -80,22 +80,22 @@ def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         few = cnt >= 3
         hot, cnt = every[at][few].view(np.int64), cnt[few]
         none = pa.nulls(len(hot), pa.int64())
-        return pa.record_batch([none, none, none, pa.nulls(len(hot), pa.list_(pa.int64())), pa.array(hot), pa.array(cnt.astype(np.int64))], names=["doc_id", "n", "node", "band", "hot", "cnt"])
+        return pa.record_batch([none, none, none, pa.nulls(len(hot), pa.list_(pa.int32())), pa.array(hot), pa.array(cnt.astype(np.int64))], names=["doc_id", "n", "node", "mins", "hot", "cnt"])
 
     for whole in batches:
         for batch in K.slices(whole, "text"):
             data, offs, _ = K.string_buffers(batch.column("text"))
-            n, node, bands = [], [], []
+            n, node, mins = [], [], []
             for own in K.shingle_sets(K.Words(data, offs), SHINGLE):
                 n.append(len(own))
                 if not len(own):
                     node.append(None)
-                    bands.append(None)
+                    mins.append(None)
                     continue
                 fp = int(_fingerprint(own).view(np.int64))
                 node.append(fp)
-                low = [int((((own * a) ^ (own >> _U(29))) * b).min()) for a, b in _PERM]
-                bands.append([int(K.mix(np.array([low[2 * k] * 31 + low[2 * k + 1] * 17 + k & (1 << 64) - 1], _U))[0].view(np.int64)) for k in range(BANDS)])
+                low = [int((((own * a) ^ (own >> _U(29))) * b).min() >> _U(33)) for a, b in _PERM]
+                mins.append(low)
                 if fp not in seen:
                     seen.add(fp)
                     pool.append(own)
@@ -105,7 +105,7 @@ def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         pool.clear()
                         seen.clear()
                         held = 0
-            yield pa.record_batch([_id_column(batch), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.nulls(len(n), pa.int64()), pa.nulls(len(n), pa.int64())], names=["doc_id", "n", "node", "band", "hot", "cnt"])
+            yield pa.record_batch([_id_column(batch), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(mins, pa.list_(pa.int32())), pa.nulls(len(n), pa.int64()), pa.nulls(len(n), pa.int64())], names=["doc_id", "n", "node", "mins", "hot", "cnt"])
     if pool:
         yield frequent()
 
@@ -357,21 +357,39 @@ def _links(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
     return two.select("a", "b", "items_a", "items_b").mapInArrow(_verify, "u long, v long").distinct()
 
 
+def _stars(classes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of classes with pivots of their bands: a few for each class, whatever the size of its group.
+
+    Pivots are the classes that share their bands with the most others: near
+    copies differ most from one another and least from the text they come from.
+    """
+    signs = F.array(*(F.xxhash64(F.lit(k), F.col("mins")[2 * k], F.col("mins")[2 * k + 1]) for k in range(BANDS)))
+    banded = classes.select("node", "n", F.explode(signs).alias("sign"))
+    held = banded.groupBy("sign").agg(F.count("*").alias("held")).where("held > 1")
+    shared = settle(banded.join(held.hint("merge"), "sign"), "bands")
+    central = shared.groupBy("node").agg(F.sum("held").alias("central"))
+    order = W.partitionBy("sign").orderBy(F.desc("central"), "node")
+    pivots = shared.join(central.hint("merge"), "node").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= PIVOTS).select("sign", F.col("node").alias("pivot"), F.col("n").alias("pivot_n"))
+    fits = (F.col("pivot") != F.col("node")) & (F.least("n", "pivot_n") * DEN >= F.greatest("n", "pivot_n") * NUM)
+    # bands that two classes share, of all their bands, estimate how like they are
+    met = shared.join(pivots.hint("merge"), "sign").where(fits).groupBy(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).agg(F.count("*").alias("bands"))
+    mins = classes.select("node", "mins")
+    sided = met.join(mins.select(F.col("node").alias("a"), F.col("mins").alias("mins_a")).hint("merge"), "a").join(mins.select(F.col("node").alias("b"), F.col("mins").alias("mins_b")).hint("merge"), "b")
+    alike = F.size(F.filter(F.zip_with("mins_a", "mins_b", lambda x, y: x == y), lambda same: same))
+    return sided.where(alike >= AGREE).select("a", "b")
+
+
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """One row for each row of ``docs(doc_id, text)``: doc_id, n_shingles, component_id, n_copies (rows with the same set)."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = settle(docs.mapInArrow(_facts, _FACTS), "facts")
-    facts = rows.where("hot IS NULL").select("doc_id", "n", "node", "band")
-    classes = settle(facts.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("band").alias("band"), F.count("*").alias("n_copies")), "classes")
-
-    # classes that share a band meet the band's pivot
-    banded = classes.select("node", "n", F.posexplode("band").alias("k", "sign"))
-    pivots = banded.groupBy("k", "sign").agg(F.min("node").alias("pivot"), F.min_by("n", "node").alias("pivot_n"), F.count("*").alias("held")).where("held > 1")
-    near = banded.join(pivots, ["k", "sign"]).where((F.col("pivot") != F.col("node")) & (F.least("n", "pivot_n") * DEN >= F.greatest("n", "pivot_n") * NUM))
-    stars = settle(near.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "stars")
+    facts = rows.where("hot IS NULL").select("doc_id", "n", "node", "mins")
+    classes = settle(facts.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("mins").alias("mins"), F.count("*").alias("n_copies")), "classes")
+
+    stars = settle(_stars(classes), "stars")
     first = settle(_links(docs, classes, stars), "links")
-    labels = first.groupBy(F.col("v").alias("node")).agg(F.min("u").alias("label"))
+    labels = settle(component_labels(first).withColumnRenamed("component", "label"), "labels")
 
     # the product, block by block
     hot = rows.where("hot IS NOT NULL").groupBy("hot").agg(F.sum("cnt").alias("cnt")).orderBy(F.desc("cnt"), "hot").limit(FREQUENT).select("hot").toPandas()["hot"].to_numpy(np.int64).view(_U)
