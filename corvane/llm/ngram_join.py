@@ -235,7 +235,7 @@ def _pairs_of_runs(doc, at, length, n, label, emit) -> None:
 
 
 def _multiply(key: tuple, parts: pa.Table) -> pa.Table:
-    """One block of the product: candidate pairs with the overlap inside the block."""
+    """One block of the product: for each class its row, the partners and their overlap inside the block."""
     keys, docs, nodes, ns, lasts, labels, base = [], [], [], [], [], [], 0
     for row in parts.to_pylist():
         k = np.frombuffer(row["keys"], np.uint32)
@@ -286,7 +286,45 @@ def _multiply(key: tuple, parts: pa.Table) -> pa.Table:
     a, b = pair // wide, pair % wide
     swap = nodes[a] > nodes[b]
     a, b = np.where(swap, b, a), np.where(swap, a, b)
-    return pa.table({"a": nodes[a], "b": nodes[b], "na": n[a], "nb": n[b], "la": last[a].astype(np.int64), "lb": last[b].astype(np.int64), "overlap": cnt})
+    by = np.lexsort((b, a))
+    a, b, cnt = a[by], b[by], cnt[by]
+    at = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]])) if len(a) else np.empty(0, np.int64)
+    packed = {"b": nodes[b], "nb": n[b].astype(np.uint32), "lb": last[b], "overlap": cnt.astype(np.uint32)}
+    pieces = {k: pa.array([x.tobytes() for x in np.split(v, at[1:])] if len(a) else [], pa.binary()) for k, v in packed.items()}
+    return pa.table({"a": nodes[a[at]], "na": n[a[at]], "la": last[a[at]].astype(np.int64), **pieces})
+
+
+def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of the product, added up over the blocks; pairs that reach the bound of their sizes. The rows of one class follow one another."""
+    held: list[dict] = []
+
+    def finish(out: list[tuple[int, np.ndarray]]) -> None:
+        if not held:
+            return
+        b, nb, lb, overlap = (np.concatenate([np.frombuffer(r[k], t) for r in held]) for k, t in (("b", np.int64), ("nb", np.uint32), ("lb", np.uint32), ("overlap", np.uint32)))
+        b, at, inverse = np.unique(b, return_index=True, return_inverse=True)
+        total = np.bincount(inverse, overlap, len(b)).astype(np.int64)
+        na, la, nb, lb = held[0]["na"], held[0]["la"], nb[at].astype(np.int64), lb[at].astype(np.int64)
+        rest_a, rest_b = needed(na) - 1, -(-nb * NUM // DEN) - 1  # columns behind the prefix
+        most = total + np.where(la < lb, rest_a, np.where(la > lb, rest_b, np.maximum(rest_a, rest_b)))
+        out.append((held[0]["a"], b[most * (NUM + DEN) >= NUM * (na + nb)]))
+        held.clear()
+
+    def batch_of(out: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+        a = np.concatenate([np.full(len(b), x, np.int64) for x, b in out] or [np.empty(0, np.int64)])
+        b = np.concatenate([b for _, b in out] or [np.empty(0, np.int64)])
+        return pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    for batch in batches:
+        out: list[tuple[int, np.ndarray]] = []
+        for row in batch.to_pylist():
+            if held and held[0]["a"] != row["a"]:
+                finish(out)
+            held.append(row)
+        yield batch_of(out)
+    out = []
+    finish(out)
+    yield batch_of(out)
 
 
 def _filter_bits(wanted: DataFrame) -> np.ndarray:
@@ -400,10 +438,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     own = prefix.groupBy("node").agg(F.first("n").alias("n"), F.first("last").alias("last"), F.first("keys").alias("keys"))
     labelled = own.join(labels.hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node"))
     dealt = labelled.mapInArrow(_deal(int(blocks)), "block long, keys binary, doc binary, node binary, n binary, last binary, label binary")
-    made = dealt.groupBy("block").applyInArrow(_multiply, "a long, b long, na long, nb long, la long, lb long, overlap long")
-    rest = lambda n: F.ceil(F.col(n) * NUM / DEN) - 1  # noqa: E731  columns behind the prefix
-    bound = F.col("overlap") + F.when(F.col("la") < F.col("lb"), rest("na")).when(F.col("la") > F.col("lb"), rest("nb")).otherwise(F.greatest(rest("na"), rest("nb")))
-    pairs = made.groupBy("a", "b").agg(*(F.first(c).alias(c) for c in ("na", "nb", "la", "lb")), F.sum("overlap").alias("overlap")).where(bound * (NUM + DEN) >= NUM * (F.col("na") + F.col("nb"))).select("a", "b")
+    made = dealt.groupBy("block").applyInArrow(_multiply, "a long, na long, la long, b binary, nb binary, lb binary, overlap binary")
+    pairs = made.repartition("a").sortWithinPartitions("a").mapInArrow(_bounded, "a long, b long")
     left = settle(pairs, "pairs")
     second = settle(_links(docs, classes, left), "links")
 
