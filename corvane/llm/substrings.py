@@ -4,8 +4,8 @@ A gear hash rolls over the bytes of every text; where its low bits vanish, the
 word at hand ends a chunk, so that chunks move with their content and an
 insertion changes only its neighbours. Chunks are dealt by digest into blocks;
 within a block all occurrences of a digest but the first (lowest doc_id, then
-place) are duplicates. The duplicate chunks of a document are put together
-again, and a run of them with ``LEAST_WORDS`` words or more is a repeated passage.
+place) are duplicates. The duplicate chunks of a document, dealt by its identifier, are
+put together again, and a run of them with ``LEAST_WORDS`` words or more is a repeated passage.
 
 A group of n copies costs n records, never pairs. The number of blocks follows
 the size of the input, so a block stays of one size.
@@ -119,8 +119,8 @@ def _chunks(blocks: int):
     return run
 
 
-def _repeats(key: tuple, parts: pa.Table) -> pa.Table:
-    """Duplicate chunks of one block, packed by document: every occurrence in another document than the digest's first."""
+def _repeats(key: tuple, parts: pa.Table, parts_of: int) -> pa.Table:
+    """Duplicate chunks of one block, packed by part of the documents: every occurrence in another document than the digest's first."""
     got = {k: [] for k in ("digest", "doc", "begin", "size", "words")}
     kinds = {"digest": _U, "begin": np.uint32, "size": np.uint32, "words": np.uint16}
     for row in parts.to_pylist():
@@ -139,47 +139,33 @@ def _repeats(key: tuple, parts: pa.Table) -> pa.Table:
     keeper = doc[by][np.flatnonzero(edge)][np.cumsum(edge) - 1] if len(by) else np.empty(0, np.int64)
     other = keeper != doc[by]
     by, keeper = by[other], keeper[other]
-    order = np.lexsort((begin[by], doc[by]))
-    by, keeper = by[order], keeper[order]
-    owner = doc[by]
-    at = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(by) else np.empty(0, int)
-    pieces = [np.split(x, at[1:]) if len(by) else [] for x in (begin[by], size[by], words[by], keeper)]
-    return pa.table({"doc_id": pa.array(owner[at], pa.int64()), **{k: pa.array([p.tobytes() for p in piece], pa.binary()) for k, piece in zip(("begin", "size", "words", "keeper"), pieces)}})
-
-
-def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of duplicate chunks of each document; the rows of a document follow one another."""
-    held: list[dict] = []
-
-    def finish(rows: list[tuple]) -> None:
-        if not held:
-            return
-        begin, size, words, keeper = (np.concatenate([np.frombuffer(r[k], t) for r in held]) for k, t in (("begin", np.uint32), ("size", np.uint32), ("words", np.uint16), ("keeper", np.int64)))
-        begin, at = np.unique(begin, return_index=True)
-        end, words, keeper = begin + size[at], words[at].astype(np.int64), keeper[at]
-        fresh = np.flatnonzero(np.concatenate([[True], begin[1:] != end[:-1]]))
-        last = np.append(fresh[1:], len(begin))
-        total = np.add.reduceat(words, fresh)
-        for a, b, n in zip(fresh.tolist(), last.tolist(), total.tolist()):
-            if n >= LEAST_WORDS:
-                sources = np.unique(keeper[a:b])
-                rows.append((held[0]["doc_id"], int(begin[a]), int(end[b - 1]), n, int(sources[0]), sources.tolist()))
-        held.clear()
-
-    def out(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = (pa.int64(),) * 5 + (pa.list_(pa.int64()),)
-        return pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["doc_id", "start", "end", "n_words", "first_doc_id", "source_doc_ids"])
-
-    for batch in batches:
-        rows: list[tuple] = []
-        for row in batch.to_pylist():
-            if held and held[0]["doc_id"] != row["doc_id"]:
-                finish(rows)
-            held.append(row)
-        yield out(rows)
-    rows = []
-    finish(rows)
-    yield out(rows)
+    part = K.mix(doc[by].view(_U)) % _U(parts_of)
+    order = np.argsort(part, kind="stable")
+    by, keeper, part = by[order], keeper[order], part[order]
+    at = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(by) else np.empty(0, int)
+    packed = {"doc": doc[by], "begin": begin[by], "size": size[by], "words": words[by], "keeper": keeper}
+    pieces = {k: pa.array([x.tobytes() for x in np.split(v, at[1:])] if len(by) else [], pa.binary()) for k, v in packed.items()}
+    return pa.table({"part": pa.array(part[at].astype(np.int64)), **pieces})
+
+
+def _passages(key: tuple, parts: pa.Table) -> pa.Table:
+    """Runs of duplicate chunks in the documents of one part."""
+    kinds = {"doc": np.int64, "begin": np.uint32, "size": np.uint32, "words": np.uint16, "keeper": np.int64}
+    doc, begin, size, words, keeper = (np.concatenate([np.frombuffer(x, t) for x in parts.column(k).to_pylist()]) for k, t in kinds.items())
+    by = np.lexsort((begin, doc))
+    doc, begin, size, words, keeper = doc[by], begin[by].astype(np.int64), size[by], words[by].astype(np.int64), keeper[by]
+    once = np.concatenate([[True], (doc[1:] != doc[:-1]) | (begin[1:] != begin[:-1])])
+    doc, begin, size, words, keeper = doc[once], begin[once], size[once], words[once], keeper[once]
+    end = begin + size
+    fresh = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (begin[1:] != end[:-1])]))
+    last = np.append(fresh[1:], len(doc))
+    total = np.add.reduceat(words, fresh)
+    keep = total >= LEAST_WORDS
+    fresh, last, total = fresh[keep], last[keep], total[keep]
+    sources = [np.unique(keeper[a:b]).tolist() for a, b in zip(fresh.tolist(), last.tolist())]
+    return pa.table({
+        "doc_id": pa.array(doc[fresh]), "start": pa.array(begin[fresh]), "end": pa.array(end[last - 1] if len(last) else end[:0]), "n_words": pa.array(total),
+        "first_doc_id": pa.array([s[0] for s in sources], pa.int64()), "source_doc_ids": pa.array(sources, pa.list_(pa.int64()))})
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
@@ -192,8 +178,8 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     total = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = int(max(8, -(-total // BLOCK_BYTES)))
     dealt = own.mapInArrow(_chunks(blocks), "block long, digest binary, doc binary, ids binary, begin binary, size binary, words binary")
-    repeats = dealt.groupBy("block").applyInArrow(_repeats, "doc_id long, begin binary, size binary, words binary, keeper binary")
-    return repeats.repartition("doc_id").sortWithinPartitions("doc_id").mapInArrow(_passages, "doc_id long, start long, end long, n_words long, first_doc_id long, source_doc_ids array<long>")
+    repeats = dealt.groupBy("block").applyInArrow(lambda key, parts: _repeats(key, parts, blocks), "part long, doc binary, begin binary, size binary, words binary, keeper binary")
+    return repeats.groupBy("part").applyInArrow(_passages, "doc_id long, start long, end long, n_words long, first_doc_id long, source_doc_ids array<long>")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
