@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corvane.llm.store import fresh_uri, settle, table
 from corvane.llm.textkit import slices
-from corvane.llm.tokens import Encoder
+from corvane.llm.tokens import encoder
 
 MAGIC = b"CVSSTAB1"
 _FOOTER = struct.Struct("<QQQQQQII8s")
@@ -196,8 +196,8 @@ def write_shards(docs: DataFrame, uri: str, tokenizer: str | None = None, end_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, root = pafs.FileSystem.from_uri(uri)
-        name, encoder, end = uuid.uuid4().hex, Encoder(tokenizer), np.array([end_id], "<u4").tobytes()
-        wide = max(encoder.tokenizer.get_vocab_size(), end_id + 1) > 1 << 16
+        name, coder, end = uuid.uuid4().hex, encoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        wide = max(coder.tokenizer.get_vocab_size(), end_id + 1) > 1 << 16
         rows, writer, held, part = [], None, 0, 0
         last, nth = object(), 0
 
@@ -209,15 +209,16 @@ def write_shards(docs: DataFrame, uri: str, tokenizer: str | None = None, end_id
 
         for whole in batches:
             for batch in slices(whole, "text", 2 << 20):
-                for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+                texts = [t or "" for t in batch.column("text").to_pylist()]
+                for doc_id, text, ids in zip(batch.column("doc_id").to_pylist(), texts, coder.encode_many(texts)):
                     nth = nth + 1 if doc_id == last else 0
                     last = doc_id
                     if writer is None:
                         files.create_dir(root, recursive=True)
                         first = key_of(doc_id, nth)
                         writer = ShardWriter(files.open_output_stream(f"{root}/{name}-{part}.part"), wide)
-                    writer.add(key_of(doc_id, nth), np.frombuffer(encoder.encode(text or "") + end, "<u4"))
-                    held += len(text or "")
+                    writer.add(key_of(doc_id, nth), np.frombuffer(ids + end, "<u4"))
+                    held += len(text)
                     if held >= SHARD_BYTES:
                         finish()
                         writer, held, part = None, 0, part + 1

@@ -9,6 +9,7 @@ library whole.
 
 from __future__ import annotations
 
+import functools
 import json
 import os
 import re
@@ -19,8 +20,8 @@ import numpy as np
 PLAIN_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _NOT_PLAIN = re.compile(r"[^\t\n\r\x20-\x7EÀ-ÖØ-öø-ÿ]")
-#: Pieces that a worker keeps, at most, before it starts anew.
-KEPT_PIECES = 400_000
+#: Pieces that a worker keeps: between this number and twice as many.
+KEPT_PIECES = 300_000
 
 
 def default_path() -> str:
@@ -29,15 +30,6 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class _Pieces(dict):
-    def __init__(self, encode):
-        self.encode = encode
-
-    def __missing__(self, piece: str) -> bytes:
-        out = self[piece] = np.array(self.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
-        return out
-
-
 class Encoder:
     def __init__(self, path: str | None = None):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -45,21 +37,58 @@ class Encoder:
 
         path = path or default_path()
         self.tokenizer = Tokenizer.from_file(path)
-        self.pieces = _Pieces(self.tokenizer.encode)
+        self.pieces: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.ends_word[[k for word, k in vocabulary.items() if word.endswith("</w>")]] = True
         with open(path, encoding="utf-8") as file:
             head = json.load(file)
         steps = [s.get("type") for s in (head.get("normalizer") or {}).get("normalizers", [])]
         splits = [s.get("pattern", {}).get("Regex") for s in (head.get("pre_tokenizer") or {}).get("pretokenizers", [])]
         self.special = [t["content"] for t in head.get("added_tokens", [])]
-        self.by_piece = steps == ["NFC", "Replace", "Lowercase"] and splits[:1] == [_SPLIT]
+        self.by_piece = steps == ["NFC", "Replace", "Lowercase"] and splits[:1] == [_SPLIT] and head["model"].get("end_of_word_suffix") == "</w>"
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        if not self.by_piece or _NOT_PLAIN.search(text) or any(s in text for s in self.special):
-            return self.whole(text)
+    def _plain(self, text: str) -> bool:
+        return self.by_piece and not _NOT_PLAIN.search(text) and not any(s in text for s in self.special)
+
+    def _learn(self, pieces: set[str]) -> None:
+        """Encode the pieces that are not known; what has not been used for long is forgotten."""
         if len(self.pieces) > KEPT_PIECES:
-            self.pieces.clear()
-        return b"".join(map(self.pieces.__getitem__, PLAIN_PIECE.findall(text.lower())))
+            self.older, self.pieces = self.pieces, {}
+        new = []
+        for piece in pieces - self.pieces.keys():
+            if (known := self.older.get(piece)) is not None:
+                self.pieces[piece] = known
+            else:
+                new.append(piece)
+        for lo in range(0, len(new), 4096):
+            some = new[lo : lo + 4096]
+            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            ends = (np.flatnonzero(self.ends_word[ids]) + 1).tolist()
+            if len(ends) != len(some) or ends[-1] != len(ids):
+                for piece in some:
+                    self.pieces[piece] = self.whole(piece)
+                continue
+            flat = ids.tobytes()
+            for piece, a, b in zip(some, [0, *ends], ends):
+                self.pieces[piece] = flat[4 * a : 4 * b]
+
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        split = [PLAIN_PIECE.findall(t.lower()) if self._plain(t) else None for t in texts]
+        self._learn(set().union(*(s for s in split if s)))
+        get = self.pieces.__getitem__
+        return [self.whole(t) if s is None else b"".join(map(get, s)) for t, s in zip(texts, split)]
+
+    def encode(self, text: str) -> bytes:
+        return self.encode_many([text])[0]
+
+
+@functools.lru_cache(2)
+def encoder(path: str | None = None) -> Encoder:
+    """One encoder a worker process, so that tasks share what it has learned."""
+    return Encoder(path)
