@@ -92,7 +92,7 @@ class ShardWriter:
         self.index: list[bytes] = []
         self.ids: list[bytes] = []
         self.docs = self.tokens = 0
-        self.zstd = zstandard.ZstdCompressor(level=3)
+        self.zstd = zstandard.ZstdCompressor(level=1)
 
     def add(self, key: bytes, tokens: np.ndarray) -> None:
         value = tokens.astype(self.type).tobytes()

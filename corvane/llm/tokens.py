@@ -17,9 +17,10 @@ import re
 import numpy as np
 
 #: Fixed value: the split of a lower-cased plain text by the pre-tokenizer of word_bpe_49k.json.
-PLAIN_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
+PLAIN_PIECE = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^\sa-zß-öø-ÿ0-9]+")
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-_NOT_PLAIN = re.compile(r"[^\t\n\r\x20-\x7EÀ-ÖØ-öø-ÿ]")
+#: Latin-1 codes of plain texts.
+_PLAIN = bytes([9, 10, 13, *range(0x20, 0x7F), *range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100)])
 #: Pieces that a worker keeps: between this number and twice as many.
 KEPT_PIECES = 300_000
 
@@ -53,7 +54,13 @@ class Encoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _plain(self, text: str) -> bool:
-        return self.by_piece and not _NOT_PLAIN.search(text) and not any(s in text for s in self.special)
+        if not self.by_piece:
+            return False
+        try:
+            odd = text.encode("latin-1").translate(None, _PLAIN)
+        except UnicodeEncodeError:
+            return False
+        return not odd and not any(s in text for s in self.special)
 
     def _learn(self, pieces: set[str]) -> None:
         """Encode the pieces that are not known; what has not been used for long is forgotten."""
