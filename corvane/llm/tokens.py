@@ -22,7 +22,7 @@ _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Latin-1 codes of plain texts.
 _PLAIN = bytes([9, 10, 13, *range(0x20, 0x7F), *range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100)])
 #: Pieces that a worker keeps: between this number and twice as many.
-KEPT_PIECES = 300_000
+KEPT_PIECES = 500_000
 
 
 def default_path() -> str:
