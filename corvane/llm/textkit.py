@@ -64,7 +64,7 @@ def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return raw[offs[0] : offs[-1]], offs - offs[0], nulls
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that each part holds about ``most`` bytes of text, one row at least."""
     _, offs, _ = string_buffers(batch.column(column))
     lo, n = 0, batch.num_rows
