@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corvane.llm import textkit as K
 from corvane.llm.licenses import WORD_BYTE
-from corvane.llm.store import table
+from corvane.llm.store import small_batches, table
 
 LEAST_WORDS, EDIT_SHARE = 8, 0.2
 #: Embedded positions that one reading joins, wanted recall, share of edited words it is wanted for, most repetitions.
@@ -217,7 +217,7 @@ def _plans(docs: DataFrame, benchmark: DataFrame) -> Iterator:
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row for each document and item that it holds: doc_id, item_id (-1 for null), first_word, n_words, edits, similarity."""
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    own = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     fields = "doc_id long, item_id long, first_word long, n_words long, edits long, similarity double"
     found = None
     for sent in _plans(docs, benchmark):
@@ -229,7 +229,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that hold no item, with all their columns; each row is judged by its own text, without a shuffle."""
     for sent in _plans(docs, benchmark):
-        docs = docs.mapInArrow(_cleaner(sent), docs.schema)
+        docs = small_batches(docs).mapInArrow(_cleaner(sent), docs.schema)
     return docs
 
 

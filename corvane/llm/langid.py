@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corvane.llm import textkit as K
-from corvane.llm.store import table
+from corvane.llm.store import small_batches, table
 
 #: Labelled rows and windows of each that the network learns from, at most.
 SAMPLE, CUTS = 2400, 3
@@ -197,7 +197,7 @@ def held_out(doc_id: str = "doc_id") -> F.Column:
 
 def learn(docs: DataFrame, sample: int = SAMPLE, epochs: int = EPOCHS) -> ByteGRU | None:
     """The network, from the rows of ``docs`` that are not held out; None if none of them has a text with letters."""
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    own = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     open_ = own.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out())
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,7 +241,7 @@ def identify(docs: DataFrame, net: ByteGRU | None) -> DataFrame:
                 labels, score = predict(net, batch.column("text"))
                 yield pa.record_batch([batch.column("doc_id"), batch.column("held_out"), pa.array(labels, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("held_out", held_out())
+    own = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("held_out", held_out())
     return own.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
@@ -262,7 +262,7 @@ def identified(docs: DataFrame, net: ByteGRU | None) -> DataFrame:
                     keep = [bool(x) and any(map(str.isalpha, x)) for x in batch.column("text").to_pylist()]
                 yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

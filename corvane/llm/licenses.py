@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corvane.llm import textkit as K
-from corvane.llm.store import table
+from corvane.llm.store import small_batches, table
 
 #: Phrase and its label.
 PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
@@ -231,7 +231,7 @@ def license_labels(docs: DataFrame, scanner: Scanner | None = None) -> DataFrame
                 yield _rows(scanner, batch)
 
     fields = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, fields)
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, fields)
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

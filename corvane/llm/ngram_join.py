@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from corvane.llm import textkit as K
 from corvane.llm.components import component_labels
-from corvane.llm.store import discard, settle, settle_at, table
+from corvane.llm.store import settle, small_batches, table
 
 SHINGLE = 5
 #: Threshold NUM / DEN.
@@ -420,7 +420,7 @@ def _stars(classes: DataFrame) -> DataFrame:
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """One row for each row of ``docs(doc_id, text)``: doc_id, n_shingles, component_id, n_copies (rows with the same set)."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = settle(docs.mapInArrow(_facts, _FACTS), "facts")
     facts = rows.where("hot IS NULL").select("doc_id", "n", "node", "mins")
     classes = settle(facts.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("mins").alias("mins"), F.count("*").alias("n_copies")), "classes")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corvane.llm import textkit as K
-from corvane.llm.store import table
+from corvane.llm.store import small_batches, table
 
 LEAST_WORDS, REPEAT_WINDOW, MOST_REPEATED = 20, 8, 30
 #: A document that loses more than this share of its words is rejected.
@@ -128,7 +128,7 @@ def quality(docs: DataFrame, with_text: bool = False) -> DataFrame:
                 yield _rows(batch, with_text)
 
     fields = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, lost_words long" + (", clean_text string" if with_text else "")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, fields)
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, fields)
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

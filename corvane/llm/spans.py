@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from corvane.llm.store import small_batches
 from corvane.llm.textkit import slices
 
 Span = tuple[int, int, str]
@@ -42,4 +43,4 @@ def scan(docs: DataFrame, make: Callable[[], Callable[[str], tuple]], fields: st
                 columns = list(zip(*found)) if found else [[] for _ in names]
                 yield pa.record_batch([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, kinds))], names=["doc_id", *names])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id long, {fields}")
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id long, {fields}")

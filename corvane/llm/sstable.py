@@ -36,7 +36,7 @@ import zstandard
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corvane.llm.store import fresh_uri, settle, table
+from corvane.llm.store import fresh_uri, settle, small_batches, table
 from corvane.llm.textkit import slices
 from corvane.llm.tokens import encoder
 
@@ -226,7 +226,7 @@ def write_shards(docs: DataFrame, uri: str, tokenizer: str | None = None, end_id
             finish()
         yield pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.binary(), pa.int64(), pa.int64()))], names=["path", "first", "docs", "tokens"])
 
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("tie"))
+    own = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("tie"))
     ranged = own.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
     return settle(ranged.mapInArrow(run, "path string, first binary, docs long, tokens long"), "shards")
 

@@ -47,5 +47,15 @@ def discard(spark: SparkSession, uri: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Rows of a batch that goes to a Python worker; what a worker and its executor hold at a time follows from it.
+BATCH_ROWS = 1000
+
+
+def small_batches(docs: DataFrame) -> DataFrame:
+    """``docs``, with its session set to hand texts to Python workers in small batches."""
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return docs
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

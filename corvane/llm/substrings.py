@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corvane.llm import textkit as K
-from corvane.llm.store import table
+from corvane.llm.store import small_batches, table
 
 #: Low bits of the gear hash that must vanish, and least and largest bytes of a chunk.
 MASK_BITS, LEAST, MOST = 4, 8, 128
@@ -174,7 +174,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     One row a passage: doc_id, start and end in code points, n_words, the lowest
     document that holds a part of it, and all documents that first hold its chunks.
     """
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL")
+    own = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL")
     total = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = int(max(8, -(-total // BLOCK_BYTES)))
     dealt = own.mapInArrow(_chunks(blocks), "block long, digest binary, doc binary, ids binary, begin binary, size binary, words binary")

@@ -12,6 +12,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
+# memory goes back to the system when a batch is done; the default pool keeps it
+pa.set_memory_pool(pa.system_memory_pool())
+
 _U = np.uint64
 _SEED = np.random.default_rng(20240917)
 #: Bytes of a word; the separators are 0x20 and 0x09 to 0x0D.

@@ -21,8 +21,8 @@ PLAIN_PIECE = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^\sa-z
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Latin-1 codes of plain texts.
 _PLAIN = bytes([9, 10, 13, *range(0x20, 0x7F), *range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100)])
-#: Pieces that a worker keeps, at most: those that came in two slices, and those that came in one so far.
-KNOWN_PIECES, FRESH_PIECES = 300_000, 250_000
+#: Pieces that a worker keeps: between this number and twice as many.
+KEPT_PIECES = 350_000
 
 
 def default_path() -> str:
@@ -38,8 +38,8 @@ class Encoder:
 
         path = path or default_path()
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-        self.fresh: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         self.ends_word[[k for word, k in vocabulary.items() if word.endswith("</w>")]] = True
@@ -62,38 +62,33 @@ class Encoder:
             return False
         return not odd and not any(s in text for s in self.special)
 
-    def _codes(self, pieces: set[str]) -> dict[str, bytes]:
-        """Ids of each piece; most pieces come once, so only what comes again is kept for long."""
-        if len(self.known) > KNOWN_PIECES:
-            self.known.clear()
-        if len(self.fresh) > FRESH_PIECES:
-            self.fresh.clear()
-        out, new = {}, []
-        for piece in pieces:
-            code = self.known.get(piece)
-            if code is None and (code := self.fresh.pop(piece, None)) is not None:
-                self.known[piece] = code
-            if code is None:
-                new.append(piece)
+    def _learn(self, pieces: set[str]) -> None:
+        """Encode the pieces that are not known; what has not been used for long is forgotten."""
+        if len(self.pieces) > KEPT_PIECES:
+            self.older, self.pieces = self.pieces, {}
+        new = []
+        for piece in pieces - self.pieces.keys():
+            if (known := self.older.get(piece)) is not None:
+                self.pieces[piece] = known
             else:
-                out[piece] = code
+                new.append(piece)
         for lo in range(0, len(new), 4096):
             some = new[lo : lo + 4096]
             ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
             ends = (np.flatnonzero(self.ends_word[ids]) + 1).tolist()
-            if len(ends) == len(some) and ends[-1] == len(ids):
-                flat = ids.tobytes()
-                codes = [flat[4 * a : 4 * b] for a, b in zip([0, *ends], ends)]
-            else:
-                codes = [self.whole(piece) for piece in some]
-            self.fresh.update(zip(some, codes))
-            out.update(zip(some, codes))
-        return out
+            if len(ends) != len(some) or ends[-1] != len(ids):
+                for piece in some:
+                    self.pieces[piece] = self.whole(piece)
+                continue
+            flat = ids.tobytes()
+            for piece, a, b in zip(some, [0, *ends], ends):
+                self.pieces[piece] = flat[4 * a : 4 * b]
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         split = [PLAIN_PIECE.findall(t.lower()) if self._plain(t) else None for t in texts]
-        get = self._codes(set().union(*(s for s in split if s))).__getitem__
+        self._learn(set().union(*(s for s in split if s)))
+        get = self.pieces.__getitem__
         return [self.whole(t) if s is None else b"".join(map(get, s)) for t, s in zip(texts, split)]
 
     def encode(self, text: str) -> bytes:
