@@ -22,7 +22,7 @@ _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Latin-1 codes of plain texts.
 _PLAIN = bytes([9, 10, 13, *range(0x20, 0x7F), *range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100)])
 #: Pieces that a worker keeps: between this number and twice as many.
-KEPT_PIECES = 350_000
+KEPT_PIECES = 250_000
 
 
 def default_path() -> str:
@@ -34,7 +34,7 @@ def default_path() -> str:
 class Encoder:
     def __init__(self, path: str | None = None):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         path = path or default_path()
         self.tokenizer = Tokenizer.from_file(path)
@@ -50,6 +50,12 @@ class Encoder:
         self.special = [t["content"] for t in head.get("added_tokens", [])]
         self.by_piece = steps == ["NFC", "Replace", "Lowercase"] and splits[:1] == [_SPLIT] and head["model"].get("end_of_word_suffix") == "</w>"
 
+        # pieces are split and folded already; the rest of the way is the library's
+        self.plain = Tokenizer.from_file(path)
+        if self.by_piece:
+            self.plain.normalizer = normalizers.Sequence([])
+            self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
@@ -74,7 +80,7 @@ class Encoder:
                 new.append(piece)
         for lo in range(0, len(new), 4096):
             some = new[lo : lo + 4096]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            ids = np.array(self.plain.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
             ends = (np.flatnonzero(self.ends_word[ids]) + 1).tolist()
             if len(ends) != len(some) or ends[-1] != len(ids):
                 for piece in some:
