@@ -17,6 +17,8 @@ STOP_WORDS = (
     "ком", "где", "когда", "зачем", "почему", "куда", "откуда", "какой", "какая", "какие",
 )
 TOKEN = "[а-яёa-z0-9]+"
+#: Fixed value: characters outside this list are dropped from cleaned texts (guillemets, dashes and ellipses among them).
+NOT_KEPT = r"""[^\p{L}\p{N}_\p{Z}\s+=*/()\[\]{}$<>,.;:!?%&|^~`"\\@#№°±≥≤≈×÷→←↑↓∈∑∫∂∇∞≠√∏∝∧∨¬⊂⊃⊆⊇∅∩∪\x{0400}-\x{04FF}\x27-]"""
 
 
 def tokens(text: Column) -> Column:
@@ -51,9 +53,10 @@ def strip_tags(text: Column) -> Column:
 
 
 def clean(text: Column) -> Column:
-    """Drop control characters, squeeze blanks, trim every line and the outer empty lines."""
+    """Drop control characters and all but the kept ones, squeeze blanks, trim every line and the outer empty lines."""
     out = F.regexp_replace(text, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", "")
     out = F.regexp_replace(out, r"[ \t]+", " ")
+    out = F.regexp_replace(out, NOT_KEPT, "")
     out = F.array_join(F.transform(F.split(out, "\n"), lambda x: F.trim(x)), "\n")
     return F.regexp_replace(F.regexp_replace(out, r"^\n+", ""), r"\n+$", "")
 

@@ -2,34 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from corvane.functions import text as X
 from corvane.operators import records, retrieval as R
+from corvane.plans import documents, serving  # noqa: F401  they register their queries
+from corvane.plans.base import QUERIES, SQL, Query, query as _query, table as _t
 from corvane.sources import jsonl
 from corvane.streaming import events as S
 
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
-
-
-def _query(sql: str | None = None):
-    def keep(f: Query) -> Query:
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return keep
-
-
-def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 _STOP = ", ".join(f"'{w}'" for w in X.STOP_WORDS)
 _TOKENS = f"list_filter(regexp_extract_all(lower(coalesce(text, '')), '{X.TOKEN}'), lambda t: length(t) > 1 AND t NOT IN ({_STOP}))"
 _LETTERS = r"length(regexp_replace({0}, '[^\p{{L}}]', '', 'g'))"
@@ -61,7 +42,7 @@ def strip_prefix(spark, d):
     return _t(spark, d, "benchmark").select("item_id", X.strip_service_prefix(F.concat(F.lit("Passage: query: "), F.col("text"))).alias("plain"))
 
 
-@_query(r"""SELECT doc_id, regexp_replace(regexp_replace(array_to_string(list_transform(string_split(regexp_replace(regexp_replace(text, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', '', 'g'), '[ \t]+', ' ', 'g'), chr(10)), lambda x: trim(x, ' ')), chr(10)), '^\n+', ''), '\n+$', '') AS cleaned FROM documents""")
+@_query(r"""SELECT doc_id, regexp_replace(regexp_replace(array_to_string(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(text, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', '', 'g'), '[ \t]+', ' ', 'g'), '[^\p{L}\p{N}_\p{Z}\s+=*/()\[\]{}$<>,.;:!?%&|^~`"\\@#№°±≥≤≈×÷→←↑↓∈∑∫∂∇∞≠√∏∝∧∨¬⊂⊃⊆⊇∅∩∪\x{0400}-\x{04FF}\x27-]', '', 'g'), chr(10)), lambda x: trim(x, ' ')), chr(10)), '^\n+', ''), '\n+$', '') AS cleaned FROM documents""")
 def clean_text(spark, d):
     return _t(spark, d, "documents").select("doc_id", X.clean(F.col("text")).alias("cleaned"))
 
@@ -268,8 +249,8 @@ def lineitem_pricing_rollup(spark, d):
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return dict(SQL)
