@@ -46,7 +46,8 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = LEXICAL_K) -> DataFrame:
 
 def ranked(df: DataFrame, order: Column, k: int) -> DataFrame:
     """Best ``k`` of each query; ties by chunk_id."""
-    return df.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(order, "chunk_id"))).where(F.col("rank") <= k)
+    own = df.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(order, "chunk_id"))).where(F.col("rank") <= k)
+    return own.withColumn("rank", F.col("rank").cast("long"))
 
 
 def dot(a: Column, b: Column) -> Column:

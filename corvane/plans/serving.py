@@ -1 +1,221 @@
-"""Queries over search results, caches, evaluation, chat and indexes."""
+"""Queries over search results, caches, evaluation, chat, indexes, and plain tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window as W, functions as F
+
+from corvane.operators import evaluate, indexes, records, serving as V
+from corvane.plans.base import query, table
+
+_NOW = "TIMESTAMP '2024-02-15 12:00:00'"
+_CACHE = "cache AS (SELECT e.vec_id AS query_hash, e.embedding, e.label AS facet, e.vec_id % 4 AS hit_count, v.ts AS created_at FROM embeddings e JOIN events v ON v.event_id = e.vec_id)"
+
+
+def _cache(spark, d) -> DataFrame:
+    when = table(spark, d, "events").select(F.col("event_id").alias("query_hash"), F.col("ts").cast("timestamp").alias("created_at"))
+    own = table(spark, d, "embeddings").select(F.col("vec_id").alias("query_hash"), "embedding", F.col("label").alias("facet"), (F.col("vec_id") % 4).alias("hit_count"))
+    return own.join(when, "query_hash")
+
+
+@query(f"WITH {_CACHE} SELECT query_hash, hit_count FROM cache ORDER BY hit_count DESC, created_at DESC, query_hash LIMIT 100")
+def cache_candidates(spark, d):
+    return V.cache_candidates(_cache(spark, d), 100).select("query_hash", "hit_count")
+
+
+@query(f"WITH {_CACHE} SELECT query_hash FROM cache WHERE NOT ((epoch_us({_NOW}) - epoch_us(created_at)) / 86400e6 > 30 AND hit_count <= 1)")
+def cache_purge(spark, d):
+    return V.cache_kept(_cache(spark, d), F.expr("TIMESTAMP '2024-02-15 12:00:00 UTC'")).select("query_hash")
+
+
+_DOT = "list_sum(list_transform(list_zip({0}, {1}), lambda x: x[1]::DOUBLE * x[2]::DOUBLE))"
+_COS = f"round({_DOT.format('c.embedding', 'q.embedding')} / (sqrt({_DOT.format('c.embedding', 'c.embedding')}) * sqrt({_DOT.format('q.embedding', 'q.embedding')})), 6)"
+
+
+@query(f"""WITH {_CACHE}, c AS (SELECT * FROM cache WHERE query_hash % 2 = 0 ORDER BY hit_count DESC, created_at DESC, query_hash LIMIT 1000), q AS (SELECT vec_id AS query_id, embedding, label FROM embeddings WHERE vec_id % 7 = 1),
+s AS (SELECT query_id, query_hash, {_COS} AS similarity FROM q JOIN c ON q.label = c.facet)
+SELECT query_id, query_hash, similarity FROM s WHERE similarity >= 0.3 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, query_hash DESC) = 1""")
+def semantic_cache_lookup(spark, d):
+    asked = table(spark, d, "embeddings").where("vec_id % 7 = 1").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_embedding"), F.col("label").alias("facet"))
+    return V.cache_lookup(asked, _cache(spark, d).where("query_hash % 2 = 0"), threshold=0.3)
+
+
+_RANKED = "r AS (SELECT l_orderkey AS query_id, l_partkey AS chunk_id, l_returnflag AS facet, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber) AS rank FROM lineitem)"
+
+
+def _ranked(spark, d) -> DataFrame:
+    w = W.partitionBy("l_orderkey").orderBy(F.desc("l_extendedprice"), "l_linenumber")
+    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("query_id"), F.col("l_partkey").alias("chunk_id"), F.col("l_returnflag").alias("facet"), F.row_number().over(w).cast("long").alias("rank"))
+
+
+@query(f"WITH {_RANKED} SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM r WHERE facet IN ('N', 'unknown')")
+def facet_postfilter(spark, d):
+    return V.facet_filtered(_ranked(spark, d), "N").select("query_id", "chunk_id", "rank")
+
+
+@query(f"""WITH {_RANKED}, a AS (SELECT query_id, chunk_id, rank, CASE WHEN facet = 'N' THEN 0 ELSE 1 END AS leg FROM r), f AS (SELECT query_id, chunk_id, leg, rank FROM a QUALIFY row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY leg, rank) = 1)
+SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY leg, rank, chunk_id) AS rank FROM f""")
+def two_leg_vector(spark, d):
+    own = _ranked(spark, d)
+    return V.two_legs(own.where("facet = 'N'"), own.where("facet <> 'N'"))
+
+
+_SHOWN = "s AS (SELECT query_id, rank, '[Документ: ' || p_brand || ', стр. ' || p_size || ']' || chr(10) || 'Раздел: ' || p_type || chr(10) || CASE WHEN chunk_id % 3 = 0 THEN 'ФОРМУЛА: ' WHEN chunk_id % 3 = 1 THEN 'РИСУНОК: ' ELSE '' END || p_name AS shown, p_brand FROM r JOIN part ON p_partkey = chunk_id)"
+
+
+def _shown(spark, d) -> DataFrame:
+    store = table(spark, d, "part").select(F.col("p_partkey").alias("chunk_id"), F.col("p_brand").alias("source"), F.col("p_size").alias("page"), F.col("p_type").alias("heading"), F.when(F.col("p_partkey") % 3 == 0, "formula").when(F.col("p_partkey") % 3 == 1, "figure").otherwise("text").alias("chunk_type"), F.col("p_name").alias("content"))
+    return _ranked(spark, d).join(store, "chunk_id")
+
+
+@query(f"WITH {_RANKED}, {_SHOWN} SELECT query_id, string_agg(shown, chr(10) || chr(10) ORDER BY rank) AS context FROM s GROUP BY query_id")
+def prompt_build(spark, d):
+    return V.prompts(_shown(spark, d))
+
+
+@query(f"""WITH {_RANKED}, {_SHOWN}, f AS (SELECT query_id, p_brand, min(rank) AS place FROM s GROUP BY ALL), n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY place, p_brand) AS n FROM f QUALIFY n <= 3)
+SELECT query_id, string_agg(p_brand, '; ' ORDER BY n) AS sources FROM n GROUP BY query_id""")
+def sources_top3(spark, d):
+    return V.sources_of(_shown(spark, d))
+
+
+@query(f"WITH {_RANKED} SELECT query_id, rank, CASE WHEN chunk_id % 2 = 0 THEN coalesce(p_name, 'own') ELSE 'own' END AS content, CASE WHEN chunk_id % 2 = 1 THEN p_name END AS full_content FROM r LEFT JOIN part ON p_partkey = chunk_id")
+def hydrate(spark, d):
+    store = table(spark, d, "part").select(F.col("p_partkey").alias("chunk_id"), F.col("p_name").alias("content"), F.when(F.col("p_partkey") % 2 == 0, "text").otherwise("table").alias("chunk_type"))
+    return V.hydrated(_ranked(spark, d).withColumn("content", F.lit("own")), store).select("query_id", "rank", "content", "full_content")
+
+
+@query("""WITH t AS (SELECT p_brand, p_size, p_type AS near FROM part QUALIFY row_number() OVER (PARTITION BY p_brand, p_size ORDER BY length(p_type) DESC, p_type DESC) = 1)
+SELECT s_suppkey, CASE WHEN near IS NULL THEN s_name || ' — cap' ELSE s_name || ' — cap — ' || substr(near, 1, 320) END AS content FROM supplier LEFT JOIN t ON p_brand = 'Brand#' || (s_suppkey % 5 + 1) || '1' AND p_size = s_nationkey""")
+def figure_context(spark, d):
+    texts = table(spark, d, "part").select(F.col("p_brand").alias("source"), F.col("p_size").alias("page"), F.col("p_type").alias("content"))
+    figures = table(spark, d, "supplier").select("s_suppkey", F.concat(F.lit("Brand#"), (F.col("s_suppkey") % 5 + 1).cast("string"), F.lit("1")).alias("source"), F.col("s_nationkey").alias("page"), F.col("s_name").alias("heading"), F.lit("cap").alias("caption"))
+    return V.figures_with_context(figures, texts).select("s_suppkey", "content")
+
+
+@query("SELECT doc_id AS chunk_id, CASE WHEN quality = 0 THEN 0 ELSE 1 END AS reviewed FROM labels")
+def quarantine_upsert(spark, d):
+    own = table(spark, d, "labels").select(F.col("doc_id").alias("chunk_id"), F.lit("x").alias("reason"), F.lit("y").alias("source"), F.lit(0).alias("quarantined_at"), "quality")
+    store = V.approved(V.quarantined(own.drop("quality").limit(0).withColumn("reviewed", F.lit(0)), own.drop("quality")), own)
+    return V.quarantined(store, own.where("quality = 0").drop("quality")).select("chunk_id", "reviewed")
+
+
+@query("SELECT c_custkey, coalesce(CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment END, CASE WHEN c_custkey % 2 = 0 THEN 'stored' END) AS facet, c_custkey % 3 <> 0 AND c_custkey % 2 <> 0 AS ask FROM customer")
+def model_resolution(spark, d):
+    asked, stored = F.when(F.col("c_custkey") % 3 == 0, F.col("c_mktsegment")).otherwise("unknown"), F.when(F.col("c_custkey") % 2 == 0, "stored")
+    return table(spark, d, "customer").select("c_custkey", V.facet_for_user(asked, stored).alias("f")).select("c_custkey", "f.facet", "f.ask")
+
+
+def _message():
+    return F.to_json(F.struct(
+        F.when(F.col("event_id") % 7 == 0, "message_edit").otherwise("message_new").alias("type"), F.lit("g").alias("group_id"), F.when(F.col("event_id") % 2 == 0, F.col("event_id").cast("string")).alias("event_id"),
+        F.struct(F.struct(F.col("event_id").alias("id"), F.when(F.col("event_id") % 5 == 0, -1).otherwise(F.col("user_id")).alias("from_id"), F.when(F.col("event_id") % 3 == 0, "  ").otherwise(F.col("event_type")).alias("text"), F.when(F.col("event_id") % 6 == 0, '{"cmd":"nav"}').otherwise("").alias("payload")).alias("message")).alias("object")))
+
+
+@query("""SELECT CASE WHEN event_id % 2 = 0 THEN event_id::VARCHAR ELSE sha256('g:message_new:' || user_id || ':' || user_id || ':' || event_id || ':0:0:' || t) END AS event_key, user_id, t AS text, CASE WHEN event_id % 6 = 0 THEN 'nav' END AS cmd
+FROM (SELECT *, CASE WHEN event_id % 3 = 0 THEN '' ELSE event_type END AS t FROM events) WHERE event_id % 7 <> 0 AND event_id % 5 <> 0 AND user_id > 0 AND (t <> '' OR event_id % 6 = 0)""")
+def parse_message(spark, d):
+    return V.incoming(table(spark, d, "events").select(_message().alias("value"))).select("event_key", "user_id", "text", "cmd")
+
+
+@query()
+def message_parts(spark, d):
+    return V.messages(table(spark, d, "documents"), "doc_id", "text")
+
+
+_METRICS = "l_linenumber % 4 / 4::DOUBLE AS a, l_quantity / 53 AS b, l_discount AS c, l_tax AS d"
+_SCORE = "CASE WHEN (a > 0)::INT + (b > 0)::INT + (c > 0)::INT + (d > 0)::INT = 0 THEN 0.0::DOUBLE ELSE round((greatest(a, 0) + greatest(b, 0) + greatest(c, 0) + greatest(d, 0)) / ((a > 0)::INT + (b > 0)::INT + (c > 0)::INT + (d > 0)::INT), 3) END"
+
+
+def _judged(spark, d) -> DataFrame:
+    own = table(spark, d, "lineitem")
+    return own.select("l_orderkey", "l_linenumber", "l_returnflag", (F.col("l_linenumber") % 4 / 4).alias("faithfulness"), (F.col("l_quantity") / 53).alias("answer_relevancy"), F.col("l_discount").alias("context_precision"), F.col("l_tax").alias("context_recall"), F.lit(0.5).alias("token_f1"), F.when(F.col("l_linestatus") == "F", "e").alias("error"))
+
+
+@query(f"WITH m AS (SELECT l_orderkey, l_linenumber, {_METRICS} FROM lineitem) SELECT l_orderkey, l_linenumber, {_SCORE} AS score FROM m")
+def eval_rag_score(spark, d):
+    return _judged(spark, d).select("l_orderkey", "l_linenumber", evaluate.rag_score(*map(F.col, evaluate.METRICS)).alias("score"))
+
+
+@query("SELECT l_returnflag, count(*) AS n, count(*) FILTER (l_linestatus = 'F') AS n_errors, round(avg(l_quantity / 53) FILTER (l_linestatus <> 'F'), 3) AS answer_relevancy FROM lineitem GROUP BY l_returnflag")
+def eval_report(spark, d):
+    return evaluate.report(_judged(spark, d), ["l_returnflag"]).select("l_returnflag", "n", "n_errors", "answer_relevancy")
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 100 <= 10 THEN round(p_partkey % 100 / 10.0::DOUBLE, 3) WHEN p_size <= 10 THEN round(p_size / 10.0::DOUBLE, 3) ELSE 0.0::DOUBLE END AS score FROM part")
+def score_parse(spark, d):
+    reply = F.concat(F.lit("Оценка: "), (F.col("p_partkey") % 100).cast("string"), F.lit(" ("), F.col("p_size").cast("string"), F.lit(")"))
+    return table(spark, d, "part").select("p_partkey", evaluate.score_of(reply).alias("score"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN k = 4 THEN 'approved' WHEN k = 3 THEN 'rejected' WHEN k IN (1, 2) THEN 'review' ELSE 'approved' END AS status, CASE WHEN k IN (0, 2, 3, 4) THEN 1 ELSE 0 END AS n_citations, CASE WHEN k = 2 THEN 1 ELSE 0 END AS n_fake FROM (SELECT o_orderkey, o_orderkey % 5 AS k FROM orders)""")
+def validate_answers(spark, d):
+    k, body = F.col("o_orderkey") % 5, "Ответ по документации, достаточно длинный для проверки ссылок. "
+    cite = lambda page: F.lit(f"[Документ: Guide, стр. {page}]")
+    answer = F.when(k == 1, F.lit(body)).when(k == 2, F.concat(F.lit(body), cite(9))).when(k == 4, cite(3)).otherwise(F.concat(F.lit(body), cite(3)))
+    own = table(spark, d, "orders").select("o_orderkey", answer.alias("answer"), F.array(F.struct(F.lit("docs/guide.pdf").alias("source"), F.lit(3).cast("long").alias("page"))).alias("sources"), F.when(k == 3, False).alias("factual"))
+    return evaluate.validated(own).select("o_orderkey", "status", "n_citations", F.size("fake").alias("n_fake"))
+
+
+def _store(spark, d) -> DataFrame:
+    return table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), F.when(F.col("doc_id") % 10 == 0, "").otherwise(F.col("text")).alias("content"), F.col("lang").alias("chunk_type"))
+
+
+@query("SELECT lang AS chunk_type, count(*) AS n, count(*) FILTER (doc_id % 10 = 0 OR trim(coalesce(text, ''), ' ') = '') AS n_empty FROM documents GROUP BY lang")
+def index_counts(spark, d):
+    return indexes.chunk_counts(_store(spark, d)).select("chunk_type", "n", "n_empty")
+
+
+@query("""WITH c AS (SELECT count(*) AS n, count(*) FILTER (doc_id % 10 <> 0) AS l FROM documents)
+SELECT CAST(n AS BIGINT) AS n_store, l AS n_lexical, n AS n_vectors, CASE WHEN n = 0 OR abs(n - l) > greatest(5.0, 0.02 * n) THEN 'fail' ELSE 'ok' END AS status FROM c""")
+def index_verify(spark, d):
+    own = _store(spark, d)
+    return indexes.verified(own, own.where("content <> '' OR content IS NULL"), own).select("n_store", "n_lexical", "n_vectors", "status")
+
+
+@query("SELECT 'id' || event_id AS chunk_id, CASE WHEN event_id % 2 = 0 THEN event_type ELSE NULL END AS content, user_id AS page FROM events WHERE event_id % 3 <> 0")
+def record_coerce(spark, d):
+    meta = F.when(F.col("event_id") % 3 != 0, F.struct(F.col("user_id").cast("string").alias("page")))
+    line = F.to_json(F.struct(F.concat(F.lit("id"), F.col("event_id").cast("string")).alias("id"), F.when((F.col("event_id") % 2 == 0) & (F.col("event_id") % 3 != 0), F.col("event_type")).alias("page_content"), meta.alias("metadata")))
+    return indexes.coerced(table(spark, d, "events").select(line.alias("value"))).select("chunk_id", "content", "page")
+
+
+@query("SELECT source, lang, text IS NOT NULL AS has_text, min(doc_id) AS first_doc FROM documents GROUP BY source, lang, text")
+def dedup_first(spark, d):
+    own = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), "source", F.lit(1).cast("long").alias("page"), F.col("lang").alias("chunk_type"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("content"), F.col("text").isNotNull().alias("has_text"), "doc_id")
+    return indexes.first_of_group(own, F.col("doc_id")).select("source", F.col("chunk_type").alias("lang"), "has_text", F.col("doc_id").alias("first_doc"))
+
+
+@query("SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS seq FROM documents")
+def seq_backfill(spark, d):
+    own = table(spark, d, "documents").select("doc_id", F.col("doc_id").alias("chunk_id"), "source", F.col("doc_id").alias("ord"))
+    adjacency = records.sequence_in_source(own).select("chunk_id", F.col("seq").cast("long").alias("seq"))
+    return indexes.with_seq(own.withColumn("seq", F.lit(None).cast("long")), adjacency).select("doc_id", "seq")
+
+
+@query("SELECT o_custkey, o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS INT) AS rank FROM orders QUALIFY rank <= 3")
+def orders_topk_per_customer(spark, d):
+    w = W.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")
+    return table(spark, d, "orders").select("o_custkey", "o_orderkey", F.row_number().over(w).alias("rank")).where("rank <= 3")
+
+
+@query("SELECT e.event_id, p.event_id AS purchase_id FROM events e ASOF LEFT JOIN (SELECT event_id, user_id, max(event_id) OVER () IS NOT NULL AS y FROM events WHERE event_type = 'purchase') p ON e.user_id = p.user_id AND e.event_id >= p.event_id")
+def asof_event_join(spark, d):
+    """The last purchase of the same user up to each event: one window over both sides, no pairs."""
+    past = W.partitionBy("user_id").orderBy("event_id").rowsBetween(W.unboundedPreceding, 0)
+    return table(spark, d, "events").select("event_id", F.last(F.when(F.col("event_type") == "purchase", F.col("event_id")), True).over(past).alias("purchase_id"))
+
+
+@query("SELECT DISTINCT o_custkey AS key, o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) AS rich FROM orders UNION SELECT c_custkey, false FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def setops_keys(spark, d):
+    ordered = table(spark, d, "orders").select(F.col("o_custkey").alias("key"))
+    every = table(spark, d, "customer")
+    rich = every.where("c_acctbal > 0").select(F.col("c_custkey").alias("key"))
+    idle = every.select(F.col("c_custkey").alias("key")).subtract(ordered)
+    return ordered.intersect(rich).withColumn("rich", F.lit(True)).unionByName(ordered.subtract(rich).withColumn("rich", F.lit(False))).unionByName(idle.withColumn("rich", F.lit(False)))
+
+
+@query("WITH f AS (SELECT source, doc_id, length(text) AS n FROM documents) SELECT a.doc_id, count(b.doc_id) AS n_near FROM f a LEFT JOIN f b ON a.source = b.source AND a.doc_id <> b.doc_id AND abs(a.doc_id - b.doc_id) <= 40 GROUP BY a.doc_id")
+def expand_context(spark, d):
+    w = W.partitionBy("source").orderBy("doc_id").rangeBetween(-40, 40)
+    return table(spark, d, "documents").select("doc_id", (F.count("*").over(w) - 1).alias("n_near"))
+
