@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from corvane.functions import text as X
@@ -58,13 +62,41 @@ def token_f1(pairs: DataFrame, answer: str, reference: str) -> DataFrame:
 
 
 def admitted(events: DataFrame, limit: int, window_seconds: int) -> DataFrame:
-    """Sliding-window limiter over events(key, t, event_id): only admitted events count, one exactly a window old still does."""
-    ordered = events.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("t", "event_id"))).alias("all"))
-    start = F.struct(F.expr("cast(array() as array<double>)").alias("open"), F.expr("cast(array() as array<struct<event_id: bigint, admitted: boolean>>)").alias("out"))
-
-    def step(state, e):
-        live = F.filter(state["open"], lambda t: e["t"] - t <= window_seconds)
-        ok = F.size(live) < limit
-        return F.struct(F.when(ok, F.concat(live, F.array(e["t"]))).otherwise(live).alias("open"), F.concat(state["out"], F.array(F.struct(e["event_id"].alias("event_id"), ok.alias("admitted")))).alias("out"))
+    """Sliding-window limiter over events(key, t, event_id): only admitted events count, one exactly a window old still does.
 
-    return ordered.select("key", F.explode(F.aggregate("all", start, step, lambda s: s["out"])).alias("e")).select("key", "e.event_id", "e.admitted")
+    Events of a key are read in order and only its open window is kept, so a
+    worker's memory does not follow the size of a key. A null key is a key of its own.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in events.schema}
+    own = events.select("key", "t", "event_id", F.to_json(F.struct("key")).alias("same"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, live = None, deque()
+        for batch in batches:
+            verdicts = []
+            for same, t in zip(batch["same"], batch["t"]):
+                if same != current:
+                    current, live = same, deque()
+                while live and t - live[0] > window_seconds:
+                    live.popleft()
+                verdicts.append(len(live) < limit)
+                if verdicts[-1]:
+                    live.append(t)
+            yield batch[["key", "event_id"]].assign(admitted=verdicts)
+
+    ordered = own.repartition("same").sortWithinPartitions("same", "t", "event_id")
+    return ordered.mapInPandas(run, f"key {kinds['key']}, event_id {kinds['event_id']}, admitted boolean")
+
+
+def admitted_two_level(events: DataFrame, per_key: int, overall: int, window_seconds: int, scope: str | None = None) -> DataFrame:
+    """Overall limit first, then each key's: an event that its key rejects has still used an overall slot.
+
+    The overall limit is one sequence by definition; ``scope`` names a column that
+    has a limit of its own for each value. Returns key, event_id, verdict
+    (admitted, overall, key).
+    """
+    first = admitted(events.select((F.col(scope) if scope else F.lit(0)).alias("key"), "t", "event_id"), overall, window_seconds).select("event_id", F.col("admitted").alias("passed"))
+    own = events.select("key", "t", "event_id").join(first, "event_id")
+    second = admitted(own.where("passed").select("key", "t", "event_id"), per_key, window_seconds).select("event_id", "admitted")
+    verdict = F.when(~F.col("passed"), "overall").when(F.col("admitted"), "admitted").otherwise("key")
+    return own.join(second, "event_id", "left").select("key", "event_id", verdict.alias("verdict"))

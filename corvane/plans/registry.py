@@ -213,10 +213,19 @@ def event_dedup_batch(spark, d):
     return _t(spark, d, "events").groupBy("user_id", "event_type", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.min("event_id").alias("event_id"))
 
 
+def _timed(spark, d):
+    own = _t(spark, d, "events").select(F.col("user_id").alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("us"), "event_id")
+    return own.select("key", "event_id", (F.col("us") / 1e6).alias("t"))
+
+
 @_query()
 def rate_limit_user(spark, d):
-    own = _t(spark, d, "events").select(F.col("user_id").alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("us"), "event_id").withColumn("t", F.col("us") / 1e6)
-    return records.admitted(own, 3, 86400)
+    return records.admitted(_timed(spark, d), 3, 86400)
+
+
+@_query()
+def rate_limit_two_level(spark, d):
+    return records.admitted_two_level(_timed(spark, d), 2, 20, 86400)
 
 
 @_query("SELECT DISTINCT user_id, event_type FROM events")
@@ -225,9 +234,44 @@ def stream_dedup(spark, d):
     return S.drained(own)
 
 
-@_query()
+_CLOSED = "(SELECT max(ts) - INTERVAL 1 HOUR FROM events)"
+
+
+@_query(f"WITH w AS (SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type FROM events) SELECT start, event_type, count(*) AS n FROM w GROUP BY ALL HAVING start + INTERVAL 1 DAY <= {_CLOSED}")
 def stream_tumbling(spark, d):
-    return S.drained(S.tumbling(S.stream_of(spark, f"{d}/events.parquet")))
+    return S.drained(S.tumbling(S.stream_of(spark, f"{d}/events.parquet"))).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+
+
+@_query(f"WITH w AS (SELECT date_trunc('day', ts)::TIMESTAMP - to_hours(12 * k) + to_hours(CASE WHEN hour(ts) >= 12 THEN 12 ELSE 0 END) AS start, event_type FROM events, (VALUES (0), (1)) v(k)) SELECT start, event_type, count(*) AS n FROM w GROUP BY ALL HAVING start + INTERVAL 1 DAY <= {_CLOSED}")
+def stream_sliding(spark, d):
+    return S.drained(S.sliding(S.stream_of(spark, f"{d}/events.parquet"), "1 day", "12 hours")).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+
+
+@_query(f"""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+SELECT user_id, min(ts)::TIMESTAMP AS start, count(*) AS n FROM s GROUP BY user_id, k HAVING max(ts) + INTERVAL 6 HOUR <= {_CLOSED}""")
+def stream_session(spark, d):
+    return S.drained(S.sessions(S.stream_of(spark, f"{d}/events.parquet"), "6 hours")).select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")
+
+
+@_query()
+def stream_rate_limit(spark, d):
+    own = S.stream_of(spark, f"{d}/events.parquet").select(F.col("user_id").alias("key"), (F.unix_micros("ts") / F.lit(1e6)).alias("t"), "event_id")
+    return S.drained(S.limited(own, 3, 86400))
+
+
+@_query("""WITH o AS (SELECT *, CASE event_id % 3 WHEN 0 THEN 'set' WHEN 1 THEN 'ask' ELSE 'pop' END AS op FROM events)
+SELECT user_id AS key, event_id, last_value(CASE WHEN op = 'set' THEN event_type END IGNORE NULLS) OVER w AS preference,
+CASE WHEN op = 'pop' THEN nullif(last_value(CASE op WHEN 'ask' THEN event_type WHEN 'pop' THEN '' END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') END AS popped
+FROM o WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)""")
+def stream_prefs(spark, d):
+    own = S.stream_of(spark, f"{d}/events.parquet")
+    op = F.when(F.col("event_id") % 3 == 0, "set").when(F.col("event_id") % 3 == 1, "ask").otherwise("pop")
+    return S.drained(S.preferences(own.select(F.col("user_id").alias("key"), (F.unix_micros("ts") / F.lit(1e6)).alias("t"), "event_id", op.alias("op"), F.col("event_type").alias("value"))))
+
+
+@_query("SELECT strftime(ts, '%Y%m%d') AS log_date, count(*) AS n FROM events GROUP BY ALL")
+def log_rotation(spark, d):
+    return S.drained(S.dated(S.stream_of(spark, f"{d}/events.parquet")), partition="log_date").groupBy("log_date").agg(F.count("*").alias("n"))
 
 
 @_query("SELECT event_id, json_valid(props) AS valid FROM events")

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def stream_of(spark: SparkSession, path: str) -> DataFrame:
@@ -15,12 +19,13 @@ def stream_of(spark: SparkSession, path: str) -> DataFrame:
     return own.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
+def drained(stream: DataFrame, mode: str = "append", partition: str | None = None) -> DataFrame:
     """Run a stream over all that is there and return the rows of its sink, a table in the shared folder."""
     spark = stream.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/corvane-work"
     out = f"{base.rstrip('/')}/corvane/stream-{uuid.uuid4().hex}"
-    query = stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{out}-state").option("path", out).trigger(availableNow=True).start()
+    writer = stream.writeStream.partitionBy(partition) if partition else stream.writeStream
+    query = writer.format("parquet").outputMode(mode).option("checkpointLocation", f"{out}-state").option("path", out).trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
 
@@ -32,3 +37,65 @@ def deduplicated(events: DataFrame, keys: list[str]) -> DataFrame:
 def tumbling(events: DataFrame, size: str = "1 day") -> DataFrame:
     """Counts of closed windows by type."""
     return events.withWatermark("ts", "1 hour").groupBy(F.window("ts", size), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")).select(F.col("window.start").alias("start"), "event_type", "n", "total")
+
+
+def sliding(events: DataFrame, size: str, slide: str) -> DataFrame:
+    """Counts of closed overlapping windows by type."""
+    return events.withWatermark("ts", "1 hour").groupBy(F.window("ts", size, slide), "event_type").agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "event_type", "n")
+
+
+def sessions(events: DataFrame, gap: str) -> DataFrame:
+    """Events of each user without a pause of ``gap``: start and count of closed sessions."""
+    return events.withWatermark("ts", "1 hour").groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("n")).select("user_id", F.col("session_window.start").alias("start"), "n")
+
+
+def dated(events: DataFrame) -> DataFrame:
+    return events.withColumn("log_date", F.date_format("ts", "yyyyMMdd"))
+
+
+def _in_order(parts: Iterator[pd.DataFrame]) -> pd.DataFrame:
+    """Rows of a key in one micro-batch; the source's trigger options bound them."""
+    return pd.concat(list(parts)).sort_values(["t", "event_id"], kind="stable")
+
+
+def limited(events: DataFrame, limit: int, window_seconds: int) -> DataFrame:
+    """Sliding-window limiter over a stream(key, t, event_id); the state of a key is its open window.
+
+    Within a micro-batch events count in order of time; the batch twin is ``records.admitted``.
+    """
+    kind = events.schema["key"].dataType.simpleString()
+
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        live = json.loads(state.get[0]) if state.exists else []
+        own, verdicts = _in_order(parts), []
+        for t in own["t"]:
+            live = [x for x in live if t - x <= window_seconds]
+            verdicts.append(len(live) < limit)
+            if verdicts[-1]:
+                live.append(t)
+        state.update((json.dumps(live),))
+        yield pd.DataFrame({"key": key[0], "event_id": own["event_id"], "admitted": verdicts})
+
+    return events.groupBy("key").applyInPandasWithState(step, f"key {kind}, event_id long, admitted boolean", "live string", "append", GroupStateTimeout.NoTimeout)
+
+
+def preferences(events: DataFrame) -> DataFrame:
+    """Preference and pending question of each key over a stream(key, t, event_id, op, value).
+
+    ``set`` keeps a preference and leaves the question, ``ask`` keeps a question,
+    ``pop`` gives it back once. Returns key, event_id, preference, popped.
+    """
+    kind = events.schema["key"].dataType.simpleString()
+
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        preference, pending = state.get if state.exists else (None, None)
+        rows = []
+        for event, op, value in _in_order(parts)[["event_id", "op", "value"]].itertuples(index=False):
+            popped = pending if op == "pop" else None
+            preference = value if op == "set" else preference
+            pending = value if op == "ask" else None if op == "pop" else pending
+            rows.append((key[0], event, preference, popped))
+        state.update((preference, pending))
+        yield pd.DataFrame(rows, columns=["key", "event_id", "preference", "popped"])
+
+    return events.groupBy("key").applyInPandasWithState(step, f"key {kind}, event_id long, preference string, popped string", "preference string, pending string", "append", GroupStateTimeout.NoTimeout)
