@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, functions as F
 
 from corvane.functions import tables as T, text as X
@@ -65,7 +67,7 @@ def figure_caption(text: Column) -> Column:
 def is_weak_caption(caption: Column, fragments: tuple[str, ...] = ()) -> Column:
     """Too little to search by: empty, a placeholder, or short with few blanks, a known fragment or leading punctuation."""
     t = F.lower(F.trim(F.coalesce(caption, F.lit(""))))
-    torn = F.greatest(*(t.startswith(f) for f in fragments), F.lit(False)) | t.rlike(r"^[)(.,;]")
+    torn = functools.reduce(lambda a, f: a | t.startswith(f), fragments, t.rlike(r"^[)(.,;]"))
     few = F.length(F.regexp_replace(F.coalesce(caption, F.lit("")), "[^ ]", "")) <= 3
     return (t == "") | t.startswith("изображение") | ((F.length(t) <= WEAK_CAPTION) & (few | torn))
 

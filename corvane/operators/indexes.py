@@ -46,7 +46,7 @@ def first_of_group(records: DataFrame, order: Column) -> DataFrame:
     key = [F.coalesce("source", F.lit("")).alias("k_source"), F.col("page").alias("k_page"), F.col("chunk_type").alias("k_type"), X.short_hash(F.substring(F.coalesce("content", F.lit("")), 1, 2000)).alias("k_hash")]
     own = records.select("*", *key, order.alias("k_order")).groupBy("k_source", "k_page", "k_type", "k_hash").agg(F.min_by(F.struct(*[F.col(c) for c in records.columns], F.col("k_order")), "k_order").alias("r")).select("r.*")
     n = F.row_number().over(W.partitionBy("chunk_id").orderBy("k_order"))
-    return own.withColumn("n", n).withColumn("chunk_id", F.when(F.col("n") > 1, F.concat("chunk_id", F.lit("_"), F.substring(F.sha2(F.concat_ws(":", "chunk_id", F.col("n").cast("string")), 256), 1, 6))).otherwise(F.col("chunk_id"))).drop("n", "k_order")
+    return own.withColumn("k_n", n).withColumn("chunk_id", F.when(F.col("k_n") > 1, F.concat("chunk_id", F.lit("_"), F.substring(F.sha2(F.concat_ws(":", "chunk_id", F.col("k_n").cast("string")), 256), 1, 6))).otherwise(F.col("chunk_id"))).drop("k_n", "k_order")
 
 
 def exported(chunks: DataFrame, path: str, by_type: bool = True) -> DataFrame:
