@@ -116,12 +116,12 @@ def bm25_topk(spark, d):
 
 
 _SQ = "round(list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda x: (x[1]::DOUBLE - x[2]::DOUBLE) * (x[1]::DOUBLE - x[2]::DOUBLE))), 6)"
-_VEC = f"vec AS (SELECT q.vec_id AS query_id, e.vec_id AS chunk_id, {_SQ} AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_SQ}, e.vec_id) AS rank FROM embeddings e, embeddings q WHERE q.vec_id < 10 QUALIFY rank <= 18)"
+_VEC = f"vec AS (SELECT q.vec_id // 50 AS query_id, e.vec_id AS chunk_id, {_SQ} AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_SQ}, e.vec_id) AS rank FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0 QUALIFY rank <= 18)"
 
 
 def _vector_leg(spark, d, metric="l2") -> DataFrame:
     own = _t(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
-    return R.vector_topk(own, own.where("chunk_id < 10").select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("query_embedding")), metric=metric)
+    return R.vector_topk(own, own.where("chunk_id % 50 = 0").select(F.expr("chunk_id DIV 50").alias("query_id"), F.col("embedding").alias("query_embedding")), metric=metric)
 
 
 @_query(f"WITH {_VEC} SELECT query_id, chunk_id, rank FROM vec")
@@ -133,7 +133,7 @@ _DOT = "list_sum(list_transform(list_zip({0}, {1}), lambda x: x[1]::DOUBLE * x[2
 _COS = f"round({_DOT.format('e.embedding', 'q.embedding')} / (sqrt({_DOT.format('e.embedding', 'e.embedding')}) * sqrt({_DOT.format('q.embedding', 'q.embedding')})), 6)"
 
 
-@_query(f"SELECT q.vec_id AS query_id, e.vec_id AS chunk_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS} DESC, e.vec_id) AS rank FROM embeddings e, embeddings q WHERE q.vec_id < 10 QUALIFY rank <= 18")
+@_query(f"SELECT q.vec_id // 50 AS query_id, e.vec_id AS chunk_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS} DESC, e.vec_id) AS rank FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0 QUALIFY rank <= 18")
 def vector_topk_cosine(spark, d):
     return _vector_leg(spark, d, "cosine").select("query_id", "chunk_id", "rank")
 

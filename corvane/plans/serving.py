@@ -17,9 +17,9 @@ def _cache(spark, d) -> DataFrame:
     return own.join(when, "query_hash")
 
 
-@query(f"WITH {_CACHE} SELECT query_hash, hit_count FROM cache ORDER BY hit_count DESC, created_at DESC, query_hash LIMIT 100")
+@query(f"WITH {_CACHE} SELECT query_hash, hit_count FROM cache ORDER BY hit_count DESC, created_at DESC, query_hash LIMIT 1000")
 def cache_candidates(spark, d):
-    return V.cache_candidates(_cache(spark, d), 100).select("query_hash", "hit_count")
+    return V.cache_candidates(_cache(spark, d)).select("query_hash", "hit_count")
 
 
 @query(f"WITH {_CACHE} SELECT query_hash FROM cache WHERE NOT ((epoch_us({_NOW}) - epoch_us(created_at)) / 86400e6 > 30 AND hit_count <= 1)")
@@ -31,12 +31,12 @@ _DOT = "list_sum(list_transform(list_zip({0}, {1}), lambda x: x[1]::DOUBLE * x[2
 _COS = f"round({_DOT.format('c.embedding', 'q.embedding')} / (sqrt({_DOT.format('c.embedding', 'c.embedding')}) * sqrt({_DOT.format('q.embedding', 'q.embedding')})), 6)"
 
 
-@query(f"""WITH {_CACHE}, c AS (SELECT * FROM cache WHERE query_hash % 2 = 0 ORDER BY hit_count DESC, created_at DESC, query_hash LIMIT 1000), q AS (SELECT vec_id AS query_id, embedding, label FROM embeddings WHERE vec_id % 7 = 1),
+@query(f"""WITH {_CACHE}, c AS (SELECT * FROM cache ORDER BY hit_count DESC, created_at DESC, query_hash LIMIT 1000), q AS (SELECT vec_id AS query_id, list_transform(embedding, lambda x: x::DOUBLE + 0.1::DOUBLE) AS embedding, label FROM embeddings WHERE vec_id % 50 = 0),
 s AS (SELECT query_id, query_hash, {_COS} AS similarity FROM q JOIN c ON q.label = c.facet)
 SELECT query_id, query_hash, similarity FROM s WHERE similarity >= 0.3 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, query_hash DESC) = 1""")
 def semantic_cache_lookup(spark, d):
-    asked = table(spark, d, "embeddings").where("vec_id % 7 = 1").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_embedding"), F.col("label").alias("facet"))
-    return V.cache_lookup(asked, _cache(spark, d).where("query_hash % 2 = 0"), threshold=0.3)
+    asked = table(spark, d, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.transform("embedding", lambda x: x.cast("double") + 0.1).alias("query_embedding"), F.col("label").alias("facet"))
+    return V.cache_lookup(asked, _cache(spark, d), threshold=0.3)
 
 
 _RANKED = "r AS (SELECT l_orderkey AS query_id, l_partkey AS chunk_id, l_returnflag AS facet, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber) AS rank FROM lineitem)"
