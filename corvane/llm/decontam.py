@@ -5,9 +5,12 @@ sequence with random bits and writes the word it stands on at each step: close
 in edit distance becomes close in Hamming distance. Windows of an item's size
 are embedded, ``SAMPLED`` positions are read, and a window meets the items of
 its size with the same reading; this is repeated until planted edits are met
-with probability ``RECALL`` (the number of repetitions is found by simulating
-edits on the items). Every candidate is checked by its exact edit distance,
-which may be ``EDIT_SHARE`` of the item's words at most.
+with probability ``RECALL``. The number of repetitions depends on the item's
+length alone: it is found by simulating edits on sequences of that length.
+Lengths that would need more than ``MOST_READINGS`` take no readings: the
+q-gram bound below is applied item by item, and every place that passes it is
+checked, so nothing is missed. Every candidate is checked by its exact edit
+distance, which may be ``EDIT_SHARE`` of the item's words at most.
 
 Only windows that can be within that distance are embedded: by the q-gram lemma
 such a passage, m + k words at most, holds m - 2 - 3k three-word runs of the items or more.
@@ -24,7 +27,7 @@ item_id are searched each by itself.
 
 from __future__ import annotations
 
-import math
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,10 +39,14 @@ from corvane.llm.licenses import WORD_BYTE
 from corvane.llm.store import small_batches, table
 
 LEAST_WORDS, EDIT_SHARE = 8, 0.2
-#: Embedded positions that one reading joins, wanted recall, share of edited words it is wanted for, most repetitions.
+#: Embedded positions that one reading joins, wanted recall, share of edited words it is wanted for, most repetitions; beyond them lengths are checked exactly.
 SAMPLED, RECALL, PLANNED_EDITS, MOST_READINGS = 3, 0.95, 0.2, 96
+#: Edited sequences that the simulation follows, and the step from one planned length to the next.
+SIMULATED, LENGTH_STEP = 400, 1.1
 ITEM_BLOCK = 20_000
 Q = 3
+#: Places of items' runs that the exact check looks at together.
+PLACES = 1 << 21
 
 _U = np.uint64
 _END = _U(0xA5A5A5A5A5A5A5A5)
@@ -49,8 +56,8 @@ def most_edits(words: int) -> int:
     return int(words * EDIT_SHARE)
 
 
-def edit_distances(a: list[int], b: list[int]) -> Iterator[int]:
-    """Levenshtein distance of ``a`` (not empty) to each non-empty prefix of ``b``, bit-parallel over ``a``."""
+def edit_distances(a: list[int], b: list[int], anywhere: bool = False) -> Iterator[int]:
+    """Levenshtein distance of ``a`` (not empty) to each non-empty prefix of ``b``, or to the nearest end of it, bit-parallel over ``a``."""
     where: dict[int, int] = {}
     for k, x in enumerate(a):
         where[x] = where.get(x, 0) | 1 << k
@@ -62,11 +69,25 @@ def edit_distances(a: list[int], b: list[int]) -> Iterator[int]:
         up, down = minus | ~(x | plus) & full, plus & x
         score += bool(up & top) - bool(down & top)
         yield score
-        up = (up << 1 | 1) & full
+        up = (up << 1 | (not anywhere)) & full
         down = down << 1 & full
         plus, minus = down | ~((eq | minus) | up) & full, up & (eq | minus)
 
 
+def nearest(item: list[int], text: list[int]) -> tuple[int, int, int] | None:
+    """(edits, start, words) of the passage of ``text`` that is nearest to ``item``, the first and then the shortest of several; none beyond most_edits."""
+    ends = list(edit_distances(item, text, anywhere=True))
+    edits, m = min(ends, default=len(item)), len(item)
+    if edits > most_edits(m):
+        return None
+    back = item[::-1]
+    found = []
+    for end in (j for j, e in enumerate(ends, 1) if e == edits):
+        before = text[max(0, end - m - edits) : end][::-1]
+        found += [(end - n, n) for n, e in enumerate(edit_distances(back, before), 1) if e == edits]
+    return edits, *min(found)
+
+
 class Walk:
     """One CGK walk and the positions that are read from it."""
 
@@ -93,6 +114,11 @@ class Walk:
             place = place + bit.astype(np.int64)
         return index, out
 
+    def whole(self, words: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+        """Readings of the windows of ``size`` words at ``starts``."""
+        index, out = self.embed(words, starts, max(self.at(size)) + 1)
+        return self.read(index, out, starts, np.arange(len(starts)), size)
+
     def read(self, index: np.ndarray, out: np.ndarray, starts: np.ndarray, columns: np.ndarray, size: int) -> np.ndarray:
         """Readings of windows of ``size`` words at the chosen columns of an embedding."""
         total = np.zeros(len(columns), _U)
@@ -102,6 +128,36 @@ class Walk:
         return K.mix(total)
 
 
+def readings_needed(words: int) -> int:
+    """Readings that meet copies of an item of so many words, PLANNED_EDITS of them edited, with probability RECALL; 0 if MOST_READINGS do not."""
+    length = LEAST_WORDS
+    while length < words:  # the rate falls with length: that of the next planned length is kept
+        length = max(length + 1, int(length * LENGTH_STEP))
+    return _simulated(length)
+
+
+@functools.lru_cache(None)
+def _simulated(words: int) -> int:
+    rng = np.random.default_rng(words)
+    wide = 3 * words
+    own = rng.integers(1, 2**63, (SIMULATED, wide), dtype=_U)
+    copies = rng.integers(1, 2**63, (SIMULATED, wide), dtype=_U)
+    for item, copy in zip(own, copies):
+        edited = item[:words].tolist()
+        for at in rng.permutation(words)[: most_edits(words)].tolist():
+            kind, new = int(rng.integers(3)), int(rng.integers(1, 2**63))
+            at = min(at, len(edited))
+            edited[at : at + (kind != 1)] = [new] * (kind < 2)
+        copy[: len(edited)] = edited
+    starts, missed = np.arange(SIMULATED) * wide, np.ones(SIMULATED, bool)
+    for r in range(MOST_READINGS):
+        walk = Walk(1000 + r)
+        missed &= walk.whole(own.ravel(), starts, words) != walk.whole(copies.ravel(), starts, words)
+        if missed.mean() <= 1 - RECALL:
+            return r + 1
+    return 0
+
+
 class Plan:
     """Items of one block: their words, readings, and the walks."""
 
@@ -116,38 +172,59 @@ class Plan:
         self.runs = np.unique(np.concatenate(runs)) if runs else np.empty(0, _U)
         self.bitmap = np.zeros(1 << 20, bool)
         self.bitmap[self.runs & _U((1 << 20) - 1)] = True
-        self.sizes = sorted({len(w) for _, w in self.items})
-        walks = [Walk(seed + r) for r in range(MOST_READINGS)]
-        self.walks = walks[: self._needed(walks)] if self.items else []
+        by_size: dict[int, list[int]] = {}
+        for k, (_, w) in enumerate(self.items):
+            by_size.setdefault(len(w), []).append(k)
+        readings = {m: readings_needed(m) for m in by_size}
+        self.sizes = sorted(m for m, r in readings.items() if r)
+        self.walks = [Walk(seed + r) for r in range(max(readings.values(), default=0) or 0)]
         self.tables: list[dict[int, tuple[np.ndarray, np.ndarray]]] = []
-        for walk in self.walks:
-            by_size: dict[int, list] = {}
-            for k, (_, w) in enumerate(self.items):
-                by_size.setdefault(len(w), []).append((int(self._reading(walk, w)), k))
-            self.tables.append({m: (np.array([x for x, _ in sorted(v)], _U), np.array([k for _, k in sorted(v)])) for m, v in by_size.items()})
-
-    @staticmethod
-    def _reading(walk: Walk, words: np.ndarray) -> np.uint64:
-        start = np.zeros(1, np.int64)
-        index, out = walk.embed(words, start, max(walk.at(len(words))) + 1)
-        return walk.read(index, out, start, start, len(words))[0]
-
-    def _needed(self, walks: list[Walk]) -> int:
-        """Repetitions that meet a copy with PLANNED_EDITS edited words with probability RECALL, by simulation."""
-        rng = np.random.default_rng(3)
-        met = tried = 0
-        for k in rng.permutation(len(self.items))[:24].tolist():
-            words = self.items[k][1]
-            edited = words.copy()
-            for at in rng.permutation(len(words))[: max(1, round(PLANNED_EDITS * len(words)))].tolist():
-                kind = rng.integers(3)
-                new = rng.integers(1, 2**63, 1, dtype=_U)
-                edited = np.concatenate([edited[:at], new if kind < 2 else edited[:0], edited[at + (kind != 1) :]])
-            for walk in walks[:16]:
-                tried += 1
-                met += self._reading(walk, words) == walk.read(*walk.embed(edited, np.zeros(1, np.int64), max(walk.at(len(words))) + 1), np.zeros(1, np.int64), np.zeros(1, np.int64), len(words))[0]
-        p = (met + 1) / (tried + 2)
-        return min(MOST_READINGS, math.ceil(math.log(1 - RECALL) / math.log(1 - p)) if p < 1 else 1)
+        for r, walk in enumerate(self.walks):
+            table: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+            for m in self.sizes:
+                if r < readings[m]:
+                    own = np.array(by_size[m])
+                    got = walk.whole(np.concatenate([self.items[k][1] for k in own.tolist()]), np.arange(len(own)) * m, m)
+                    by = np.argsort(got, kind="stable")
+                    table[m] = got[by], own[by]
+            self.tables.append(table)
+        # the others: runs of each item, as places in ``runs``
+        self.counted = np.array([k for m, own in by_size.items() if not readings[m] for k in own], np.int64)
+        held = [np.searchsorted(self.runs, np.unique(runs[k])) for k in self.counted.tolist()]
+        self.run_at = np.concatenate([[0], np.cumsum([len(x) for x in held])]).astype(np.int64)
+        self.run_of = np.concatenate(held) if held else np.empty(0, np.int64)
+
+    def _places(self, hits: np.ndarray, doc: np.ndarray, run: np.ndarray, firsts: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """(text, item, first and last start) where a passage of the text can hold as many runs of the item as one within its distance must."""
+        sizes = np.array([len(self.items[k][1]) for k in self.counted.tolist()])
+        edits = (sizes * EDIT_SHARE).astype(np.int64)
+        least, most = sizes - Q + 1 - Q * edits, sizes + edits
+        by = np.argsort(run, kind="stable")
+        held = np.bincount(run, minlength=len(self.runs))
+        begin = np.cumsum(held) - held
+        weight = np.diff(np.concatenate([[0], np.cumsum(held[self.run_of])])[self.run_at])
+        likely = np.flatnonzero(weight >= least)
+        while len(likely):
+            n = max(1, int(np.searchsorted(np.cumsum(weight[likely]), PLACES, "right")))
+            part, likely = likely[:n], likely[n:]
+            size = self.run_at[part + 1] - self.run_at[part]
+            runs = self.run_of[np.repeat(self.run_at[part] - np.cumsum(size) + size, size) + np.arange(size.sum())]
+            times, item = held[runs], np.repeat(part, size)
+            flat = by[np.repeat(begin[runs] - np.cumsum(times) + times, times) + np.arange(times.sum())]
+            item = np.repeat(item, times)
+            order = np.lexsort((flat, item))
+            flat, item = flat[order], item[order]
+            at, own = hits[flat], doc[flat]
+            far = np.arange(len(at)) + least[item] - 1
+            far_in = np.minimum(far, len(at) - 1)
+            fit = (far < len(at)) & (item[far_in] == item) & (own[far_in] == own) & (at[far_in] - at <= most[item] - Q)
+            if not fit.any():
+                continue
+            a, b, own, item = at[fit], at[far_in[fit]], own[fit], item[fit]
+            lo = np.maximum(b - (most[item] - Q), firsts[own])
+            new = np.concatenate([[True], (item[1:] != item[:-1]) | (own[1:] != own[:-1]) | (lo[1:] > a[:-1] + 1)])
+            last = np.concatenate([np.flatnonzero(new)[1:] - 1, [len(a) - 1]])
+            yield from zip(own[new].tolist(), self.counted[item[new]].tolist(), lo[new].tolist(), a[last].tolist())
 
     def search(self, words: np.ndarray, firsts: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """Best match of each item in each text: (text, item, first word, words, edits)."""
@@ -156,10 +233,19 @@ class Plan:
         if not len(likely):
             return []
         at = np.minimum(np.searchsorted(self.runs, grams[likely]), len(self.runs) - 1)
-        hits = likely[self.runs[at] == grams[likely]]
+        known = self.runs[at] == grams[likely]
+        hits, run = likely[known], at[known]
         doc = np.searchsorted(firsts, hits, "right") - 1
         inside = hits + Q <= firsts[doc + 1]
-        hits, doc = hits[inside], doc[inside]
+        hits, doc, run = hits[inside], doc[inside], run[inside]
+        best: dict[tuple[int, int], tuple[int, int, int]] = {}
+        for d, k, lo, hi in self._places(hits, doc, run, firsts) if len(self.counted) else ():
+            item = self.items[k][1]
+            stop = min(hi + len(item) + most_edits(len(item)), int(firsts[d + 1]))
+            got = nearest(item.tolist(), words[lo:stop].tolist())
+            if got:
+                found = (got[0], lo + got[1], got[2])
+                best[d, k] = min(best.get((d, k), found), found)
         starts_of: dict[int, np.ndarray] = {}
         for m in self.sizes:
             least = m - Q + 1 - Q * most_edits(m)
@@ -177,24 +263,25 @@ class Plan:
             width = np.maximum(0, hi - lo + 1)
             flat = np.repeat(lo - np.cumsum(width) + width, width) + np.arange(width.sum())
             starts_of[m] = np.unique(flat)
-        if not starts_of:
-            return []
-        starts = np.unique(np.concatenate(list(starts_of.values())))
+        starts = np.unique(np.concatenate(list(starts_of.values()))) if starts_of else np.empty(0, np.int64)
         columns = {m: np.searchsorted(starts, s) for m, s in starts_of.items()}
-        longest = max(starts_of)
         met: set[tuple[int, int]] = set()
         for walk, tables in zip(self.walks, self.tables):
+            longest = max((m for m in columns if m in tables), default=0)
+            if not longest:
+                continue
             for lo in range(0, len(starts), 1 << 15):
                 part = starts[lo : lo + (1 << 15)]
                 index, out = walk.embed(words, part, max(walk.at(longest)) + 1)
                 for m, own in columns.items():
+                    if m not in tables:
+                        continue
                     cols = own[(own >= lo) & (own < lo + len(part))] - lo
                     readings, which = tables[m]
                     got = walk.read(index, out, part, cols, m)
                     left, right = np.searchsorted(readings, got, "left"), np.searchsorted(readings, got, "right")
                     for c in np.flatnonzero(right > left).tolist():
                         met.update((int(part[cols[c]]), int(which[k])) for k in range(left[c], right[c]))
-        best: dict[tuple[int, int], tuple[int, int, int]] = {}
         for start, k in sorted(met):
             d = int(np.searchsorted(firsts, start, "right")) - 1
             item = self.items[k][1]

@@ -250,6 +250,31 @@ def test_decontamination_recall():
     assert found >= 0.9 * 150
 
 
+def _mixed_edits(rng, words, edits):
+    out = list(words)
+    for at in rng.permutation(len(words))[:edits].tolist():
+        kind, at = int(rng.integers(3)), min(at, len(out))
+        out[at : at + (kind != 1)] = [f"new{rng.integers(10**9)}"] * (kind < 2)
+    return out
+
+
+def test_decontamination_recall_by_length():
+    rng = np.random.default_rng(11)
+    sizes = [20] * 40 + [60] * 40 + [300] * 20
+    items = [(i, " ".join(f"w{x}" for x in rng.integers(0, 5000, m))) for i, m in enumerate(sizes)]
+    plan, found = decontam.Plan(items), Counter()
+    for i, item in items * 2:
+        own = _mixed_edits(rng, item.split(), sizes[i] // 5)
+        raw = np.frombuffer(" ".join([*(f"x{x}" for x in range(50)), *own, *(f"y{x}" for x in range(50))]).encode(), np.uint8)
+        w = textkit.Words(raw, np.array([0, len(raw)]), licenses.WORD_BYTE, textkit.FOLDED)
+        got = {g[1]: g for g in plan.search(w.hashes, w.first)}
+        found[sizes[i]] += i in got
+        if sizes[i] == 300:  # the exact way: the nearest passage of all
+            want = min((e, a, n) for a in range(len(w.hashes)) for n, e in enumerate(decontam.edit_distances(plan.items[i][1].tolist(), w.hashes[a : a + 360].tolist()), 1)) if found[300] <= 2 else (got[i][4], *got[i][2:4])
+            assert (got[i][4], *got[i][2:4]) == want
+    assert found[20] >= 0.9 * 80 and found[60] >= 0.9 * 80 and found[300] == 40
+
+
 def test_edit_distances():
     rng = np.random.default_rng(2)
     for _ in range(100):
