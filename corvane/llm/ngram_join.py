@@ -1,8 +1,9 @@
 """N-gram Jaccard join: blocked sparse product of the document by n-gram incidence.
 
 A document is the set of its distinct five-word shingles; two documents link
-when 100 * |A and B| >= 75 * |A or B|. The join returns all that links decide
-(every document's component) without listing the pairs inside groups of copies:
+when 100 * |A and B| >= 75 * |A or B|. The join returns every document's
+component and the number of its links, without writing pairs inside groups of
+copies to any table:
 
 1. ``facts``: set size, set fingerprint and min-hash bands of every document,
    and the shingles that are frequent somewhere. Equal sets become one class.
@@ -17,11 +18,14 @@ when 100 * |A and B| >= 75 * |A or B|. The join returns all that links decide
    sizes and last columns give.
 4. What is left is verified with whole sets. The components of all links are
    found by star contraction.
+5. Links inside labels are counted exactly: the sets of a label are dealt into
+   tiles, and each pair of tiles is one product of incidence matrices. Links of
+   classes count for all rows of them. The work grows with the square of a group.
 
 The order of shingles decides only the amount of work, never the result: the
 list of frequent shingles has a fixed largest size and may be incomplete.
 
-Defined results: a null or empty text has size 0 and is its own component; a
+Defined results: a null or empty text has size 0, is its own component and has no links; a
 row whose doc_id is null keeps its row, and its component is the smallest
 non-null doc_id that it reaches (null if none); repeated rows are returned as
 often as they come. Columns other than doc_id and text are not read.
@@ -53,6 +57,8 @@ GATHER = 1 << 21
 BLOCK_ENTRIES = 1 << 21
 #: Bits of the filter that spares shuffling sets that no pair needs; when it fills up, more sets pass.
 FILTER_BITS = 1 << 24
+#: Entries of a tile of a label, and classes on one side of a matrix that a worker makes.
+TILE_ENTRIES, SIDE = 1 << 20, 512
 
 _U = np.uint64
 _PERM = np.random.default_rng(7).integers(1, 2**63, (2 * BANDS, 2), dtype=_U) * _U(2) + _U(1)
@@ -395,6 +401,69 @@ def _links(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
     return two.select("a", "b", "items_a", "items_b").mapInArrow(_verify, "u long, v long").distinct()
 
 
+def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Overlap of each set of ``left`` with each of ``right``."""
+    out = np.zeros((len(left), len(right)), np.float32)
+    sides = [(np.concatenate(own), np.repeat(np.arange(len(own)), [len(x) for x in own])) for own in (left, right)]
+    columns = np.intersect1d(sides[0][0], sides[1][0])
+    placed = []
+    for items, row in sides:
+        at = np.minimum(np.searchsorted(columns, items), len(columns) - 1) if len(columns) else np.empty(0, np.int64)
+        hit = np.flatnonzero(columns[at] == items) if len(columns) else at
+        by = hit[np.argsort(at[hit], kind="stable")]
+        placed.append((at[by], row[by]))
+    for lo in range(0, len(columns), 4096):
+        dense = []
+        for (at, row), own in zip(placed, (left, right)):
+            a, b = np.searchsorted(at, [lo, lo + 4096])
+            matrix = np.zeros((len(own), min(4096, len(columns) - lo)), np.float32)
+            matrix[row[a:b], at[a:b] - lo] = 1
+            dense.append(matrix)
+        out += dense[0] @ dense[1].T
+    return out.astype(np.int64)  # exact: sets have fewer than 2**24 shingles
+
+
+def _count_inside(key: tuple, parts: pa.Table) -> pa.Table:
+    """Rows that each class links to inside its label: the pairs of one tile, or of two."""
+    _, i, j = (k.as_py() for k in key)
+    label, tile, node, copies = (parts.column(c).to_numpy() for c in ("label", "tile", "node", "n_copies"))
+    items = [np.frombuffer(x, _U) for x in parts.column("items").to_pylist()]
+    n = np.array([len(x) for x in items], np.int64)
+    links = np.zeros(len(node), np.int64)
+    order = np.lexsort((n, label))
+    for own in np.split(order, np.flatnonzero(np.diff(label[order])) + 1):
+        one, two = (np.split(side, range(SIDE, len(side), SIDE)) for side in (own[tile[own] == i], own[tile[own] == j]))
+        for p, a in enumerate(one):
+            for b in two[p:] if i == j else two:
+                if not len(a) or not len(b) or min(n[a[-1]], n[b[-1]]) * DEN < max(n[a[0]], n[b[0]]) * NUM:
+                    continue
+                both = _overlaps([items[x] for x in a], [items[x] for x in b])
+                linked = DEN * both >= NUM * (n[a][:, None] + n[b] - both)
+                if i == j and a[0] == b[0]:
+                    np.fill_diagonal(linked, False)
+                    links[a] += linked @ copies[b]
+                else:
+                    links[a] += linked @ copies[b]
+                    links[b] += copies[a] @ linked
+    some = links > 0
+    return pa.table({"node": node[some], "links": links[some]})
+
+
+def _inside(docs: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
+    """(node, links): the rows that each class links to among the classes of its label."""
+    spark = docs.sparkSession
+    own = classes.select("node", "doc_id", "n", "n_copies").join(labels.hint("merge"), "node")
+    sums = own.groupBy("label").agg(F.sum("n").alias("entries")).withColumn("tiles", F.ceil(F.col("entries") / TILE_ENTRIES))
+    packs = -(-(sums.agg(F.sum("entries")).first()[0] or 0) // TILE_ENTRIES) + 1
+    bits = spark.sparkContext.broadcast(_filter_bits(own.mapInArrow(_codes, "h long")))
+    sets = docs.select("doc_id", "text").mapInArrow(_sets(bits), "node long, n long, items binary").dropDuplicates(["node"]).select("node", "items")
+    tiled = own.join(sums.hint("merge"), "label").withColumn("tile", F.pmod(F.xxhash64("node"), "tiles")).select("node", "n_copies", "label", "tiles", "tile")
+    dealt = tiled.join(sets.hint("merge"), "node").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
+    # labels of one tile share a task by their hash
+    dealt = dealt.select(F.when(F.col("tiles") == 1, F.pmod(F.xxhash64("label"), F.lit(packs))).otherwise(F.col("label")).alias("pack"), F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "label", "tile", "node", "n_copies", "items")
+    return dealt.groupBy("pack", "i", "j").applyInArrow(_count_inside, "node long, links long")
+
+
 def _stars(classes: DataFrame) -> DataFrame:
     """Pairs (a, b) of classes with pivots of their bands: a few for each class, whatever the size of its group.
 
@@ -417,8 +486,8 @@ def _stars(classes: DataFrame) -> DataFrame:
     return sided.where(alike >= AGREE).select("a", "b")
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
-    """One row for each row of ``docs(doc_id, text)``: doc_id, n_shingles, component_id, n_copies (rows with the same set)."""
+def _components(docs: DataFrame, count: bool) -> tuple[DataFrame, DataFrame]:
+    """Facts of the rows, and (node, component_id, n_copies) of the classes; n_links too if it is to ``count`` them."""
     spark = docs.sparkSession
     docs = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = settle(docs.mapInArrow(_facts, _FACTS), "facts")
@@ -446,8 +515,24 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     names = component_labels(first.unionByName(second))
     of = classes.join(names.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node")).select("node", "doc_id", "component", "n_copies")
     lowest = of.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    of = settle(of.join(lowest, "component").select("node", "component_id", "n_copies"), "components")
-    return facts.join(of.hint("merge"), "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"))
+    of = of.join(lowest, "component").select("node", "component_id", "n_copies")
+    if count:
+        copies = classes.select("node", "n_copies")
+        both = second.select(F.col("u").alias("node"), "v").unionByName(second.select(F.col("v").alias("node"), F.col("u").alias("v")))
+        across = both.join(copies.select(F.col("node").alias("v"), F.col("n_copies").alias("links")).hint("merge"), "v").select("node", "links")
+        links = across.unionByName(_inside(docs, classes, labels)).groupBy("node").agg(F.sum("links").alias("links"))
+        of = of.join(links.hint("merge"), "node", "left").withColumn("n_links", F.coalesce("links", F.lit(0)) + F.col("n_copies") - 1).drop("links")
+    return facts, settle(of, "components")
+
+
+def jaccard_components(docs: DataFrame) -> DataFrame:
+    """One row for each row of ``docs(doc_id, text)``: doc_id, n_shingles, component_id, n_copies (rows with the same set), n_links (other rows that it links to)."""
+    facts, of = _components(docs, count=True)
+    return _named(facts, of).select("doc_id", "n_shingles", "component_id", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def _named(facts: DataFrame, of: DataFrame) -> DataFrame:
+    return facts.join(of.hint("merge"), "node", "left").withColumn("n_shingles", F.col("n")).withColumn("component_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))).withColumn("n_copies", F.coalesce("n_copies", F.lit(1)))
 
 
 def one_of_each_group(docs: DataFrame) -> DataFrame:
@@ -457,7 +542,7 @@ def one_of_each_group(docs: DataFrame) -> DataFrame:
     with a null doc_id stay only in components without any doc_id.
     """
     names = docs.columns
-    found = settle(jaccard_components(docs), "groups")
+    found = settle(_named(*_components(docs, count=False)).select("doc_id", "component_id"), "groups")
     ids = found.where("doc_id = component_id").select(F.col("doc_id").alias("keep_id")).distinct()
     kept = docs.where("doc_id IS NOT NULL").join(ids.hint("merge"), F.col("doc_id").cast("long") == F.col("keep_id"), "left_semi")
     one = kept.groupBy("doc_id").agg(F.min_by(F.struct(*names), F.xxhash64("text")).alias("row")).select("row.*")

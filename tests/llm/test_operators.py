@@ -54,6 +54,26 @@ def test_jaccard_components(spark, texts):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == components(every)
 
 
+def test_jaccard_links(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "TILE_ENTRIES", 3000)
+    rng = np.random.default_rng(8)
+    rows = [(0, None), (1, ""), (2, "a text by itself")]
+    for g in range(3):  # groups of near copies, some of them twice
+        base = [f"g{g}w{k}" for k in range(200)]
+        for k in range(40):
+            own = list(base)
+            for at in rng.integers(0, 200, rng.integers(0, 10)).tolist():
+                own[at] = f"g{g}c{k}x{at}"
+            rows += [(1000 * (g + 1) + k, " ".join(own))] * (1 + (k % 7 == 0))
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in ((x or "").split() for _, x in rows)]
+    want = Counter()
+    for a, b in itertools.permutations(range(len(rows)), 2):
+        both = len(sets[a] & sets[b])
+        want[a] += bool(sets[a]) and 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both)
+    got = ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r["doc_id"], r["n_links"]) for r in got) == Counter((rows[a][0], want[a]) for a in range(len(rows)))
+
+
 def test_jaccard_edges(edge, none):
     got = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_components(edge).collect())
     assert got[(1, 0, 1)] == 1 and got[(2, 0, 2)] == 1 and got[(3, 1, 3)] == 2 and got[(4, 1, 4)] == 1 and got[(None, 1, None)] == 1
