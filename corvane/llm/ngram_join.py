@@ -62,7 +62,7 @@ TILE_ENTRIES, SIDE = 1 << 20, 512
 
 _U = np.uint64
 _PERM = np.random.default_rng(7).integers(1, 2**63, (2 * BANDS, 2), dtype=_U) * _U(2) + _U(1)
-_FACTS = "doc_id long, n long, node long, mins array<int>, hot long, cnt long"
+_FACTS = "doc_id long, key long, n long, node long, mins array<int>, hot long, cnt long"
 
 
 def _id_column(batch: pa.RecordBatch) -> pa.Array:
@@ -86,7 +86,7 @@ def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         few = cnt >= 3
         hot, cnt = every[at][few].view(np.int64), cnt[few]
         none = pa.nulls(len(hot), pa.int64())
-        return pa.record_batch([none, none, none, pa.nulls(len(hot), pa.list_(pa.int32())), pa.array(hot), pa.array(cnt.astype(np.int64))], names=["doc_id", "n", "node", "mins", "hot", "cnt"])
+        return pa.record_batch([none, none, none, none, pa.nulls(len(hot), pa.list_(pa.int32())), pa.array(hot), pa.array(cnt.astype(np.int64))], names=["doc_id", "key", "n", "node", "mins", "hot", "cnt"])
 
     for whole in batches:
         for batch in K.slices(whole, "text"):
@@ -111,7 +111,7 @@ def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         pool.clear()
                         seen.clear()
                         held = 0
-            yield pa.record_batch([_id_column(batch), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(mins, pa.list_(pa.int32())), pa.nulls(len(n), pa.int64()), pa.nulls(len(n), pa.int64())], names=["doc_id", "n", "node", "mins", "hot", "cnt"])
+            yield pa.record_batch([_id_column(batch), batch.column("key"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(mins, pa.list_(pa.int32())), pa.nulls(len(n), pa.int64()), pa.nulls(len(n), pa.int64())], names=["doc_id", "key", "n", "node", "mins", "hot", "cnt"])
     if pool:
         yield frequent()
 
@@ -487,12 +487,12 @@ def _stars(classes: DataFrame) -> DataFrame:
 
 
 def _components(docs: DataFrame, count: bool) -> tuple[DataFrame, DataFrame]:
-    """Facts of the rows, and (node, component_id, n_copies) of the classes; n_links too if it is to ``count`` them."""
+    """Facts of the rows, and (node, component_id, n_copies, keeper: the row that stands for the component) of the classes; n_links too if it is to ``count`` them."""
     spark = docs.sparkSession
     docs = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = settle(docs.mapInArrow(_facts, _FACTS), "facts")
-    facts = rows.where("hot IS NULL").select("doc_id", "n", "node", "mins")
-    classes = settle(facts.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("mins").alias("mins"), F.count("*").alias("n_copies")), "classes")
+    rows = settle(docs.withColumn("key", F.xxhash64("text")).mapInArrow(_facts, _FACTS), "facts")
+    facts = rows.where("hot IS NULL").select("doc_id", "key", "n", "node", "mins")
+    classes = settle(facts.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("lead"), F.first("n").alias("n"), F.first("mins").alias("mins"), F.count("*").alias("n_copies")), "classes")
 
     stars = settle(_stars(classes), "stars")
     first = settle(_links(docs, classes, stars), "links")
@@ -513,9 +513,9 @@ def _components(docs: DataFrame, count: bool) -> tuple[DataFrame, DataFrame]:
     second = settle(_links(docs, classes, left), "links")
 
     names = component_labels(first.unionByName(second))
-    of = classes.join(names.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node")).select("node", "doc_id", "component", "n_copies")
-    lowest = of.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    of = of.join(lowest, "component").select("node", "component_id", "n_copies")
+    of = classes.join(names.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node")).select("node", "doc_id", "lead", "component", "n_copies")
+    lowest = of.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.min("lead").alias("keeper"))
+    of = of.join(lowest, "component").select("node", "component_id", "n_copies", "keeper")
     if count:
         copies = classes.select("node", "n_copies")
         both = second.select(F.col("u").alias("node"), "v").unionByName(second.select(F.col("v").alias("node"), F.col("u").alias("v")))
@@ -528,32 +528,22 @@ def _components(docs: DataFrame, count: bool) -> tuple[DataFrame, DataFrame]:
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """One row for each row of ``docs(doc_id, text)``: doc_id, n_shingles, component_id, n_copies (rows with the same set), n_links (other rows that it links to)."""
     facts, of = _components(docs, count=True)
-    return _named(facts, of).select("doc_id", "n_shingles", "component_id", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-
-
-def _named(facts: DataFrame, of: DataFrame) -> DataFrame:
-    return facts.join(of.hint("merge"), "node", "left").withColumn("n_shingles", F.col("n")).withColumn("component_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))).withColumn("n_copies", F.coalesce("n_copies", F.lit(1)))
+    return facts.join(of.hint("merge"), "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def one_of_each_group(docs: DataFrame) -> DataFrame:
-    """Rows of ``docs`` that stand for their component: the one with its smallest doc_id.
+    """Rows of ``docs`` that stand for their component: the one with its smallest doc_id, null ids last, then the lowest text hash.
 
-    Of rows that share that doc_id the one with the lowest text hash stays. Rows
-    with a null doc_id stay only in components without any doc_id.
+    A row is known by its doc_id and its text; of rows with both the same one
+    stays. Rows without a shingle are components of their own.
     """
     names = docs.columns
-    found = settle(_named(*_components(docs, count=False)).select("doc_id", "component_id"), "groups")
-    ids = found.where("doc_id = component_id").select(F.col("doc_id").alias("keep_id")).distinct()
-    kept = docs.where("doc_id IS NOT NULL").join(ids.hint("merge"), F.col("doc_id").cast("long") == F.col("keep_id"), "left_semi")
-    one = kept.groupBy("doc_id").agg(F.min_by(F.struct(*names), F.xxhash64("text")).alias("row")).select("row.*")
-    if found.where("doc_id IS NULL AND component_id IS NULL").limit(1).count() == 0:
-        return one
-    # rows without an identifier are found again by their sets
-    loose = docs.where("doc_id IS NULL")
-    rows = found.where("doc_id IS NULL AND component_id IS NULL").count()
-    if rows == found.where("doc_id IS NULL").count():
-        return one.unionByName(loose.dropDuplicates(["text"]))
-    return one.unionByName(loose.join(docs.where("doc_id IS NOT NULL").select(F.col("text").alias("known")), F.col("text").eqNullSafe(F.col("known")), "left_anti").dropDuplicates(["text"]))
+    facts, of = _components(docs, count=False)
+    rows = of.select("keeper.doc_id", "keeper.key").unionByName(facts.where("node IS NULL").select("doc_id", "key")).distinct()
+    ids = settle(rows.select(F.col("doc_id").alias("keep_id"), F.col("key").alias("keep_key")), "groups")
+    own = docs.select(F.struct(*names).alias("row"), F.col("doc_id").cast("long").alias("own_id"), F.xxhash64(F.col("text").cast("string")).alias("own_key"))
+    kept = own.join(ids.hint("merge"), F.col("own_id").eqNullSafe(F.col("keep_id")) & (F.col("own_key") == F.col("keep_key")), "left_semi")
+    return kept.groupBy("own_id", "own_key").agg(F.first("row").alias("row")).select("row.*")
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

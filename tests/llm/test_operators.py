@@ -74,6 +74,15 @@ def test_jaccard_links(spark, monkeypatch):
     assert Counter((r["doc_id"], r["n_links"]) for r in got) == Counter((rows[a][0], want[a]) for a in range(len(rows)))
 
 
+def test_one_of_each_group_by_row(spark):
+    x, y, z = (" ".join(f"{c}{k}" for k in range(60)) for c in "xyz")
+    rows = [(5, x), (7, x + " end"), (7, y), (7, y), (None, y + " end"), (None, z), (None, z + " end"), (9, None)]
+    got = ngram_join.one_of_each_group(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    kept = Counter((r["doc_id"], r["text"]) for r in got)
+    assert kept[5, x] == 1 and kept[7, y] == 1 and kept[9, None] == 1
+    assert len(got) == 4 and kept[None, z] + kept[None, z + " end"] == 1
+
+
 def test_jaccard_edges(edge, none):
     got = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_components(edge).collect())
     assert got[(1, 0, 1)] == 1 and got[(2, 0, 2)] == 1 and got[(3, 1, 3)] == 2 and got[(4, 1, 4)] == 1 and got[(None, 1, None)] == 1
