@@ -93,16 +93,28 @@ def _block_ends(data: np.ndarray, word: np.ndarray) -> Iterator[tuple[int, int]]
         lo = hi
 
 
+def _unspaced(data: np.ndarray) -> np.ndarray:
+    """Ends of the characters of scripts that do not put blanks between words (Chinese, Japanese, Thai), before and behind."""
+    lead = (data >= 0xE3) & (data <= 0xE9)
+    thai = np.flatnonzero(data[:-1] == 0xE0)
+    lead[thai] = (data[thai + 1] == 0xB8) | (data[thai + 1] == 0xB9)
+    at = np.flatnonzero(lead)
+    both = np.unique(np.concatenate([at, at + 3]))
+    return both[(both > 0) & (both < len(data))]
+
+
 class Words:
-    """Words of the texts of a buffer: hash, byte span, and first word of each text."""
+    """Words of the texts of a buffer: hash, byte span, and first word of each text. With ``unspaced``, a character of a script without blanks is a word."""
 
-    def __init__(self, data: np.ndarray, offs: np.ndarray, byte_table: np.ndarray = WORD_BYTE, codes: np.ndarray = FOLDED):
+    def __init__(self, data: np.ndarray, offs: np.ndarray, byte_table: np.ndarray = WORD_BYTE, codes: np.ndarray = FOLDED, unspaced: bool = False):
         word = byte_table[data] if len(data) else np.empty(0, bool)
         edge = np.empty(len(data) + 1, bool)
         if len(data):
             edge[0], edge[-1] = word[0], word[-1]
             np.not_equal(word[1:], word[:-1], out=edge[1:-1])
             inner = offs[(offs > 0) & (offs < len(data))]
+            if unspaced:
+                inner = np.concatenate([inner, _unspaced(data)])
             split = inner[word[inner] & word[inner - 1]]
             starts = np.flatnonzero(edge[:-1] & word)
             ends = np.flatnonzero(edge[1:] & word) + 1
