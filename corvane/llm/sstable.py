@@ -9,9 +9,11 @@ A shard file holds documents in ascending key order:
 * a footer of fixed size with the places of index and filter, the counts, the
   CRC-32 of index and filter, and a magic number.
 
-A key is one byte (0 for a null identifier, else 1), the identifier in
-big-endian order with its sign flipped, and a running number for repeated
-identifiers. A value is the document's ids as unsigned 16- or 32-bit integers.
+A key is one byte (0 for a null identifier, else 1), the identifier and the
+hash of the text, both in big-endian order with the sign flipped, and a running
+number for equal rows. Rows with equal identifier and text lie in one range, so
+every key is unique over all shards, and shards have one order, by their first
+keys. A value is the document's ids as unsigned 16- or 32-bit integers.
 
 Shards are written by the tasks that hold a range of identifiers, each under a
 name of its own; the manifest lists the shards of the tasks that succeeded, so
@@ -19,7 +21,8 @@ a repeated task leaves no double rows.
 
 Defined results: a null text counts as empty and has only the end id; null
 identifiers come first; rows that share an identifier follow one another in the
-order of their text's hash.
+order of their text's hash, so reruns give equal starts; an empty table gives
+no shard and an empty result. Columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -34,9 +37,9 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from corvane.llm.store import fresh_uri, settle, small_batches, table
+from corvane.llm.store import lasting_uri, settle, small_batches, table
 from corvane.llm.textkit import slices
 from corvane.llm.tokens import encoder
 
@@ -49,8 +52,16 @@ END_ID = 2
 SHARD_BYTES = 64 << 20
 
 
-def key_of(doc_id: int | None, nth: int = 0) -> bytes:
-    return b"\0" + bytes(8) + struct.pack(">I", nth) if doc_id is None else b"\1" + struct.pack(">QI", doc_id + 2**63, nth)
+#: Bytes of a key that tell the identifier.
+_ID_BYTES = 9
+#: Tasks that read shards, at most; each reads several beyond that.
+MOST_READERS = 10_000
+
+
+def key_of(doc_id: int | None, tie: int = -(2**63), nth: int = 0) -> bytes:
+    """Key of a row; without tie and nth the least key of its identifier."""
+    own = b"\0" + bytes(8) if doc_id is None else b"\1" + struct.pack(">Q", doc_id + 2**63)
+    return own + struct.pack(">QI", tie + 2**63, nth)
 
 
 def id_of(key: bytes) -> int | None:
@@ -105,7 +116,8 @@ class ShardWriter:
             self.block_first = key
         self.block += _varint(shared) + _varint(len(key) - shared) + _varint(len(value)) + key[shared:] + value
         self.last = key
-        self.ids.append(key[:9])
+        if not self.ids or self.ids[-1] != key[:_ID_BYTES]:
+            self.ids.append(key[:_ID_BYTES])
         self.docs += 1
         self.tokens += len(tokens)
         if len(self.block) >= BLOCK_BYTES:
@@ -181,12 +193,12 @@ class ShardReader:
 
     def get(self, doc_id: int | None) -> list[np.ndarray]:
         """Ids of every document with this identifier."""
-        prefix = key_of(doc_id)[:9]
+        prefix = key_of(doc_id)[:_ID_BYTES]
         if not all(self.bloom[s >> 3] >> (s & 7) & 1 for s in _bloom_spots(prefix, self.bits)):
             return []
         out, k = [], max(0, bisect_right(self.firsts, key_of(doc_id)) - 1)
-        while k < len(self.places) and self.firsts[k][:9] <= prefix:
-            out += [v for key, v in self._block(k) if key[:9] == prefix]
+        while k < len(self.places) and self.firsts[k][:_ID_BYTES] <= prefix:
+            out += [v for key, v in self._block(k) if key[:_ID_BYTES] == prefix]
             k += 1
         return out
 
@@ -199,7 +211,7 @@ def write_shards(docs: DataFrame, uri: str, tokenizer: str | None = None, end_id
         name, coder, end = uuid.uuid4().hex, encoder(tokenizer), np.array([end_id], "<u4").tobytes()
         wide = max(coder.tokenizer.get_vocab_size(), end_id + 1) > 1 << 16
         rows, writer, held, part = [], None, 0, 0
-        last, nth = object(), 0
+        last, nth = None, 0
 
         def finish() -> None:
             writer.close()
@@ -210,14 +222,14 @@ def write_shards(docs: DataFrame, uri: str, tokenizer: str | None = None, end_id
         for whole in batches:
             for batch in slices(whole, "text", 2 << 20):
                 texts = [t or "" for t in batch.column("text").to_pylist()]
-                for doc_id, text, ids in zip(batch.column("doc_id").to_pylist(), texts, coder.encode_many(texts)):
-                    nth = nth + 1 if doc_id == last else 0
-                    last = doc_id
+                for doc_id, tie, text, ids in zip(batch.column("doc_id").to_pylist(), batch.column("tie").to_pylist(), texts, coder.encode_many(texts)):
+                    nth = nth + 1 if (doc_id, tie) == last else 0
+                    last = doc_id, tie
                     if writer is None:
                         files.create_dir(root, recursive=True)
-                        first = key_of(doc_id, nth)
+                        first = key_of(doc_id, tie, nth)
                         writer = ShardWriter(files.open_output_stream(f"{root}/{name}-{part}.part"), wide)
-                    writer.add(key_of(doc_id, nth), np.frombuffer(ids + end, "<u4"))
+                    writer.add(key_of(doc_id, tie, nth), np.frombuffer(ids + end, "<u4"))
                     held += len(text)
                     if held >= SHARD_BYTES:
                         finish()
@@ -227,22 +239,19 @@ def write_shards(docs: DataFrame, uri: str, tokenizer: str | None = None, end_id
         yield pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.binary(), pa.int64(), pa.int64()))], names=["path", "first", "docs", "tokens"])
 
     own = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("tie"))
-    ranged = own.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
+    ranged = own.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
     return settle(ranged.mapInArrow(run, "path string, first binary, docs long, tokens long"), "shards")
 
 
 def read_shards(manifest: DataFrame, uri: str, with_ids: bool = False) -> DataFrame:
     """One row a document from the files: doc_id, start, n_tokens, ids_crc32, and the ids on demand.
 
-    The driver sees one row a shard, to add up where each begins.
+    Where a shard begins is the sum of the shards before it: a running sum over
+    one row a shard, a shard being some 64 MB of text.
     """
-    spark = manifest.sparkSession
-    shards = sorted(manifest.collect(), key=lambda r: (bytes(r["first"]), r["path"]))
-    rows, start = [], 0
-    for r in shards:
-        rows.append((r["path"], start))
-        start += r["tokens"]
-    listed = spark.createDataFrame(rows, "path string, start long").repartition(max(1, len(rows)))
+    before = W.orderBy("first").rowsBetween(W.unboundedPreceding, -1)
+    readers = max(1, min(MOST_READERS, manifest.count()))
+    listed = manifest.select("path", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("start")).repartition(readers)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, _ = pafs.FileSystem.from_uri(uri)
@@ -269,21 +278,22 @@ def _batch(rows: list[tuple], with_ids: bool) -> pa.RecordBatch:
 
 
 def lookup(manifest: DataFrame, uri: str, doc_id: int | None) -> list[np.ndarray]:
-    """Ids of every document with this identifier: binary search for the shard, then in its index."""
-    shards = sorted(((bytes(r["first"]), r["path"]) for r in manifest.collect()))
+    """Ids of every document with this identifier: from the last shard that begins before it up to the last that begins with it."""
+    low = key_of(doc_id)
+    high = low[:_ID_BYTES] + b"\xff" * (len(low) - _ID_BYTES)
+    at = manifest.where(F.col("first") <= F.lit(low)).agg(F.max("first")).first()[0]
+    held = manifest.where((F.col("first") <= F.lit(high)) & (F.col("first") >= F.lit(bytes(at) if at is not None else low))).orderBy("first")
     files, _ = pafs.FileSystem.from_uri(uri)
-    k = max(0, bisect_right([s[0] for s in shards], key_of(doc_id)) - 1)
     out: list[np.ndarray] = []
-    while k < len(shards) and shards[k][0][:9] <= key_of(doc_id)[:9]:
-        with files.open_input_file(shards[k][1]) as file:
+    for r in held.toLocalIterator():
+        with files.open_input_file(r["path"]) as file:
             out += ShardReader(file, file.size()).get(doc_id)
-        k += 1
     return out
 
 
 def token_output(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    """Write the shards into the shared folder and read them back: doc_id, start, n_tokens, ids_crc32."""
-    uri = fresh_uri(docs.sparkSession, "sst")
+    """Write the shards into the shared folder, where they stay, and read them back: doc_id, start, n_tokens, ids_crc32."""
+    uri = lasting_uri(docs.sparkSession, "sst")
     return read_shards(write_shards(docs, uri, tokenizer), uri)
 
 
