@@ -1,11 +1,20 @@
 """Quality rules, line first: bad lines go, then documents that lost too much text.
 
-Every line is judged by its own rules (end punctuation, navigation, boilerplate,
-symbols, repetition); the lines that fail are removed, and a document is
-rejected if too large a share of its words went with them, or too little is left.
-
-Defined results: a null or empty text has no words and fails the base rule;
-repeated rows are returned as often as they come.
+Every line is judged by itself, in this order: boilerplate (set phrases of four
+languages), navigation (separators between short pieces, menu words, lines of
+labels), symbols, letters, capitals, repetition, and punctuation: running text
+ends with a mark that ends a sentence, or at least holds marks between its
+words; a short line without an end, or a long one without any mark, fails. The
+lines that fail are removed, and a document is rejected if too large a share of
+its words went with them.
+
+Navigation and punctuation are told by the form of a line, not by its language;
+the marks are those of Latin, Greek, Arabic, Indian and East Asian scripts.
+
+Defined results: a null or empty text has no words and fails the base rule; an
+empty line is no line; a line equal to an earlier one of its document is
+removed; repeated rows are returned as often as they come; columns other than
+doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -23,14 +32,27 @@ from corvane.llm.store import small_batches, table
 LEAST_WORDS, REPEAT_WINDOW, MOST_REPEATED = 20, 8, 30
 #: A document that loses more than this share of its words is rejected.
 MOST_LOST = 0.5
-#: A line with more than this share of symbols in its characters, or of its words ending in two of them, fails.
+#: A line with more than this share of symbols in its characters fails.
 MOST_SYMBOLS = 0.1
+#: Lines of fewer words must end with a mark; longer ones may be cut off, but must hold marks, one for so many words at least.
+SHORT_LINE, WORDS_A_MARK = 12, 60
 SYMBOLS = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
+#: Phrases of notices and consent banners in English, German, French and Spanish.
 _BOILERPLATE = re.compile(
-    r"(?:all rights reserved|terms (?:of use|of service|and conditions)|privacy policy|cookie policy|we use cookies|accept (?:all )?cookies|sign up for our newsletter|subscribe to our|"
-    r"click here to|enable javascript|lorem ipsum|share (?:this )?on (?:facebook|twitter|linkedin)|powered by wordpress|skip to (?:main )?content)")
-_NAVIGATION = frozenset("home about contact login logout register search menu sitemap faq blog news next previous back top help shop cart account".split())
-_SEPARATOR = re.compile(r"\s[|»>·•]\s")
+    r"all rights reserved|terms (?:of use|of service|and conditions)|(?:privacy|cookie) policy|we use cookies|accept (?:all )?cookies|sign up for our newsletter|subscribe to our|"
+    r"click here to|enable javascript|lorem ipsum|share (?:this )?on (?:facebook|twitter|linkedin)|powered by wordpress|skip to (?:main )?content|"
+    r"alle rechte vorbehalten|nutzungsbedingungen|datenschutzerklärung|wir verwenden cookies|cookies (?:akzeptieren|zulassen)|newsletter (?:abonnieren|anmelden)|javascript (?:aktivieren|ist deaktiviert)|zum inhalt springen|"
+    r"tous droits réservés|conditions (?:générales|d.utilisation)|politique de confidentialité|nous utilisons des cookies|accepter (?:tous )?les cookies|abonnez-vous|activer javascript|aller au contenu|"
+    r"todos los derechos reservados|términos y condiciones|política de (?:privacidad|cookies)|(?:usamos|utilizamos) cookies|aceptar (?:todas )?las cookies|suscríbete|activar? javascript|saltar al contenido")
+#: Words of menus in the same languages.
+_NAVIGATION = frozenset((
+    "home about contact login logout register search menu sitemap faq blog news next previous back top help shop cart account "
+    "startseite kontakt impressum anmelden abmelden registrieren suche hilfe warenkorb konto weiter zurück über "
+    "accueil contacter connexion déconnexion inscription recherche aide panier compte suivant précédent retour "
+    "inicio contacto entrar salir registrarse buscar ayuda carrito cuenta siguiente anterior volver").split())
+_SEPARATOR = re.compile(r"\s[|»>·•/–—]\s")
+#: Marks that end a sentence, what may stand behind them, and marks inside one.
+_ENDS, _CLOSERS, _MARKS = ".!?…:;。！？；：؟۔।॥;", "\"'“”‘’»«)]}›」』）", ".,!?…:;。！？；：、，،؟؛۔।॥"
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -42,9 +64,11 @@ def line_fault(line: str, words: list[str]) -> str | None:
     low = line.lower()
     if _BOILERPLATE.search(low):
         return "boilerplate"
-    if len(_SEPARATOR.findall(line)) >= 3:
+    ended = line.rstrip().rstrip(_CLOSERS)[-1:] in _ENDS
+    pieces = len(_SEPARATOR.findall(line)) + 1
+    if pieces >= 4 and n <= 5 * pieces:
         return "navigation"
-    if n <= 12 and sum(w.strip(".,:;").lower() in _NAVIGATION for w in words) * 2 > n:
+    if n <= SHORT_LINE and sum(w.strip(".,:;").lower() in _NAVIGATION for w in words) * 2 > n:
         return "navigation"
     if sum(map(line.count, "#*$%&|<>{}")) > MOST_SYMBOLS * len(line):
         return "symbols"
@@ -57,6 +81,8 @@ def line_fault(line: str, words: list[str]) -> str | None:
         return "punctuation"
     if n >= 24 and len(set(words)) * 4 < n:
         return "repetition"
+    if not ended and (n < SHORT_LINE or sum(map(line.count, _MARKS)) * WORDS_A_MARK < n):
+        return "punctuation"
     return None
 
 
