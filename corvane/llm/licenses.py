@@ -1,16 +1,21 @@
 """License scans: a generalised suffix automaton of licence tokens.
 
-The automaton accepts every run of tokens of every template. A text is streamed
+The templates are passages of licences (their paragraphs and notices). The
+automaton accepts every run of tokens of every template. A text is streamed
 through it and gives its matching statistics (the longest template run that ends
 at each word); matches of ``SEED`` words or more are chained, template by
-template, where they follow one another, and a template counts as present when
-its chain covers enough of it. Only stretches of words that all occur in some
-template are streamed: a match cannot reach beyond one.
+template, where they follow or overlap one another with small gaps, and the
+chain covers a span of the template. A passage counts as present when its best
+chain covers ``COVER`` of it or ``LONG`` words; of chains over the same stretch of
+text that with the most covered words gives the label, the first template on a
+tie. Only stretches of words that all occur in some template are streamed: a
+match cannot reach beyond one.
 
 Base phrases are looked up exactly, word by word.
 
 Defined results: a null text counts as empty (0 words, no labels, score 0);
-repeated rows are returned as often as they come.
+repeated rows are returned as often as they come; columns other than doc_id and
+text are not read.
 """
 
 from __future__ import annotations
@@ -27,28 +32,58 @@ from corvane.llm.store import small_batches, table
 
 #: Phrase and its label.
 PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
-#: Passages and notices of public licences.
+#: Paragraphs and notices of public licences.
 TEMPLATES = (
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
-    ("apache-2", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("mit", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"),
+    ("apache-2", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0"),
+    ("apache-2", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license"),
+    ("apache-2", "subject to the terms and conditions of this license each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright license to reproduce prepare derivative works of publicly display publicly perform sublicense and distribute the work and such derivative works in source or object form"),
+    ("apache-2", "you may reproduce and distribute copies of the work or derivative works thereof in any medium with or without modifications and in source or object form provided that you meet the following conditions you must give any other recipients of the work or derivative works a copy of this license and you must cause any modified files to carry prominent notices stating that you changed the files"),
+    ("apache-2", "unless required by applicable law or agreed to in writing licensor provides the work and each contributor provides its contributions on an as is basis without warranties or conditions of any kind either express or implied including without limitation any warranties or conditions of title non infringement merchantability or fitness for a particular purpose"),
+    ("apache-2", "in no event and under no legal theory whether in tort including negligence contract or otherwise unless required by applicable law such as deliberate and grossly negligent acts or agreed to in writing shall any contributor be liable to you for damages"),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
+    ("bsd", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("bsd", "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
-    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details"),
-    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0"),
-    ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license to view a copy of this license visit http creativecommons org licenses by 4 0"),
-    ("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial 4 0 international license to view a copy of this license visit http creativecommons org licenses by nc 4 0"),
-    ("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"),
+    ("isc", "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software"),
+    ("zlib", "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions"),
+    ("zlib", "the origin of this software must not be misrepresented you must not claim that you wrote the original software if you use this software in a product an acknowledgment in the product documentation would be appreciated but is not required"),
+    ("zlib", "altered source versions must be plainly marked as such and must not be misrepresented as being the original software"),
+    ("zlib", "this notice may not be removed or altered from any source distribution"),
+    ("boost", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following"),
+    ("boost", "distributed under the boost software license version 1 0"),
+    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("gpl", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details"),
+    ("gpl", "you should have received a copy of the gnu general public license along with this program if not see http www gnu org licenses"),
+    ("gpl", "the licenses for most software and other practical works are designed to take away your freedom to share and change the works by contrast the gnu general public license is intended to guarantee your freedom to share and change all versions of a program to make sure it remains free software for all its users"),
     ("gpl", "licensed under the gnu general public license version 3"),
     ("gpl", "licensed under the gnu general public license version 2 or later"),
+    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version"),
     ("lgpl", "licensed under the gnu lesser general public license"),
+    ("agpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
     ("agpl", "licensed under the gnu affero general public license version 3"),
     ("bsd", "released under the 3 clause bsd license"),
+    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0"),
     ("mpl-2", "licensed under the mozilla public license version 2 0"),
+    ("epl-2", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0"),
+    ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license to view a copy of this license visit http creativecommons org licenses by 4 0"),
     ("cc-by", "licensed under the creative commons attribution license"),
+    ("cc-by-sa", "this work is licensed under a creative commons attribution sharealike 4 0 international license to view a copy of this license visit http creativecommons org licenses by sa 4 0"),
+    ("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial 4 0 international license to view a copy of this license visit http creativecommons org licenses by nc 4 0"),
+    ("cc0", "the person who associated a work with this deed has dedicated the work to the public domain by waiving all of his or her rights to the work worldwide under copyright law including all related and neighboring rights to the extent allowed by law"),
     ("cc0", "released under the creative commons zero public domain dedication"),
+    ("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"),
+    ("unlicense", "in jurisdictions that recognize copyright laws the author or authors of this software dedicate any and all copyright interest in the software to the public domain we make this dedication for the benefit of the public at large and to the detriment of our heirs and successors we intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law"),
 )
-#: Shortest match that starts a chain, largest gap in words within a chain, and least share of a template.
-SEED, GAP, COVER = 4, 6, 0.6
+#: Shortest match that starts a chain, largest gap in words within a chain, and least share and words of a template that make it present.
+SEED, GAP, COVER, LONG = 4, 6, 0.6, 12
+#: Chain of one template: covered words, and the first and the end of its words in the text.
+Chain = tuple[int, int, int]
 
 #: Words are letters a-z and digits and everything beyond ASCII.
 WORD_BYTE = np.array([b >= 0x80 or chr(b).isalnum() for b in range(256)])
@@ -163,20 +198,39 @@ class Scanner:
             before = now
         return out
 
-    def chains(self, matches: list[tuple[int, int, int, int]]) -> dict[int, int]:
-        """Words of each template that its best chain of matches covers."""
-        best: dict[int, int] = {}
+    def chains(self, matches: list[tuple[int, int, int, int]]) -> dict[int, Chain]:
+        """Best chain of each template: matches in the order of text and template, with gaps of ``GAP`` words at most on both sides; what overlaps counts once."""
+        best: dict[int, Chain] = {}
         by: dict[int, list] = {}
         for t, p, q, size in matches:
             by.setdefault(t, []).append((q, p, size))
         for t, own in by.items():
-            ends: list[tuple[int, int, int]] = []  # text end, template end, covered
+            open_: list[tuple[int, int, int, int, int, int]] = []  # text and template start, text and template end, covered, first word
             for q, p, size in sorted(set(own)):
-                gain = size + max((c for qe, pe, c in ends if 0 <= q - qe <= GAP and 0 <= p - pe <= GAP), default=0)
-                ends = [x for x in ends if q - x[0] <= GAP] + [(q + size, p + size, gain)]
-                best[t] = max(best.get(t, 0), gain)
+                gain, first = size, q
+                for qs, ps, qe, pe, covered, begin in open_:
+                    shared = max(0, qe - q, pe - p)
+                    if qs < q and ps < p and shared < size and q - qe <= GAP and p - pe <= GAP and covered + size - shared > gain:
+                        gain, first = covered + size - shared, begin
+                open_ = [x for x in open_ if q - x[2] <= GAP] + [(q, p, q + size, p + size, gain, first)]
+                if gain > best.get(t, (0,))[0]:
+                    best[t] = gain, first, q + size
         return best
 
+    def present(self, chains: dict[int, Chain]) -> tuple[set[str], float]:
+        """Labels of the passages that are there, and the largest covered share of a passage."""
+        share = {t: min(1.0, c[0] / self.sizes[t]) for t, c in chains.items()}
+        there = sorted((t for t, c in chains.items() if share[t] >= COVER or c[0] >= LONG), key=lambda t: (-chains[t][0], t))
+        kept: list[Chain] = []
+        labels: set[str] = set()
+        for t in there:
+            _, a, b = chains[t]
+            if any(2 * (min(b, d) - max(a, c)) > b - a for _, c, d in kept):
+                continue  # a better chain holds most of this stretch
+            kept.append(chains[t])
+            labels.add(self.labels[t])
+        return labels, max(share.values(), default=0.0)
+
 
 @functools.lru_cache(1)
 def _default() -> Scanner:
@@ -210,11 +264,8 @@ def _rows(scanner: Scanner, batch: pa.RecordBatch) -> pa.RecordBatch:
         d = int(np.searchsorted(firsts, a, "right")) - 1
         found.setdefault(d, []).extend(scanner.matches(ids[a:b].tolist(), a))
     for d, matches in found.items():
-        for t, covered in scanner.chains(matches).items():
-            share = min(1.0, covered / scanner.sizes[t])
-            score[d] = max(score[d], share)
-            if share >= COVER:
-                own[d].add(scanner.labels[t])
+        own[d], share = scanner.present(scanner.chains(matches))
+        score[d] = max(score[d], share)
     none = lambda x: pa.array(np.where(x < 0, 0, x), pa.int64(), mask=x < 0)
     return pa.record_batch(
         [batch.column("doc_id"), pa.array(words.counts(), pa.int64()), pa.array(base), none(first), none(last), pa.array([",".join(sorted(x)) for x in labels]), pa.array([",".join(sorted(x | y)) for x, y in zip(labels, own)]), pa.array(score)],
