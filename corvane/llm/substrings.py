@@ -1,19 +1,22 @@
 """Substring deduplication by content-defined chunking.
 
 A gear hash rolls over the bytes of every text; where its low bits vanish, the
-word at hand ends a chunk, so that chunks move with their content and an
-insertion changes only its neighbours. Chunks are dealt by digest into blocks;
-within a block all occurrences of a digest but the first (lowest doc_id, then
-place) are duplicates. The duplicate chunks of a document, dealt by its identifier, are
-put together again, and a run of them with ``LEAST_WORDS`` words or more is a repeated passage.
+word at hand ends a chunk, or, where no word ends nearby, the character at
+hand, so that chunks move with their content and an insertion changes only its
+neighbours. Of each digest the first document (lowest doc_id) is found by a
+partial minimum in every task, so a chunk that a third of all documents hold is
+one row a task; digests of two documents or more are joined back to the chunks,
+where Spark splits a hot digest. A run of such chunks in a document, with
+``LEAST_WORDS`` words or more, is a repeated passage; in text without spaces,
+one of ``LEAST_CHARS`` characters.
 
-A group of n copies costs n records, never pairs. The number of blocks follows
-the size of the input, so a block stays of one size.
+A group of n copies costs n rows a chunk, never pairs.
 
 Defined results: null and empty texts have no chunks; repetition inside one
-document is left alone; rows that share a doc_id are one document (identical
-rows repeat nothing); rows with a null doc_id are neither reported nor counted
-as the first.
+document is left alone; a document is told by doc_id and text: equal rows
+repeat nothing, other texts under one doc_id are documents of their own, in
+the order of their hash; rows with a null doc_id are neither reported nor
+counted as the first, and keep their texts.
 """
 
 from __future__ import annotations
@@ -22,17 +25,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from corvane.llm import textkit as K
-from corvane.llm.store import small_batches, table
+from corvane.llm.store import columns, settle, small_batches, table
 
-#: Low bits of the gear hash that must vanish, and least and largest bytes of a chunk.
-MASK_BITS, LEAST, MOST = 4, 8, 128
-#: Words of a reported passage, at least. A passage loses the parts of its first and last chunk.
-LEAST_WORDS = 20
-#: Bytes of text for each block, about.
-BLOCK_BYTES = 24 << 20
+#: Low bits of the gear hash that must vanish, least and largest bytes of a chunk, and bytes within which a cut waits for the end of a word.
+MASK_BITS, LEAST, MOST, NEAR = 4, 8, 128, 24
+#: Words of a reported passage, at least, or characters where words are longer than UNSPACED characters. A passage loses the parts of its first and last chunk.
+LEAST_WORDS, LEAST_CHARS, UNSPACED = 30, 100, 12
 
 _U = np.uint64
 _GEAR = np.random.default_rng(31).integers(0, 2**32, 256, dtype=np.uint32)
@@ -49,14 +50,19 @@ def gear_hash(data: np.ndarray) -> np.ndarray:
 
 
 def chunk_ends(data: np.ndarray) -> np.ndarray:
-    """Ends of the chunks of one text; the last is the text's end. Cuts fall between words, or, in words longer than MOST, between characters."""
+    """Ends of the chunks of one text; the last is the text's end. Cuts fall behind words, or between characters where no word ends within NEAR bytes."""
     n = len(data)
     if n == 0:
         return np.empty(0, np.int64)
     hits = np.flatnonzero((gear_hash(data) >> np.uint32(32 - MASK_BITS)) == 0)
     gaps = np.flatnonzero(~K.WORD_BYTE[data])
-    at = np.searchsorted(gaps, hits, "right")
-    cuts = np.unique(np.append(gaps, n)[at])
+    word_end = np.append(gaps, n)[np.searchsorted(gaps, hits, "right")]
+    here = hits + 1
+    for _ in range(3):  # a character has three more bytes at most
+        inner = here < n
+        inner[inner] = (data[here[inner]] & 0xC0) == 0x80
+        here = here + inner
+    cuts = np.unique(np.where(word_end - hits <= NEAR, word_end, here))
     out, last = [], 0
     for cut in [*cuts.tolist(), n]:
         while cut - last > MOST:
@@ -76,121 +82,82 @@ def chunk_ends(data: np.ndarray) -> np.ndarray:
     return np.array(out, np.int64)
 
 
-def _chunks(blocks: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in K.slices(whole, "text"):
-                data, offs, _ = K.string_buffers(batch.column("text"))
-                ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-                ends = [chunk_ends(data[a:b]) + a for a, b in zip(offs[:-1].tolist(), offs[1:].tolist())]
-                count = np.array([len(e) for e in ends])
-                end = np.concatenate(ends) if ends else np.empty(0, np.int64)
-                doc = np.repeat(np.arange(len(ends)), count)
-                start = np.concatenate([[0], end[:-1]]) if len(end) else end
-                if len(doc):
-                    first = np.cumsum(count) - count
-                    start[first[count > 0]] = offs[:-1][count > 0]
-                digest = K.span_hashes(data, start, end)
-                word = K.WORD_BYTE[data]
-                fresh = ~np.concatenate([[False], word[:-1]]) if len(data) else word
-                fresh[offs[:-1][offs[:-1] < len(data)]] = True
-                opens = np.concatenate([[0], np.cumsum(word & fresh)])
-                words = opens[end] - opens[start]
-                points = K.code_points(data)
-                begin = points[start] - points[offs[doc]]
-                stop = points[end] - points[offs[doc]]
-                block = digest % _U(blocks)
-                by = np.argsort(block, kind="stable")
-                cuts = np.searchsorted(block[by], np.arange(blocks + 1, dtype=_U))
-                rows: dict[str, list] = {k: [] for k in ("block", "digest", "doc", "ids", "begin", "size", "words")}
-                for b in range(blocks):
-                    own = by[cuts[b] : cuts[b + 1]]
-                    if len(own):
-                        docs, local = np.unique(doc[own], return_inverse=True)
-                        rows["block"].append(b)
-                        rows["digest"].append(digest[own].tobytes())
-                        rows["doc"].append(local.astype(np.uint32).tobytes())
-                        rows["ids"].append(ids[docs].astype(np.int64).tobytes())
-                        rows["begin"].append(begin[own].astype(np.uint32).tobytes())
-                        rows["size"].append((stop - begin)[own].astype(np.uint32).tobytes())
-                        rows["words"].append(words[own].astype(np.uint16).tobytes())
-                yield pa.record_batch([pa.array(rows["block"], pa.int64()), *(pa.array(rows[k], pa.binary()) for k in list(rows)[1:])], names=list(rows))
-
-    return run
-
-
-def _repeats(key: tuple, parts: pa.Table, parts_of: int) -> pa.Table:
-    """Duplicate chunks of one block, packed by part of the documents: every occurrence in another document than the digest's first."""
-    got = {k: [] for k in ("digest", "doc", "begin", "size", "words")}
-    kinds = {"digest": _U, "begin": np.uint32, "size": np.uint32, "words": np.uint16}
-    for row in parts.to_pylist():
-        for k, kind in kinds.items():
-            got[k].append(np.frombuffer(row[k], kind))
-        got["doc"].append(np.frombuffer(row["ids"], np.int64)[np.frombuffer(row["doc"], np.uint32)])
-    digest, doc, begin, size, words = (np.concatenate(v) for v in got.values())
-    by = np.argsort(digest, kind="stable")
-    edge = np.concatenate([[True], digest[by][1:] != digest[by][:-1]])
-    many = np.zeros(len(by), bool)  # of sorted places whose digest comes twice or more
-    many[1:] |= ~edge[1:]
-    many[:-1] |= ~edge[1:]
-    by = by[many]
-    by = by[np.lexsort((begin[by], doc[by], digest[by]))]
-    edge = np.concatenate([[True], digest[by][1:] != digest[by][:-1]]) if len(by) else np.empty(0, bool)
-    keeper = doc[by][np.flatnonzero(edge)][np.cumsum(edge) - 1] if len(by) else np.empty(0, np.int64)
-    other = keeper != doc[by]
-    by, keeper = by[other], keeper[other]
-    part = K.mix(doc[by].view(_U)) % _U(parts_of)
-    order = np.argsort(part, kind="stable")
-    by, keeper, part = by[order], keeper[order], part[order]
-    at = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(by) else np.empty(0, int)
-    packed = {"doc": doc[by], "begin": begin[by], "size": size[by], "words": words[by], "keeper": keeper}
-    pieces = {k: pa.array([x.tobytes() for x in np.split(v, at[1:])] if len(by) else [], pa.binary()) for k, v in packed.items()}
-    return pa.table({"part": pa.array(part[at].astype(np.int64)), **pieces})
-
-
-def _passages(key: tuple, parts: pa.Table) -> pa.Table:
-    """Runs of duplicate chunks in the documents of one part."""
-    kinds = {"doc": np.int64, "begin": np.uint32, "size": np.uint32, "words": np.uint16, "keeper": np.int64}
-    doc, begin, size, words, keeper = (np.concatenate([np.frombuffer(x, t) for x in parts.column(k).to_pylist()]) for k, t in kinds.items())
-    by = np.lexsort((begin, doc))
-    doc, begin, size, words, keeper = doc[by], begin[by].astype(np.int64), size[by], words[by].astype(np.int64), keeper[by]
-    once = np.concatenate([[True], (doc[1:] != doc[:-1]) | (begin[1:] != begin[:-1])])
-    doc, begin, size, words, keeper = doc[once], begin[once], size[once], words[once], keeper[once]
-    end = begin + size
-    fresh = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (begin[1:] != end[:-1])]))
-    last = np.append(fresh[1:], len(doc))
-    total = np.add.reduceat(words, fresh)
-    keep = total >= LEAST_WORDS
-    fresh, last, total = fresh[keep], last[keep], total[keep]
-    sources = [np.unique(keeper[a:b]).tolist() for a, b in zip(fresh.tolist(), last.tolist())]
-    return pa.table({
-        "doc_id": pa.array(doc[fresh]), "start": pa.array(begin[fresh]), "end": pa.array(end[last - 1] if len(last) else end[:0]), "n_words": pa.array(total),
-        "first_doc_id": pa.array([s[0] for s in sources], pa.int64()), "source_doc_ids": pa.array(sources, pa.list_(pa.int64()))})
+_CHUNK = {"digest": pa.int64(), "doc": pa.int64(), "key": pa.int64(), "begin": pa.int32(), "size": pa.int32(), "words": pa.int32()}
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chunks of documents(doc_id, key, text): digest, place and length in code points, words. Equal rows that a task meets again are passed over."""
+    seen: set[tuple[int, int]] = set()
+    for whole in batches:
+        for batch in K.slices(whole, "text"):
+            data, offs, _ = K.string_buffers(batch.column("text"))
+            ids, keys = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "key"))
+            ends = []
+            for a, b, who in zip(offs[:-1].tolist(), offs[1:].tolist(), zip(ids.tolist(), keys.tolist())):
+                fresh = who not in seen
+                if fresh and len(seen) < 1 << 20:
+                    seen.add(who)
+                ends.append(chunk_ends(data[a:b]) + a if fresh else np.empty(0, np.int64))
+            count = np.array([len(e) for e in ends])
+            end = np.concatenate(ends)
+            if not len(end):
+                continue
+            doc = np.repeat(np.arange(len(ends)), count)
+            start = np.concatenate([[0], end[:-1]])
+            first = np.cumsum(count) - count
+            start[first[count > 0]] = offs[:-1][count > 0]
+            word = K.WORD_BYTE[data]
+            fresh = word & ~np.concatenate([[False], word[:-1]])
+            at = offs[:-1][offs[:-1] < len(data)]
+            fresh[at] = word[at]
+            opens = np.concatenate([[0], np.cumsum(fresh)])
+            points = K.code_points(data)
+            rows = (K.span_hashes(data, start, end).view(np.int64), ids[doc], keys[doc], points[start] - points[offs[doc]], points[end] - points[start], opens[end] - opens[start])
+            yield pa.record_batch([pa.array(v, t) for v, t in zip(rows, _CHUNK.values())], names=list(_CHUNK))
+
+
+def _documents(docs: DataFrame) -> DataFrame:
+    own = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return own.where("doc_id IS NOT NULL").withColumn("key", F.xxhash64("text"))
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
-    """Passages of ``docs(doc_id, text)`` whose chunks all occur in documents with a lower doc_id.
+    """Passages of ``docs(doc_id, text)`` whose chunks all occur in earlier documents.
 
     One row a passage: doc_id, start and end in code points, n_words, the lowest
-    document that holds a part of it, and all documents that first hold its chunks.
+    document that holds a part of it, all documents that first hold its chunks,
+    and the hash of its text (which of several texts under one doc_id it is of).
     """
-    own = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL")
-    total = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = int(max(8, -(-total // BLOCK_BYTES)))
-    dealt = own.mapInArrow(_chunks(blocks), "block long, digest binary, doc binary, ids binary, begin binary, size binary, words binary")
-    repeats = dealt.groupBy("block").applyInArrow(lambda key, parts: _repeats(key, parts, blocks), "part long, doc binary, begin binary, size binary, words binary, keeper binary")
-    return repeats.groupBy("part").applyInArrow(_passages, "doc_id long, start long, end long, n_words long, first_doc_id long, source_doc_ids array<long>")
+    chunks = _documents(docs).mapInArrow(_chunks, ", ".join(f"{c} {'int' if t == pa.int32() else 'long'}" for c, t in _CHUNK.items()))
+    who = F.struct("doc", "key")
+    held = chunks.groupBy("digest").agg(F.min(who).alias("keeper"), F.max(who).alias("last")).where("keeper <> last")
+    # settled, so that both sides of the join are dealt anew and a hot digest can be split
+    first = settle(held.select("digest", "keeper"), "digests")
+    again = chunks.join(first, "digest").where(who != F.col("keeper")).select("doc", "key", "begin", "size", "words", F.col("keeper.doc").alias("source"))
+    own = W.partitionBy("doc", "key").orderBy("begin")
+    past = own.rowsBetween(W.unboundedPreceding, 0)
+    before, before_end = F.lag("begin").over(own), F.lag(F.col("begin") + F.col("size")).over(own)
+    marked = again.withColumn("once", F.coalesce(before != F.col("begin"), F.lit(True))).withColumn("fresh", F.col("once") & F.coalesce(before_end != F.col("begin"), F.lit(True)))
+    runs = marked.withColumn("run", F.sum(F.col("fresh").cast("long")).over(past)).where("once").groupBy("doc", "key", "run").agg(
+        F.min("begin").cast("long").alias("start"), F.max(F.col("begin") + F.col("size")).cast("long").alias("end"), F.sum("words").alias("n_words"), F.min("source").alias("first_doc_id"), F.sort_array(F.collect_set("source")).alias("source_doc_ids"))
+    length = F.col("end") - F.col("start")
+    wanted = (F.col("n_words") >= LEAST_WORDS) | ((length >= LEAST_CHARS) & (length > UNSPACED * F.col("n_words")))
+    return runs.where(wanted).select(F.col("doc").alias("doc_id"), "start", "end", "n_words", "first_doc_id", "source_doc_ids", F.col("key").alias("text_hash"))
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with the repeated passages cut from their texts."""
-    spans = repeated_passages(docs).groupBy(F.col("doc_id").alias("of")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
-    joined = docs.join(spans.hint("merge"), docs["doc_id"] == F.col("of"), "left")
+    """The rows of ``docs`` with the repeated passages cut from their texts; all columns are kept."""
+    spans = repeated_passages(docs).groupBy(F.col("doc_id").alias("of_id"), F.col("text_hash").alias("of_key")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    text = F.col("text").cast("string")
+    own = docs.select(F.struct(*columns(docs)).alias("row"), F.col("doc_id").cast("long").alias("own_id"), F.xxhash64(text).alias("own_key"))
+    joined = own.join(spans, (F.col("own_id") == F.col("of_id")) & (F.col("own_key") == F.col("of_key")), "left")
+    whole = F.col("row").getField("text").cast("string")
     pieces = F.aggregate(
         F.col("spans"), F.struct(F.lit("").alias("text"), F.lit(0).cast("long").alias("at")),
-        lambda acc, s: F.struct(F.concat(acc["text"], docs["text"].substr((acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))).alias("text"), s["end"].alias("at")),
-        lambda acc: F.concat(acc["text"], docs["text"].substr((acc["at"] + 1).cast("int"), F.length(docs["text"]))))
-    return joined.select(*[F.when(F.col("of").isNull(), docs["text"]).otherwise(pieces).alias("text") if c == "text" else docs[c] for c in docs.columns])
+        lambda acc, s: F.struct(F.concat(acc["text"], whole.substr((acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))).alias("text"), s["end"].alias("at")),
+        lambda acc: F.concat(acc["text"], whole.substr((acc["at"] + 1).cast("int"), F.length(whole))))
+    fields = {f.name: f.dataType for f in docs.schema}
+    return joined.select(*[F.when(F.col("of_id").isNull(), whole).otherwise(pieces).cast(fields[c]).alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
