@@ -9,17 +9,20 @@ bits, the bucket where the budget runs out is refined by the next bits, and all
 other buckets are decided at once. Only sums per bucket are shuffled.
 
 Defined results: a null text has size 0 and is taken 0 words; a null source is a
-source of its own, last in order; rows that share a doc_id share its hash and
-are decided together; an empty table gives an empty result. Columns other than
-doc_id, text and source are not read by the planning, and the pipeline form
-returns them as they come.
+source of its own, last in order; the hash is that of doc_id and text, so rows
+that share an identifier are decided one by one, and only equal rows together;
+an empty table gives an empty result. Columns other than doc_id, text and
+source are not read by the planning, and the pipeline form returns them as they
+come.
+
+The targets are found in one task over one row a source.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from corvane.llm.store import settle, table
+from corvane.llm.store import columns, settle, table
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (1, 2, 3)
@@ -37,7 +40,8 @@ def words(text: str) -> F.Column:
 
 
 def _hash() -> F.Column:
-    digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
+    """Leading bits of a digest of doc_id and text."""
+    digest = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("null")), F.lit(":"), F.coalesce(F.col("text").cast("string"), F.lit(""))))
     return F.conv(F.substring(digest, 1, HASH_BITS // 4), 16, 10).cast("long")
 
 
@@ -90,7 +94,7 @@ def _thresholds(sized: DataFrame, plan: DataFrame, side) -> DataFrame:
 
 def _planned(docs: DataFrame, weights, most: int) -> tuple[DataFrame, DataFrame]:
     """The sizes and hashes of all rows, and for each source (``of``) its target, whole times and threshold, ready to be joined."""
-    sized = settle(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words("text").alias("size")).withColumn("hash", _hash()), "mix-sizes")
+    sized = settle(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words("text").alias("size"), _hash().alias("hash")), "mix-sizes")
     plan = settle(
         source_targets(sized, weights, most)
         .withColumn("whole", F.when(F.col("source_size") > 0, F.least(F.lit(float(most)), F.floor(F.col("target") / F.col("source_size")))).otherwise(0).cast("long"))
@@ -115,7 +119,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
 def mixed_documents(docs: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them; texts are not shuffled while the sources can be broadcast."""
     _, targets = _planned(docs, weights, most)
-    own = docs.select(F.struct(*docs.columns).alias("row"), F.col("source").cast("string").alias("key"), F.col("doc_id").cast("long").alias("doc_id")).withColumn("hash", _hash())
+    own = docs.select(F.struct(*columns(docs)).alias("row"), F.col("source").cast("string").alias("key"), _hash().alias("hash"))
     joined = own.join(targets, F.col("key").eqNullSafe(F.col("of"))).withColumn("times", F.expr(_TIMES))
     return joined.select("row", F.explode(F.array_repeat(F.lit(1), F.col("times").cast("int")))).select("row.*")
 
@@ -128,7 +132,7 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP5_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 12) AS BIGINT) AS hash
+         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || coalesce(text, '')), 1, 12) AS BIGINT) AS hash
   FROM documents),
 sums AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
 weighed AS (SELECT *, CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS DOUBLE) AS weight, CAST(3 * source_size AS DOUBLE) AS cap FROM sums),
