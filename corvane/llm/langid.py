@@ -2,15 +2,20 @@
 
 The network reads the UTF-8 bytes of a text in windows, labels every byte with
 a distribution over the learned languages, and the document's distribution is
-the mean over all its bytes. It is trained in numpy by backpropagation through
-time on a bounded sample of labelled rows: the ``SAMPLE`` rows with the lowest
-hash of their doc_id, ``CUTS`` windows each, spread over the whole text.
-Prediction reads every byte of every text.
+the mean over all its bytes. Windows overlap by ``MARGIN`` bytes on both sides,
+which give context and are labelled by their neighbours, so that a cut leaves no
+byte without both directions. The network is trained in numpy by backpropagation
+through time on a bounded sample of labelled rows: for each of the
+``LANGUAGES`` commonest languages the rows with the lowest hash of their doc_id,
+``SAMPLE`` rows in all, ``CUTS`` windows each, spread over the whole text.
+Prediction reads every byte of every text; a text's result does not depend on
+the rows it comes with.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0;
 so is every text if nothing could be learned. Rows with a null doc_id are never
 learned from and count as not held out. Repeated rows are returned as often as
-they come.
+they come. Columns other than doc_id, text and lang are not read, and the
+pipeline form returns them as they come.
 """
 
 from __future__ import annotations
@@ -19,15 +24,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from corvane.llm import textkit as K
-from corvane.llm.store import small_batches, table
+from corvane.llm.store import small_batches, table, through
 
-#: Labelled rows and windows of each that the network learns from, at most.
-SAMPLE, CUTS = 2400, 3
-#: Bytes of a training window and of a reading window, hidden units of each direction.
-LEARN_BYTES, READ_BYTES, UNITS = 64, 128, 8
+#: Labelled rows and windows of each that the network learns from, at most, shared by the languages, and languages that are learned, the commonest ones.
+SAMPLE, CUTS, LANGUAGES = 2400, 3, 100
+#: Bytes of a training window, of a reading window and of its margins, hidden units of each direction; reading windows are padded to a multiple of STEP.
+LEARN_BYTES, READ_BYTES, MARGIN, UNITS, STEP = 64, 128, 8, 8, 16
 EPOCHS, BATCH, RATE = 8, 128, 0.02
 #: Steps of the training at least, however few the rows.
 LEAST_STEPS = 320
@@ -130,8 +135,10 @@ class ByteGRU:
         return gx.T, gu
 
     def fit(self, windows: np.ndarray, lengths: np.ndarray, want: np.ndarray, epochs: int = EPOCHS, seed: int = 6) -> "ByteGRU":
-        """windows: (N, T) bytes, of which the first ``lengths`` count."""
+        """windows: (N, T) bytes, of which the first ``lengths`` count; every label weighs the same, whatever its windows."""
         rng = np.random.default_rng(seed)
+        count = np.bincount(want, minlength=len(self.labels))
+        weight = (len(want) / (np.maximum(1, count) * max(1, (count > 0).sum())))[want].astype(np.float32)
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         v = {k: np.zeros_like(x) for k, x in self.p.items()}
         epochs = max(epochs, -(-LEAST_STEPS // -(-len(want) // BATCH)))
@@ -140,7 +147,7 @@ class ByteGRU:
             order = rng.permutation(len(want))
             for lo in range(0, len(order), BATCH):
                 own = order[lo : lo + BATCH]
-                mask = (np.arange(windows.shape[1])[:, None] < lengths[own]).astype(np.float32)
+                mask = (np.arange(windows.shape[1])[:, None] < lengths[own]) * weight[own]
                 _, grads = self.gradients(windows[own].T.astype(np.intp), want[own], mask)
                 step += 1
                 rate = RATE * (1 - step / (steps + 1))
@@ -153,14 +160,17 @@ class ByteGRU:
         return self
 
 
-def _cut(data: np.ndarray, offs: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All texts in windows of ``size`` bytes: (start, length, text) of each; together they cover every byte."""
+def _cut(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
+    """All texts in windows: (start, length, first and end of the labelled bytes inside, text) of each; the labelled bytes cover every text once."""
     n = np.diff(offs)
-    many = -(-n // size)
+    inner = READ_BYTES - 2 * MARGIN
+    many = -(-n // inner)
     doc = np.repeat(np.arange(len(n)), many)
     nth = np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many)
-    start = offs[doc] + nth * size
-    return start, np.minimum(size, offs[doc + 1] - start), doc
+    core = offs[doc] + nth * inner
+    core_end = np.minimum(core + inner, offs[doc + 1])
+    start = np.maximum(core - MARGIN, offs[doc])
+    return start, np.minimum(core_end + MARGIN, offs[doc + 1]) - start, core - start, core_end - start, doc
 
 
 def predict(net: ByteGRU | None, column: pa.Array) -> tuple[list[str], np.ndarray]:
@@ -173,18 +183,21 @@ def predict(net: ByteGRU | None, column: pa.Array) -> tuple[list[str], np.ndarra
     spoken = ascii_letters[offs[1:]] > ascii_letters[offs[:-1]]
     for k in np.flatnonzero(~spoken & (np.diff(offs) > 0)).tolist():
         spoken[k] = any(map(str.isalpha, column[k].as_py()))
-    start, length, doc = _cut(data, offs, READ_BYTES)
+    start, length, lo, hi, doc = _cut(data, offs)
     sums = np.zeros((n, len(net.labels)))
-    by = np.argsort(-length, kind="stable")  # windows of like length together
-    padded = np.concatenate([data, np.full(READ_BYTES, 32, np.uint8)])
-    for lo in range(0, len(by), 1024):
-        own = by[lo : lo + 1024]
-        steps = int(length[own[0]])
-        p = net.probabilities(padded[start[own] + np.arange(steps)[:, None]].astype(np.intp))
-        p *= (np.arange(steps)[:, None] < length[own])[:, None, :]
-        pooled = p.sum(0)
-        for j in range(len(net.labels)):
-            sums[:, j] += np.bincount(doc[own], pooled[j], n)
+    # windows of one padded length together, so that no window sees the length of another
+    steps_of = -(-length // STEP) * STEP
+    for steps in np.unique(steps_of).tolist():
+        at = np.flatnonzero(steps_of == steps)
+        t = np.arange(steps)[:, None]
+        for k in range(0, len(at), 1024):
+            own = at[k : k + 1024]
+            place = np.minimum(start[own] + t, len(data) - 1)
+            p = net.probabilities(np.where(t < length[own], data[place], 32).astype(np.intp))
+            p *= ((t >= lo[own]) & (t < hi[own]))[:, None, :]
+            pooled = p.sum(0)
+            for j in range(len(net.labels)):
+                sums[:, j] += np.bincount(doc[own], pooled[j], n)
     share = sums / np.maximum(1, np.diff(offs))[:, None]
     best = share.argmax(1)
     labels = [net.labels[b] if s else UNKNOWN for b, s in zip(best.tolist(), spoken.tolist())]
@@ -215,12 +228,19 @@ def learn(docs: DataFrame, sample: int = SAMPLE, epochs: int = EPOCHS) -> ByteGR
                         rows["bytes"].append(data[at : min(b, at + LEARN_BYTES)].tobytes())
                 yield pa.record_batch([pa.array(rows["doc_id"], pa.int64()), pa.array(rows["lang"], pa.string()), pa.array(rows["nth"], pa.int64()), pa.array(rows["bytes"], pa.binary())], names=list(rows))
 
-    # the sample is chosen by a hash of the identifier before any text is cut
-    lowest = open_.where("text IS NOT NULL").select(F.xxhash64("doc_id").alias("h")).orderBy("h").limit(sample).agg(F.max("h")).first()[0]
-    if lowest is None:
+    # the sample is chosen by a hash of the identifier, language by language, before any text is cut
+    known = open_.where("text IS NOT NULL").select("lang", F.xxhash64("doc_id").alias("h"))
+    spoken = [r["lang"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()]
+    if not spoken:
         return None
-    cuts = open_.where(F.xxhash64("doc_id") <= lowest).mapInArrow(cut, "doc_id long, lang string, nth long, bytes binary")
-    rows = cuts.orderBy(F.xxhash64("doc_id"), "nth", "lang", "bytes").limit(sample * CUTS).collect()
+    each = max(1, sample // len(spoken))
+    ranked = known.where(F.col("lang").isin(spoken)).withColumn("nth", F.row_number().over(W.partitionBy("lang").orderBy("h"))).where(F.col("nth") <= each)
+    highest = {r["lang"]: r["h"] for r in ranked.groupBy("lang").agg(F.max("h").alias("h")).collect()}
+    wanted = F.coalesce(*(F.when(F.col("lang") == lang, F.xxhash64("doc_id") <= h) for lang, h in highest.items()), F.lit(False))
+    # equal identifiers share a hash: at most so many windows are taken, whatever their rows
+    cuts = open_.where(wanted).mapInArrow(cut, "doc_id long, lang string, nth long, bytes binary")
+    place = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "nth", "bytes"))
+    rows = cuts.withColumn("place", place).where(F.col("place") <= each * CUTS).orderBy("lang", "place").collect()
     rows = [r for r in rows if any(map(str.isalpha, bytes(r["bytes"]).decode("utf-8", "ignore")))]
     if not rows:
         return None
@@ -262,7 +282,7 @@ def identified(docs: DataFrame, net: ByteGRU | None) -> DataFrame:
                     keep = [bool(x) and any(map(str.isalpha, x)) for x in batch.column("text").to_pylist()]
                 yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return small_batches(docs).mapInArrow(run, docs.schema)
+    return through(docs, run)
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
