@@ -1,6 +1,7 @@
 """Benchmark decontamination by CGK embedding, bit-sampling LSH and exact edit checks.
 
-Texts and items are sequences of folded words. The CGK embedding walks over a
+Texts and items are sequences of folded words; in scripts without blanks between
+words (Chinese, Japanese, Thai) every character is a word. The CGK embedding walks over a
 sequence with random bits and writes the word it stands on at each step: close
 in edit distance becomes close in Hamming distance. Windows of an item's size
 are embedded, ``SAMPLED`` positions are read, and a window meets the items of
@@ -16,13 +17,16 @@ Only windows that can be within that distance are embedded: by the q-gram lemma
 such a passage, m + k words at most, holds m - 2 - 3k three-word runs of the items or more.
 That bound is exact, so it drops no window that the check would accept.
 
-The items are read in blocks of ``ITEM_BLOCK``, each applied to all texts, so
-what a worker holds does not grow with the benchmark.
+The items are read in blocks of ``ITEM_BLOCK`` rows and ``ITEM_BYTES`` bytes, each
+applied to all texts, so what the driver and a worker hold does not grow with
+the benchmark (but for a single longer item).
 
-Defined results: null or empty texts and items match nothing; items of fewer than
-``LEAST_WORDS`` words are not searched (a phrase of common words is no leak);
-rows that repeat are reported as often as they come; items that share an
-item_id are searched each by itself.
+Defined results: null texts and items, and those without words, match nothing;
+items of fewer than ``LEAST_WORDS`` words are found word for word only, without
+edits; rows that repeat are reported as often as they come; items that share an
+item_id, or have none, are searched each by itself and reported under what they
+have. Columns other than doc_id, item_id and text are not read, and the
+pipeline form returns them as they come.
 """
 
 from __future__ import annotations
@@ -36,14 +40,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corvane.llm import textkit as K
 from corvane.llm.licenses import WORD_BYTE
-from corvane.llm.store import small_batches, table
+from corvane.llm.store import small_batches, table, through
 
 LEAST_WORDS, EDIT_SHARE = 8, 0.2
 #: Embedded positions that one reading joins, wanted recall, share of edited words it is wanted for, most repetitions; beyond them lengths are checked exactly.
 SAMPLED, RECALL, PLANNED_EDITS, MOST_READINGS = 3, 0.95, 0.2, 96
 #: Edited sequences that the simulation follows, and the step from one planned length to the next.
 SIMULATED, LENGTH_STEP = 400, 1.1
-ITEM_BLOCK = 20_000
+ITEM_BLOCK, ITEM_BYTES = 20_000, 32 << 20
 Q = 3
 #: Places of items' runs that the exact check looks at together.
 PLACES = 1 << 21
@@ -158,23 +162,38 @@ def _simulated(words: int) -> int:
     return 0
 
 
+def words_of(data: np.ndarray, offs: np.ndarray) -> K.Words:
+    return K.Words(data, offs, WORD_BYTE, K.FOLDED, unspaced=True)
+
+
 class Plan:
     """Items of one block: their words, readings, and the walks."""
 
-    def __init__(self, items: list[tuple[int, str]], seed: int = 77):
-        self.items: list[tuple[int, np.ndarray]] = []
-        for item_id, text in items:
-            raw = np.frombuffer((text or "").encode("utf-8", "replace"), np.uint8)
-            words = K.Words(raw, np.array([0, len(raw)]), WORD_BYTE, K.FOLDED).hashes
-            if len(words) >= LEAST_WORDS:
-                self.items.append((item_id, words))
-        runs = [K.window_hashes(w, Q) for _, w in self.items]
+    def __init__(self, items: list[tuple[int | None, str]], seed: int = 77):
+        raw = [(text or "").encode("utf-8", "replace") for _, text in items]
+        offs = np.cumsum([0, *map(len, raw)])
+        every = words_of(np.frombuffer(b"".join(raw), np.uint8), offs)
+        self.items: list[tuple[int | None, np.ndarray]] = []
+        for k, (item_id, _) in enumerate(items):
+            own = every.hashes[every.first[k] : every.first[k + 1]]
+            if len(own):
+                self.items.append((item_id, own))
+        # short items, by size: hashes of the whole item, sorted, and the items
+        self.short: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for m in range(1, LEAST_WORDS):
+            own = np.array([k for k, (_, w) in enumerate(self.items) if len(w) == m], np.int64)
+            if len(own):
+                whole = np.array([K.window_hashes(self.items[k][1], m)[0] for k in own.tolist()], _U)
+                by = np.argsort(whole, kind="stable")
+                self.short[m] = whole[by], own[by]
+        runs = [K.window_hashes(w, Q) if len(w) >= LEAST_WORDS else np.empty(0, _U) for _, w in self.items]
         self.runs = np.unique(np.concatenate(runs)) if runs else np.empty(0, _U)
         self.bitmap = np.zeros(1 << 20, bool)
         self.bitmap[self.runs & _U((1 << 20) - 1)] = True
         by_size: dict[int, list[int]] = {}
         for k, (_, w) in enumerate(self.items):
-            by_size.setdefault(len(w), []).append(k)
+            if len(w) >= LEAST_WORDS:
+                by_size.setdefault(len(w), []).append(k)
         readings = {m: readings_needed(m) for m in by_size}
         self.sizes = sorted(m for m, r in readings.items() if r)
         self.walks = [Walk(seed + r) for r in range(max(readings.values(), default=0) or 0)]
@@ -226,10 +245,28 @@ class Plan:
             last = np.concatenate([np.flatnonzero(new)[1:] - 1, [len(a) - 1]])
             yield from zip(own[new].tolist(), self.counted[item[new]].tolist(), lo[new].tolist(), a[last].tolist())
 
+    def _verbatim(self, words: np.ndarray, firsts: np.ndarray) -> dict[tuple[int, int], int]:
+        """First place of each short item in each text: (text, item) to word."""
+        out: dict[tuple[int, int], int] = {}
+        for m, (whole, which) in self.short.items():
+            got = K.window_hashes(words, m)
+            left, right = np.searchsorted(whole, got, "left"), np.searchsorted(whole, got, "right")
+            at = np.flatnonzero(right > left)
+            doc = np.searchsorted(firsts, at, "right") - 1
+            inside = at + m <= firsts[doc + 1]
+            for start, d in zip(at[inside].tolist(), doc[inside].tolist()):
+                for k in which[left[start] : right[start]].tolist():
+                    out.setdefault((d, k), start)
+        return out
+
     def search(self, words: np.ndarray, firsts: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """Best match of each item in each text: (text, item, first word, words, edits)."""
+        found = [(d, k, start - int(firsts[d]), len(self.items[k][1]), 0) for (d, k), start in self._verbatim(words, firsts).items()]
+        return sorted(found + self._edited(words, firsts))
+
+    def _edited(self, words: np.ndarray, firsts: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         grams = K.window_hashes(words, Q)
-        likely = np.flatnonzero(self.bitmap[grams & _U((1 << 20) - 1)])
+        likely = np.flatnonzero(self.bitmap[grams & _U((1 << 20) - 1)]) if len(self.runs) else np.empty(0, np.int64)
         if not len(likely):
             return []
         at = np.minimum(np.searchsorted(self.runs, grams[likely]), len(self.runs) - 1)
@@ -290,20 +327,21 @@ class Plan:
             edits, size = min((e, n) for n, e in enumerate(edit_distances(item.tolist(), words[start:stop].tolist()), 1))
             if edits <= most_edits(m) and (edits, start, size) < best.get((d, k), (m + 1, 0, 0)):
                 best[d, k] = (edits, start, size)
-        return [(d, k, start - int(firsts[d]), n, edits) for (d, k), (edits, start, n) in sorted(best.items())]
+        return [(d, k, start - int(firsts[d]), n, edits) for (d, k), (edits, start, n) in best.items()]
 
 
 def _plans(docs: DataFrame, benchmark: DataFrame) -> Iterator:
     """Broadcast plans of the blocks of items."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
-    blocks = max(1, -(-items.count() // ITEM_BLOCK))
+    size = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    blocks = max(1, -(-size["n"] // ITEM_BLOCK), -(-size["bytes"] // ITEM_BYTES))
     for b in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
-        yield docs.sparkSession.sparkContext.broadcast(Plan(sorted((r["item_id"] if r["item_id"] is not None else -1, r["text"]) for r in rows)))
+        yield docs.sparkSession.sparkContext.broadcast(Plan(sorted(((r["item_id"], r["text"]) for r in rows), key=lambda x: (x[0] is None, x[0] or 0, x[1]))))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """One row for each document and item that it holds: doc_id, item_id (-1 for null), first_word, n_words, edits, similarity."""
+    """One row for each document and item that it holds: doc_id, item_id, first_word, n_words, edits, similarity."""
     own = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     fields = "doc_id long, item_id long, first_word long, n_words long, edits long, similarity double"
     found = None
@@ -316,7 +354,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that hold no item, with all their columns; each row is judged by its own text, without a shuffle."""
     for sent in _plans(docs, benchmark):
-        docs = small_batches(docs).mapInArrow(_cleaner(sent), docs.schema)
+        docs = through(docs, _cleaner(sent))
     return docs
 
 
@@ -326,7 +364,7 @@ def _cleaner(sent):
         for whole in batches:
             for batch in K.slices(whole, "text"):
                 data, offs, _ = K.string_buffers(batch.column("text"))
-                words = K.Words(data, offs, WORD_BYTE, K.FOLDED)
+                words = words_of(data, offs)
                 keep = np.ones(batch.num_rows, bool)
                 keep[[g[0] for g in plan.search(words.hashes, words.first)] if plan.items else []] = False
                 yield batch.filter(pa.array(keep))
@@ -340,7 +378,7 @@ def _finder(sent):
         for whole in batches:
             for batch in K.slices(whole, "text"):
                 data, offs, _ = K.string_buffers(batch.column("text"))
-                words = K.Words(data, offs, WORD_BYTE, K.FOLDED)
+                words = words_of(data, offs)
                 got = plan.search(words.hashes, words.first) if plan.items else []
                 ids = batch.column("doc_id").take(pa.array([g[0] for g in got], pa.int64()))
                 numbers = [pa.array([g[k] for g in got], pa.int64()) for k in (2, 3, 4)]
