@@ -42,21 +42,21 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from corvane.llm import textkit as K
 from corvane.llm.components import component_labels
-from corvane.llm.store import settle, small_batches, table
+from corvane.llm.store import columns, settle, small_batches, table
 
 SHINGLE = 5
 #: Threshold NUM / DEN.
 NUM, DEN = 75, 100
 #: Bands of two min-hashes each, pivots of a band, and min-hashes that a class and its pivot must share to be compared.
 BANDS, PIVOTS, AGREE = 8, 3, 9
-#: Rows of the list of frequent shingles, at most.
-FREQUENT = 1 << 17
+#: Rows of the list of frequent shingles, at most (8 bytes each, broadcast). Frequent columns beyond it make more pairs to verify, not other results.
+FREQUENT = 1 << 20
 #: Shingle hashes that a worker looks at together for frequent ones.
 GATHER = 1 << 21
 #: Columns' entries in a block, about.
 BLOCK_ENTRIES = 1 << 21
-#: Bits of the filter that spares shuffling sets that no pair needs; when it fills up, more sets pass.
-FILTER_BITS = 1 << 24
+#: Bits of the filter that spares shuffling sets that no pair needs: so many for each wanted set, at least and at most (as powers of two); beyond that, more sets pass.
+FILTER_SHARE, FILTER_LEAST, FILTER_MOST = 16, 20, 28
 #: Entries of a tile of a label, and classes on one side of a matrix that a worker makes.
 TILE_ENTRIES, SIDE = 1 << 20, 512
 
@@ -333,11 +333,12 @@ def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield batch_of(out)
 
 
-def _filter_bits(wanted: DataFrame) -> np.ndarray:
-    """Bit filter over column ``h`` (long); its size is fixed, whatever the number of rows."""
-    spots = wanted.select(F.explode(F.array(F.col("h"), F.shiftrightunsigned("h", 24))).alias("h")).select(F.col("h").bitwiseAND(F.lit(FILTER_BITS - 1)).alias("at"))
+def _filter_bits(wanted: DataFrame, n: int) -> np.ndarray:
+    """Bit filter over column ``h`` (long) of ``n`` rows."""
+    bits = 1 << min(FILTER_MOST, max(FILTER_LEAST, (FILTER_SHARE * n).bit_length()))
+    spots = wanted.select(F.explode(F.array(F.col("h"), F.shiftrightunsigned("h", 24))).alias("h")).select(F.col("h").bitwiseAND(F.lit(bits - 1)).alias("at"))
     words = spots.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).toPandas()
-    out = np.zeros(FILTER_BITS // 64, _U)
+    out = np.zeros(bits // 64, _U)
     out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(_U)
     return out
 
@@ -351,6 +352,7 @@ def _sets(bits_sent):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, seen = bits_sent.value, set()
+        mask = 64 * len(bits) - 1
         for whole in batches:
             for batch in K.slices(whole, "text"):
                 data, offs, _ = K.string_buffers(batch.column("text"))
@@ -360,7 +362,7 @@ def _sets(bits_sent):
                     if len(own):
                         fp = _fingerprint(own)
                         h = int(_row_code(np.array([fp], _U), np.array([doc_id], np.int64))[0])
-                        if all(int(bits[(s & FILTER_BITS - 1) >> 6]) >> (s & 63) & 1 for s in (h, h >> 24)) and (fp := int(fp.view(np.int64))) not in seen:
+                        if all(int(bits[(s & mask) >> 6]) >> (s & 63) & 1 for s in (h, h >> 24)) and (fp := int(fp.view(np.int64))) not in seen:
                             if len(seen) < 1 << 20:
                                 seen.add(fp)
                             got.append((fp, len(own), own.tobytes()))
@@ -372,8 +374,9 @@ def _sets(bits_sent):
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         us, vs = [], []
-        for a, b, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "items_a", "items_b"))):
-            x, y = np.frombuffer(x, _U), np.frombuffer(y, _U)
+        ids, sides = (batch.column(c).to_numpy() for c in ("a", "b")), [batch.column(c) for c in ("items_a", "items_b")]
+        for k, (a, b) in enumerate(zip(*(x.tolist() for x in ids))):
+            x, y = (np.frombuffer(side[k].as_buffer(), _U) for side in sides)  # no copies
             both = np.sort(np.concatenate([x, y]))
             overlap = int((both[1:] == both[:-1]).sum())
             if DEN * overlap >= NUM * (len(x) + len(y) - overlap):
@@ -394,7 +397,7 @@ def _links(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     wanted = ends.join(classes.select("node", "doc_id"), "node").mapInArrow(_codes, "h long")
-    bits = spark.sparkContext.broadcast(_filter_bits(wanted))
+    bits = spark.sparkContext.broadcast(_filter_bits(wanted, 2 * pairs.count()))
     sets = docs.select("doc_id", "text").mapInArrow(_sets(bits), "node long, n long, items binary")
     one = pairs.join(sets.select(F.col("node").alias("b"), F.col("items").alias("items_b")).hint("merge"), "b")
     two = one.join(sets.select(F.col("node").alias("a"), F.col("items").alias("items_a")).hint("merge"), "a")
@@ -455,7 +458,7 @@ def _inside(docs: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame
     own = classes.select("node", "doc_id", "n", "n_copies").join(labels.hint("merge"), "node")
     sums = own.groupBy("label").agg(F.sum("n").alias("entries")).withColumn("tiles", F.ceil(F.col("entries") / TILE_ENTRIES))
     packs = -(-(sums.agg(F.sum("entries")).first()[0] or 0) // TILE_ENTRIES) + 1
-    bits = spark.sparkContext.broadcast(_filter_bits(own.mapInArrow(_codes, "h long")))
+    bits = spark.sparkContext.broadcast(_filter_bits(own.mapInArrow(_codes, "h long"), labels.count()))
     sets = docs.select("doc_id", "text").mapInArrow(_sets(bits), "node long, n long, items binary").dropDuplicates(["node"]).select("node", "items")
     tiled = own.join(sums.hint("merge"), "label").withColumn("tile", F.pmod(F.xxhash64("node"), "tiles")).select("node", "n_copies", "label", "tiles", "tile")
     dealt = tiled.join(sets.hint("merge"), "node").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
@@ -476,7 +479,9 @@ def _stars(classes: DataFrame) -> DataFrame:
     shared = settle(banded.join(held.hint("merge"), "sign"), "bands")
     central = shared.groupBy("node").agg(F.sum("held").alias("central"))
     order = W.partitionBy("sign").orderBy(F.desc("central"), "node")
-    pivots = shared.join(central.hint("merge"), "node").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= PIVOTS).select("sign", F.col("node").alias("pivot"), F.col("n").alias("pivot_n"))
+    ranked = shared.join(central.hint("merge"), "node").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= PIVOTS)
+    # settled, so that both sides of the next join are dealt anew and a band that a whole group shares can be split
+    pivots = settle(ranked.select("sign", F.col("node").alias("pivot"), F.col("n").alias("pivot_n")), "pivots")
     fits = (F.col("pivot") != F.col("node")) & (F.least("n", "pivot_n") * DEN >= F.greatest("n", "pivot_n") * NUM)
     # bands that two classes share, of all their bands, estimate how like they are
     met = shared.join(pivots.hint("merge"), "sign").where(fits).groupBy(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).agg(F.count("*").alias("bands"))
@@ -537,13 +542,16 @@ def one_of_each_group(docs: DataFrame) -> DataFrame:
     A row is known by its doc_id and its text; of rows with both the same one
     stays. Rows without a shingle are components of their own.
     """
-    names = docs.columns
     facts, of = _components(docs, count=False)
     rows = of.select("keeper.doc_id", "keeper.key").unionByName(facts.where("node IS NULL").select("doc_id", "key")).distinct()
-    ids = settle(rows.select(F.col("doc_id").alias("keep_id"), F.col("key").alias("keep_key")), "groups")
-    own = docs.select(F.struct(*names).alias("row"), F.col("doc_id").cast("long").alias("own_id"), F.xxhash64(F.col("text").cast("string")).alias("own_key"))
-    kept = own.join(ids.hint("merge"), F.col("own_id").eqNullSafe(F.col("keep_id")) & (F.col("own_key") == F.col("keep_key")), "left_semi")
-    return kept.groupBy("own_id", "own_key").agg(F.first("row").alias("row")).select("row.*")
+    again = settle(facts.groupBy("doc_id", "key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("again_id"), F.col("key").alias("again_key")), "again")
+    ids = settle(rows.join(again, F.col("doc_id").eqNullSafe(F.col("again_id")) & (F.col("key") == F.col("again_key")), "left").select(F.col("doc_id").alias("keep_id"), F.col("key").alias("keep_key"), F.col("again_key").isNotNull().alias("several")), "groups")
+    own = docs.select(F.struct(*columns(docs)).alias("row"), F.col("doc_id").cast("long").alias("own_id"), F.xxhash64(F.col("text").cast("string")).alias("own_key"))
+    same = F.col("own_id").eqNullSafe(F.col("keep_id")) & (F.col("own_key") == F.col("keep_key"))
+    if again.isEmpty():  # the usual case: texts are dealt once
+        return own.join(ids.hint("shuffle_hash"), same, "left_semi").select("row.*")
+    kept = own.join(ids.hint("shuffle_hash"), same)
+    return kept.where("NOT several").select("row.*").unionAll(kept.where("several").groupBy("own_id", "own_key").agg(F.first("row").alias("row")).select("row.*"))
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
