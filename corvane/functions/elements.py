@@ -16,13 +16,12 @@ CAPTION = r"(?i)^\s*(рисунок|рис\.|схема|таблица)\s+\S+"
 TOLERANCE = rf"(?i)^\s*\(?\s*-?\d+(?:[.,]\d+)?\s*[±+−-]\s*\d+(?:[.,]\d+)?\s*\)?\s*(?:{_UNITS})?\s*\.?\s*$"
 MEASURE = rf"(?i)\d+(?:[.,]\d+)?\s*(?:{_UNITS})?\s*\(?\s*\d+\s*[±+−-]\s*\d+"
 PERCENT = r"(?:^|[^\p{L}\p{N}_])\d+(?:[.,]\d+)?\s*%(?:\s|[/0-9]|$)"
-LEGAL = rf"(?i)(№\s*\d|постановлени|распоряжени|приказ|федеральн{_W}*\s+закон|российск{_W}*\s+федерац|стать[яи]\s+\d|(?:^|[^\p{{L}}\p{{N}}_])ст\.\s*\d|(?:^|[^\p{{L}}\p{{N}}_])п\.\s*\d|пункт\s+\d|инструкци|комисси)"
+LEGAL = rf"(?i)(№\s*\d|постановлени|распоряжени|приказ|федеральн{_W}*\s+закон|Российск{_W}*\s+Федерац|стать[яи]\s+\d|(?:^|[^\p{{L}}\p{{N}}_])ст\.\s*\d|(?:^|[^\p{{L}}\p{{N}}_])п\.\s*\d|пункт\s+\d|Инструкци|комисси)"
 DATE = rf"(?i)(?:^|[^\p{{L}}\p{{N}}_])\d{{1,2}}\s+(?:январ|феврал|март|апрел|ма[яй]|июн|июл|август|сентябр|октябр|ноябр|декабр){_W}*\s+\d{{4}}"
 NUMBER = r"(?:^|[^\p{L}\p{N}_])\d{1,5}\s*/\s*\d{1,5}(?:-\d+)?(?:$|[^\p{L}\p{N}_])"
 STRONG = rf"([∑∫√]|[αβγδεζηθλμπρσφψω]|[A-Za-zА-Яа-я]{_W}*\s*=\s*[-+]?\d|\d+(?:[.,]\d+)?\s*=\s*[-+]?\d|[A-Za-zА-Яа-я0-9_]\s*[+*^]\s*[A-Za-zА-Яа-я0-9_]\s*[=+*/^]|(?:^|[^A-Za-zА-Яа-я0-9])[A-Za-zА-Яа-я]{_W}*\s*=\s*(?:[A-Za-zА-Яа-я]{_W}*\s*[+*/^]|[A-Za-zА-Яа-я]{_W}*\s*\^|[-+]?\d+(?:[.,]\d+)?\s*[+*/^]))"
-WEAK = r"(?i)((?:^|[^\p{L}\p{N}_])[A-Za-zА-Яа-я]\s*[=+*/^]\s*[-+]?\d|\d+(?:[.,]\d+)?\s*[=+*/^]\s*[-+]?\d|(?:^|[^\p{L}\p{N}_])\d+\s*%[\p{L}\p{N}_]|[∑∫√∞≈≠≤≥±αβγδεζηθλμπρσφψω])"
-FIGURES = (r"(?i)(?:рис\.|рисунок)\s*\d+[.:]?\s*(.+?)(?:\n|$)", r"(?i)схема\s*\d+[.:]?\s*(.+?)(?:\n|$)", r"(?i)черт[её]ж\s*\d+[.:]?\s*(.+?)(?:\n|$)")
-CITATION = r"(?i)\[документ:\s*([^,\]]+?),\s*стр(?:аница)?\.?\s*(\d+)\]"
+FIGURES = (r"(?i)(?:Рис\.|Рисунок)\s*\d+[.:]?\s*(.+?)(?:\n|$)", r"(?i)(?:Схема|схема)\s*\d+[.:]?\s*(.+?)(?:\n|$)", r"(?i)(?:Чертёж|чертёж)\s*\d+[.:]?\s*(.+?)(?:\n|$)")
+CITATION = r"(?i)\[Документ:\s*([^,\]]+?),\s*стр(?:аница)?\.?\s*(\d+)\]"
 HEADING = r"^\d+(\.\d+)*\s+.+$|^[А-ЯЁ][А-ЯЁ\s]{2,}$"
 LONGEST_FORMULA, WEAK_CAPTION = 260, 40
 _CASE = lambda p: p.replace("(?i)", "(?iu)")  # noqa: E731  Java folds Cyrillic case only when told so
@@ -43,14 +42,15 @@ def is_formula(text: Column, kind: Column | None = None) -> Column:
         .when(strong, True)
         .when(plain & (found(t, MEASURE) | found(t, PERCENT)), False)
         .when(found(t, LEGAL) | found(t, DATE) | found(t, NUMBER) | (F.length(t) > LONGEST_FORMULA), False)
-        .otherwise(found(t, WEAK)))
+        .otherwise(X.has_math(t)))
 
 
-def element_type(declared: Column, text: Column) -> Column:
-    """Declared type, but a false formula is a figure under a figure's caption, else text; unknown types are text."""
-    t = F.lower(F.coalesce(declared, F.lit("")))
-    figure = found(F.coalesce(text, F.lit("")), r"(?i)^\s*(рис|рисунок|схема)")
-    return F.when(t == "formula", F.when(is_formula(text), "formula").when(figure, "figure").otherwise("text")).when(t.isin("text", "table", "figure", "heading"), t).otherwise("text")
+def element_type(declared: Column, text: Column, kind: Column | None = None) -> Column:
+    """Declared type, but a false formula is a figure under a figure's caption, else text; unknown types are text. ``kind``: the formula's."""
+    t = F.lower(F.trim(F.coalesce(declared, F.lit(""))))
+    own = F.coalesce(text, F.lit(""))
+    figure = found(own, CAPTION) & F.lower(own).rlike("^(рис|схема)")
+    return F.when(t == "formula", F.when(is_formula(text, kind), "formula").when(figure, "figure").otherwise("text")).when(t.isin("text", "table", "figure", "heading"), t).otherwise("text")
 
 
 def headings(text: Column) -> Column:
@@ -87,7 +87,7 @@ def formulas(text: Column) -> Column:
     rest = F.regexp_replace(t, r"(?s)\$\$.+?\$\$", " ")
     inline = F.regexp_extract_all(rest, F.lit(r"\$([^$]{1,500})\$"), F.lit(1))
     own = F.transform(F.split(F.regexp_replace(rest, r"\$[^$]{1,500}\$", " "), "\n"), lambda x: F.trim(x))
-    wanted = F.filter(own, lambda x: F.length(x).between(5, LONGEST_FORMULA) & ~x.startswith("|") & found(x, WEAK) & is_formula(x))
+    wanted = F.filter(own, lambda x: F.length(x).between(5, LONGEST_FORMULA) & ~x.startswith("|") & X.has_math(x) & is_formula(x))
     return F.concat(typed(blocks, "latex_block"), typed(inline, "latex_inline"), typed(wanted, "suspected_formula"))
 
 

@@ -71,6 +71,18 @@ def has_reminder(answer: Column) -> Column:
     return who & t.contains("горяч") & t.contains("лини") & (t.contains("цик") | t.contains("регламент"))
 
 
+def incident_instruction(query: Column, wording: str, rules: Rules = INCIDENTS) -> Column:
+    """Instruction for a prompt about an incident; ``{reasons}`` in the wording takes what it is. Empty for other questions."""
+    before, _, behind = wording.partition("{reasons}")
+    why = reasons(query, rules)
+    return F.when(F.size(why) > 0, F.concat(F.lit(before), F.array_join(why, "; "), F.lit(behind))).otherwise("")
+
+
+def as_list(items: Column) -> Column:
+    """Markdown list of an array."""
+    return F.array_join(F.transform(items, lambda x: F.concat(F.lit("- "), x)), "\n")
+
+
 def reminded(answer: Column, query: Column, reminder: str, rules: Rules = INCIDENTS) -> Column:
     """The answer, with the reminder behind it if question or answer tells of an incident and it is not there."""
     own = F.regexp_replace(F.coalesce(answer, F.lit("")), r"^\s+|\s+$", "")
@@ -105,19 +117,22 @@ def category(name: Column, rules=CATEGORIES, otherwise: str = "manual") -> Colum
 
 
 def _best(text: Column, rules: Rules) -> tuple[Column, Column]:
-    """Rule with most patterns found (the first on a tie) and how many."""
+    """Rule with most patterns found (the first on a tie) and how many; without rules none."""
+    if not rules:
+        return F.lit(None).cast("string"), F.lit(0)
     hits = [sum((has(text, p).cast("int") for p in patterns), F.lit(0)) for _, patterns in rules]
-    most = F.greatest(*hits, F.lit(0))
+    most = F.greatest(F.lit(0), F.lit(0), *hits)
     return F.when(most > 0, F.coalesce(*(F.when(h == most, F.lit(name)) for (name, _), h in zip(rules, hits)))), most
 
 
-def detect(text: Column, strong: Rules, weak: Rules) -> Column:
-    """Struct(name, confidence): a strong pattern gives 0.95, weak ones a third each, at most 1; else unknown."""
+def detect(text: Column, strong: Rules, weak: Rules, generic: str | None = None) -> Column:
+    """Struct(name, confidence): a strong pattern gives 0.95, weak ones a third each, at most 1; then the first group of ``generic`` 0.3; else unknown."""
     s, _ = _best(text, strong)
     w, n = _best(text, weak)
     short = F.length(F.trim(F.coalesce(text, F.lit("")))) < 5
-    name = F.when(short, F.lit("unknown")).otherwise(F.coalesce(s, w, F.lit("unknown")))
-    sure = F.when(short, 0.0).when(s.isNotNull(), 0.95).otherwise(F.round(F.least(n / 3, F.lit(1.0)), 3))
+    named = F.nullif(F.trim(F.regexp_extract(F.coalesce(text, F.lit("")), f"(?iu){generic}", 1)), F.lit("")) if generic else F.lit(None).cast("string")
+    name = F.when(short, F.lit("unknown")).otherwise(F.coalesce(s, w, named, F.lit("unknown")))
+    sure = F.when(short, 0.0).when(s.isNotNull(), 0.95).when(n > 0, F.round(F.least(n / 3, F.lit(1.0)), 3)).when(named.isNotNull(), 0.3).otherwise(0.0)
     return F.struct(name.alias("name"), sure.alias("confidence"))
 
 
@@ -126,7 +141,7 @@ def resolve(declared: Column, text: Column, file_name: Column, strong: Rules, we
     known = [name for name, _ in weak]
     found = detect(text, strong, weak)
     own = F.trim(F.coalesce(declared, F.lit("")))
-    by_name = F.coalesce(*(F.when(any_of(file_name, patterns), F.lit(name)) for name, patterns in weak))
+    by_name = F.coalesce(*(F.when(any_of(file_name, patterns), F.lit(name)) for name, patterns in weak), F.lit(None).cast("string"))
     return F.when(own.isin(known), own).otherwise(F.coalesce(F.when((found["confidence"] > 0.3) & found["name"].isin(known), found["name"]), by_name, F.lit("unknown")))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, functions as F
 
 #: Fixed value: words that the lexical index leaves out.
@@ -17,14 +19,32 @@ STOP_WORDS = (
     "ком", "где", "когда", "зачем", "почему", "куда", "откуда", "какой", "какая", "какие",
 )
 TOKEN = "[а-яёa-z0-9]+"
+#: Tokens of a query that are searched.
+QUERY_TOKENS = 20
+#: A token of two characters or more that is no stop word, in one pattern; words of other scripts do not try the list.
+WANTED_TOKEN = rf"(?<![а-яёa-z0-9])(?!(?=[а-яё])(?:{'|'.join(sorted(STOP_WORDS))})(?![а-яёa-z0-9]))[а-яёa-z0-9]{{2,}}"
+#: Fixed value: signs of mathematics that make a short text worth keeping; written so that both Java and RE2 read it.
+MATH = r"(?i)((?:^|[^\p{L}\p{N}_])[A-Za-zА-Яа-я]\s*[=+*/^]\s*[-+]?\d|\d+(?:[.,]\d+)?\s*[=+*/^]\s*[-+]?\d|(?:^|[^\p{L}\p{N}_])\d+\s*%[\p{L}\p{N}_]|[∑∫√∞≈≠≤≥±αβγδεζηθλμπρσφψω])"
+_PY_MATH = re.compile(MATH.replace(r"[^\p{L}\p{N}_]", r"\W").replace(r"[\p{L}\p{N}_]", r"\w"))
 #: Fixed value: characters outside this list are dropped from cleaned texts (guillemets, dashes and ellipses among them).
 NOT_KEPT = r"""[^\p{L}\p{N}_\p{Z}\s+=*/()\[\]{}$<>,.;:!?%&|^~`"\\@#№°±≥≤≈×÷→←↑↓∈∑∫∂∇∞≠√∏∝∧∨¬⊂⊃⊆⊇∅∩∪\x{0400}-\x{04FF}\x27-]"""
 
 
-def tokens(text: Column) -> Column:
-    """Lower-case runs of Cyrillic, Latin and digits, longer than one, without stop words; a null text has none."""
-    every = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
-    return F.filter(every, lambda t: (F.length(t) > 1) & ~t.isin(*STOP_WORDS))
+def tokens(text: Column, lemmas: dict[str, str] | None = None) -> Column:
+    """Lower-case runs of Cyrillic, Latin and digits, longer than one, without stop words and service prefixes; a null text has none.
+
+    ``lemmas`` maps tokens to their base forms (a small table, which travels with the plan).
+    """
+    every = F.regexp_extract_all(F.lower(strip_service_prefix(F.coalesce(text, F.lit("")))), F.lit(WANTED_TOKEN), F.lit(0))
+    if not lemmas:
+        return every
+    known = F.create_map(*(F.lit(x) for pair in lemmas.items() for x in pair))
+    return F.transform(every, lambda t: F.coalesce(F.try_element_at(known, t), t))
+
+
+def query_terms(text: Column, lemmas: dict[str, str] | None = None) -> Column:
+    """Distinct terms among the first twenty tokens of a query."""
+    return F.array_distinct(F.slice(tokens(text, lemmas), 1, QUERY_TOKENS))
 
 
 def token_estimate(text: Column) -> Column:
@@ -65,22 +85,47 @@ def letters(text: Column) -> Column:
     return F.length(F.regexp_replace(text, r"[^\p{L}]", ""))
 
 
+def has_math(text: Column) -> Column:
+    return text.rlike(MATH.replace("(?i)", "(?iu)"))
+
+
 def is_noise(text: Column, least: int = 3) -> Column:
-    """Nothing but digits and punctuation, too few letters, or a syllable torn off at a hyphen."""
+    """Nothing but digits and punctuation in twenty characters, too few letters without mathematics, or a syllable torn off at a hyphen."""
     t = F.trim(F.coalesce(text, F.lit("")))
-    return (t == "") | ((F.length(t) <= 20) & (letters(t) == 0)) | (letters(t) < least) | ((F.length(t) <= 8) & t.endswith("-") & (letters(t) <= 6))
+    n = letters(t)
+    return (t == "") | ((F.length(t) <= 20) & (n == 0)) | ((n < least) & ~has_math(t)) | ((F.length(t) <= 8) & t.endswith("-") & (n <= 6))
+
+
+def noisy(text: str, least: int = 3) -> bool:
+    """:func:`is_noise` for a text in a Python worker."""
+    t = text.strip(" ")
+    n = sum(map(str.isalpha, t))
+    return not t or len(t) <= 20 and not n or n < least and not _PY_MATH.search(t) or len(t) <= 8 and t.endswith("-") and n <= 6
 
 
 def is_garbage_line(line: Column) -> Column:
     """Recognition garbage: many very short words, or short words with few vowels. Table rows are exempt."""
     t = F.trim(F.coalesce(line, F.lit("")))
-    words = F.filter(F.split(t, r"\s+"), lambda w: letters(w) > 0)
-    n = F.size(words)
-    short = F.size(F.filter(words, lambda w: F.length(w) <= 2)) / F.nullif(n, F.lit(0))
-    average = F.aggregate(words, F.lit(0), lambda a, w: a + F.length(w)) / F.nullif(n, F.lit(0))
-    vowels = F.length(F.regexp_replace(F.lower(t), "[^аеёиоуыэюяaeiouy]", "")) / F.nullif(letters(t), F.lit(0))
+    count = lambda pattern: F.regexp_count(t, F.lit(pattern))
+    # words are runs without blanks that hold a letter; all counts are of matches, without a step per word
+    n = count(r"\S*?\p{L}\S*")
+    short = count(r"(?<!\S)(?:\p{L}\S?|[^\s\p{L}]\p{L})(?!\S)") / n
+    average = F.length(F.regexp_replace(t, r"(?<!\S)[^\p{L}\s]+(?!\S)|\s+", "")) / n
+    vowels = F.regexp_count(F.lower(t), F.lit("[аеёиоуыэюяaeiouy]")) / count(r"\p{L}")
     bad = ((short >= 0.55) & (average <= 3.2)) | ((average <= 2.6) & (vowels < 0.30))
-    return ~t.startswith("|") & (letters(t) >= 12) & (n >= 6) & F.coalesce(bad, F.lit(False))
+    # cheap tests first: a line that fails one is not measured further
+    return F.when(t.startswith("|") | (F.length(t) < 12), False).when(count(r"\p{L}") < 12, False).when(n < 6, False).otherwise(bad)
+
+
+def with_prefix(text: Column, prefix: str) -> Column:
+    """The text behind an embedding prefix, unless it has one; a null text is empty."""
+    t = F.coalesce(text, F.lit(""))
+    return F.when(t.rlike(r"(?i)^\s*(?:passage|query):"), t).otherwise(F.concat(F.lit(prefix), t))
+
+
+def random_id() -> Column:
+    """Twelve random hexadecimal digits."""
+    return F.substring(F.replace(F.uuid(), F.lit("-"), F.lit("")), 1, 12)
 
 
 def cells(row: Column) -> Column:
