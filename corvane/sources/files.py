@@ -33,24 +33,24 @@ def discover(spark: SparkSession, folder: str, extensions: tuple[str, ...] = EXT
     return own.where(F.col("kind").isin(*extensions))
 
 
-def artifact_kind(name: Column) -> Column:
-    """chunks, docstore or bm25 by the file name, else unknown."""
-    kinds = ("chunks", "docstore", "bm25")
-    return F.coalesce(*(F.when(name.rlike(rf"(?i)^{k}.*\.(txt|jsonl)$"), F.lit(k)) for k in kinds), F.lit("unknown"))
+def artifact_kind(name: Column, exports: bool = False) -> Column:
+    """chunks, docstore or bm25 by the file name, else unknown; ``exports`` tells new exports of chunks (chunks_new) from chunks."""
+    kinds = (*(("chunks_new", "chunks_export_new"),) * exports, ("chunks", "chunks"), ("docstore", "docstore"), ("bm25", "bm25"))
+    return F.coalesce(*(F.when(name.rlike(rf"(?i)^{start}.*\.(txt|jsonl)$"), F.lit(k)) for k, start in kinds), F.lit("unknown"))
 
 
 def artifact_priority(kind: Column, rebuild: bool) -> Column:
-    """Order in which artifact files are read: a rebuild begins with the document store, an import with the chunks."""
-    order = ("docstore", "chunks", "bm25") if rebuild else ("chunks", "docstore", "bm25")
+    """Order in which artifact files are read: a rebuild begins with the document store, an import with the chunks; 0 for others."""
+    order = ("docstore", "chunks", "chunks_new", "bm25") if rebuild else ("chunks", "docstore", "bm25")
     return F.array_position(F.array(*map(F.lit, order)), kind).cast("int")
 
 
 def is_artifact(text: Column) -> Column:
-    """Whether the first non-blank of the first five lines is a JSON record with id, content or metadata beside content."""
-    line = F.get(F.filter(F.slice(F.split(F.coalesce(text, F.lit("")), "\n"), 1, 5), lambda x: F.trim(x) != ""), 0)
-    keys = F.json_object_keys(F.when(F.try_parse_json(line).isNotNull() & line.rlike(r"^\s*\{"), line))
+    """Whether the first non-blank of the first five lines is a JSON object with chunk_id, content and metadata, or with embedding and content."""
+    line = F.trim(F.get(F.filter(F.slice(F.split(F.coalesce(text, F.lit("")), "\n"), 1, 5), lambda x: F.trim(x) != ""), 0))
+    keys = F.json_object_keys(F.when(F.try_parse_json(line).isNotNull() & line.startswith("{"), line))
     has = lambda k: F.array_contains(keys, k)
-    return F.coalesce((has("content") & (has("chunk_id") | has("id") | has("metadata") | has("embedding"))), F.lit(False))
+    return F.coalesce(has("content") & ((has("chunk_id") & has("metadata")) | has("embedding")), F.lit(False))
 
 
 def decoded(content: bytes) -> str:
