@@ -16,26 +16,29 @@ def chunk_counts(store: DataFrame) -> DataFrame:
 
 
 def verified(store: DataFrame, lexical: DataFrame, vectors: DataFrame) -> DataFrame:
-    """One row: counts, drift and verdict. Lexical drift over max(5, 2 %) fails, vector drift over 5 % only warns."""
+    """One row: counts, drift and verdict. Empty or leaked texts and lexical drift over max(5, 2 %) fail, vector drift over max(5, 5 %) only warns."""
     counts = chunk_counts(store).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_store"), F.coalesce(F.sum("n_empty"), F.lit(0)).alias("n_empty"), F.coalesce(F.sum("n_leaked"), F.lit(0)).alias("n_leaked"))
     one = functools.reduce(lambda a, b: a.crossJoin(b), [counts, lexical.agg(F.countDistinct("chunk_id").alias("n_lexical")), vectors.agg(F.countDistinct("chunk_id").alias("n_vectors"))])  # rows of one
     drift = lambda c: F.abs(F.col("n_store") - F.col(c))
-    failed = (F.col("n_store") == 0) | (drift("n_lexical") > F.greatest(F.lit(5.0), 0.02 * F.col("n_store"))) | (F.col("n_leaked") > 0)
-    return one.withColumn("status", F.when(failed, "fail").when(drift("n_vectors") > 0.05 * F.col("n_store"), "warn").otherwise("ok"))
+    failed = (F.col("n_store") == 0) | (drift("n_lexical") > F.greatest(F.lit(5.0), 0.02 * F.col("n_store"))) | (F.col("n_leaked") > 0) | (F.col("n_empty") > 0)
+    return one.withColumn("status", F.when(failed, "fail").when(drift("n_vectors") > F.greatest(F.lit(5.0), 0.05 * F.col("n_store")), "warn").otherwise("ok"))
 
 
 def coerced(records: DataFrame, value: str = "value") -> DataFrame:
     """Records of JSON lines under one naming: chunk_id, content, chunk_type, source, page. Rows that hold nothing go.
 
-    content comes from content, page_content or text; the id from chunk_id, id or metadata,
-    else from a hash of the line.
+    content comes from content if it is there, though empty, else from page_content or
+    text; the id from chunk_id, id or metadata, else from a hash of the content.
+    ``backfilled``: an id or the metadata were put in.
     """
     at = lambda path: F.get_json_object(F.col(value), path)
     first = lambda *paths: F.coalesce(*(F.nullif(at(p), F.lit("")) for p in paths))
+    content = F.coalesce(at("$.content"), first("$.page_content", "$.text"))
+    own_id, meta = first("$.chunk_id", "$.id", "$.metadata.chunk_id"), at("$.metadata")
     out = records.select(
-        F.coalesce(first("$.chunk_id", "$.id", "$.metadata.chunk_id"), F.concat(F.lit("rec_"), X.short_hash(F.col(value)))).alias("chunk_id"),
-        first("$.content", "$.page_content", "$.text").alias("content"), F.coalesce(first("$.chunk_type", "$.metadata.chunk_type"), F.lit("text")).alias("chunk_type"),
-        first("$.metadata.source", "$.source").alias("source"), F.coalesce(first("$.metadata.page", "$.page").try_cast("long"), F.lit(0)).alias("page"), F.coalesce(at("$.metadata"), F.lit("{}")).alias("metadata"))
+        F.coalesce(own_id, F.concat(F.lit("rec_"), X.short_hash(F.coalesce(content, F.lit(""))))).alias("chunk_id"), (own_id.isNull() | ~F.coalesce(meta.startswith("{"), F.lit(False))).alias("backfilled"),
+        content.alias("content"), F.coalesce(first("$.chunk_type", "$.metadata.chunk_type"), F.lit("text")).alias("chunk_type"),
+        first("$.metadata.source", "$.source").alias("source"), F.coalesce(first("$.metadata.page", "$.page").try_cast("long"), F.lit(0)).alias("page"), F.when(meta.startswith("{"), meta).otherwise("{}").alias("metadata"))
     return out.where((F.trim(F.coalesce("content", F.lit(""))) != "") | (F.col("metadata") != "{}"))
 
 
@@ -72,3 +75,45 @@ def manifest(spark: SparkSession, folder: str) -> DataFrame:
 def incompatible(manifest_settings: dict, settings: dict, keys=("model", "passage_prefix", "query_prefix")) -> list[str]:
     """Settings in which an index and its reader differ (compared without outer blanks)."""
     return [k for k in keys if str(manifest_settings.get(k, "")).strip() != str(settings.get(k, "")).strip()]
+
+
+def counts_by(store: DataFrame, column: str) -> DataFrame:
+    """One row: map of the values of a column to their numbers."""
+    return store.groupBy(column).count().agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.coalesce(F.col(column).cast("string"), F.lit("unknown")).alias("key"), "count")))).alias(f"by_{column}"))
+
+
+def upserted(store: DataFrame, chunks: DataFrame) -> DataFrame:
+    """A store with chunks put in by chunk_id: the shown text is full_content, else content; those without any are left out. Of equal new ids the last by seq stays."""
+    shown = F.coalesce(F.nullif(F.trim(F.coalesce("full_content", F.lit(""))), F.lit("")), F.trim(F.coalesce("content", F.lit(""))))
+    new = chunks.where(shown != "").groupBy("chunk_id").agg(F.max_by(F.struct(*[c for c in store.columns if c != "chunk_id"]), F.coalesce("seq", F.lit(-1))).alias("r")).select("chunk_id", "r.*").select(*store.columns)
+    return store.join(new.select("chunk_id"), "chunk_id", "left_anti").unionByName(new)
+
+
+def adjacency(store: DataFrame) -> DataFrame:
+    """Neighbour rows of a store: (source, seq, chunk_id, page, chunk_type, model) of the chunks that have a seq."""
+    return store.where("seq IS NOT NULL").select(F.coalesce("source", F.lit("")).alias("source"), "seq", "chunk_id", F.coalesce("page", F.lit(0)).alias("page"), "chunk_type", F.coalesce("model", F.lit("unknown")).alias("model"))
+
+
+def read_store(spark: SparkSession, path: str) -> DataFrame:
+    """A stored table of chunks; a missing type is that of its metadata, else text."""
+    own = spark.read.parquet(path)
+    kind = F.nullif("chunk_type", F.lit("")) if "chunk_type" in own.columns else F.lit(None).cast("string")
+    noted = F.nullif(F.get_json_object("metadata", "$.chunk_type"), F.lit("")) if "metadata" in own.columns else F.lit(None).cast("string")
+    return own.withColumn("chunk_type", F.coalesce(kind, noted, F.lit("text")))
+
+
+def write_vectors(spark: SparkSession, path: str, vectors: DataFrame) -> None:
+    """Put vectors(chunk_id, chunk_type, embedding) into a stored table by chunk_id: texts and others lie in folders of their own."""
+    from corvane import storage
+
+    new = vectors.select("chunk_id", F.col("embedding").cast("array<float>").alias("embedding"), "chunk_type", (F.col("chunk_type") == "text").alias("is_text"))
+    if storage.exists(spark, path):
+        new = read_vectors(spark, path).join(new.select("chunk_id"), "chunk_id", "left_anti").unionByName(new)
+    new.write.partitionBy("is_text").mode("overwrite").parquet(f"{path}-new")
+    storage.move(spark, f"{path}-new", path)
+
+
+def read_vectors(spark: SparkSession, path: str, text: bool | None = None) -> DataFrame:
+    """Stored vectors: of texts, of others, or all."""
+    own = spark.read.parquet(path).withColumn("is_text", F.col("is_text").cast("boolean"))
+    return own if text is None else own.where(F.col("is_text") == text)

@@ -49,11 +49,24 @@ def answer_sanitize(spark, d):
     return _talk(spark, d).select("conv_id", "turn", L.sanitized(F.col("t")).alias("answer"), L.answer_fault(F.col("t")).alias("fault"))
 
 
-@query(f"WITH {_TALK} SELECT conv_id, turn, CASE WHEN turn % 5 = 0 THEN regexp_replace(t, '^\\s+|\\s+$', '', 'g') || chr(10) || chr(10) || 'R' ELSE regexp_replace(t, '^\\s+|\\s+$', '', 'g') END AS answer, turn % 5 = 3 AS reminded FROM talk")
+_INCIDENT = " OR ".join(_any("t", p) for _, p in L.INCIDENTS)
+_HAS = "(contains(l, 'председател') AND (contains(l, 'уик') OR contains(l, 'участков') OR contains(l, 'комисс')) AND contains(l, 'горяч') AND contains(l, 'лини') AND (contains(l, 'цик') OR contains(l, 'регламент')))"
+
+
+@query(f"WITH {_TALK}, x AS (SELECT conv_id, turn, regexp_replace(t, '^\\s+|\\s+$', '', 'g') AS t, lower(t) AS l FROM talk) SELECT conv_id, turn, CASE WHEN ({_INCIDENT}) AND NOT {_HAS} THEN t || chr(10) || chr(10) || 'R' ELSE t END AS answer, {_HAS} AS reminded FROM x")
 def reminder(spark, d):
     return _talk(spark, d).select("conv_id", "turn", L.reminded(F.col("t"), F.lit(""), "R").alias("answer"), L.has_reminder(F.col("t")).alias("reminded"))
 
 
+_REASONS = "list_filter([" + ", ".join(f"CASE WHEN {_any('t', p)} THEN '{n}' END" for n, p in L.INCIDENTS) + "], lambda x: x IS NOT NULL)"
+
+
+@query(f"WITH {_TALK}, r AS (SELECT conv_id, turn, {_REASONS} AS why FROM talk) SELECT conv_id, turn, CASE WHEN len(why) > 0 THEN 'because of ' || array_to_string(why, '; ') || '!' ELSE '' END AS instruction, array_to_string(list_transform(why, lambda x: '- ' || x), chr(10)) AS listed FROM r")
+def incident_instruction(spark, d):
+    t = F.col("t")
+    return _talk(spark, d).select("conv_id", "turn", L.incident_instruction(t, "because of {reasons}!").alias("instruction"), L.as_list(L.reasons(t)).alias("listed"))
+
+
 _PRON = ", ".join(f"'{p}'" for p in L.PRONOUNS)
 
 
@@ -77,10 +90,18 @@ def query_intent(spark, d):
     return own.select("conv_id", "turn", *(F.col(f"w.{n}").alias(f"w_{n}") for n in ("text", "table", "formula", "figure")), "k.text_k", "k.summary_k")
 
 
-@query("SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'greeting' WHEN 1 THEN 'thanks' WHEN 2 THEN 'farewell' END AS kind FROM orders")
+#: Beginnings of messages, before words of the fixture's texts.
+STARTS = (*L.GREETINGS, *L.THANKS, *L.FAREWELLS, "До свидания!", "всего доброго", "Как", "ну спасибо", "")
+_MESSAGE = "(['" + "', '".join(STARTS) + f"'])[(conv_id + turn) % {len(STARTS)} + 1] || ' ' || array_to_string(string_split(text, ' ')[1:(conv_id % 4)::INT], ' ')"
+_IN = lambda words: "(" + ", ".join(f"'{w}'" for w in words) + ")"
+
+
+@query(rf"""WITH m AS (SELECT conv_id, turn, trim(lower({_MESSAGE}), ' .!?,') AS t FROM conversations), w AS (SELECT *, list_filter(regexp_split_to_array(t, '\s+'), lambda x: x <> '') AS ws FROM m)
+SELECT conv_id, turn, CASE WHEN len(ws) > 4 THEN NULL WHEN ws[1] IN {_IN(L.GREETINGS)} THEN 'greeting' WHEN list_has_any(ws, [{", ".join(f"'{w}'" for w in L.THANKS)}]) THEN 'thanks' WHEN ws[1] IN {_IN(L.FAREWELLS)} OR t IN ('до свидания', 'всего доброго', 'всего хорошего') THEN 'farewell' END AS kind FROM w""")
 def smalltalk(spark, d):
-    said = F.array(*map(F.lit, ("Привет!", "ok спасибо", "До свидания.", "Привет, что делать если всё погасло", "Как включить")))
-    return table(spark, d, "orders").select("o_orderkey", L.small_talk(F.get(said, (F.col("o_orderkey") % 5).cast("int"))).alias("kind"))
+    start = F.get(F.array(*map(F.lit, STARTS)), ((F.col("conv_id") + F.col("turn")) % len(STARTS)).cast("int"))
+    said = F.concat(start, F.lit(" "), F.array_join(F.slice(F.split("text", " "), F.lit(1), (F.col("conv_id") % 4).cast("int")), " "))
+    return table(spark, d, "conversations").select("conv_id", "turn", L.small_talk(said).alias("kind"))
 
 
 #: Facet rules of the fixture: a strong word and weak words of each language.
@@ -108,10 +129,22 @@ def facet_resolve(spark, d):
     return table(spark, d, "documents").select("doc_id", L.resolve(declared, F.col("text"), F.col("source"), STRONG, WEAK).alias("facet"))
 
 
-@query("SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'legal' WHEN 1 THEN 'procedure' WHEN 2 THEN 'form' ELSE 'manual' END AS category FROM part")
+_GENERIC = r"(brand#\d+|[a-z]{11,})"
+
+
+@query(f"WITH {_facet_sql()}, g AS (SELECT found.*, trim(regexp_extract(coalesce(text, ''), '(?i){_GENERIC}', 1), ' ') AS g FROM found JOIN documents USING (doc_id)) SELECT doc_id, CASE WHEN name = 'unknown' AND NOT length(trim(coalesce(text, ''), ' ')) < 5 AND g <> '' THEN g ELSE name END AS name, CASE WHEN name = 'unknown' AND NOT length(trim(coalesce(text, ''), ' ')) < 5 AND g <> '' THEN 0.3::DOUBLE ELSE confidence END AS confidence FROM g JOIN (SELECT doc_id, text FROM documents) USING (doc_id)")
+def facet_generic(spark, d):
+    return table(spark, d, "documents").select("doc_id", L.detect(F.col("text"), STRONG, WEAK, _GENERIC).alias("f")).select("doc_id", "f.name", "f.confidence")
+
+
+_PARTS = tuple(p for _, ps in L.CATEGORIES for p in ps) + ("", "Guide", "x")
+_NAMED = "lower(p_name || ' ' || (['" + "', '".join(_PARTS) + f"'])[p_partkey % {len(_PARTS)} + 1] || p_brand)"
+
+
+@query(f"WITH n AS (SELECT p_partkey, {_NAMED} AS n FROM part) SELECT p_partkey, CASE " + " ".join(f"WHEN {' OR '.join(f'contains(n, {chr(39)}{p}{chr(39)})' for p in ps)} THEN '{c}'" for c, ps in L.CATEGORIES) + " ELSE 'manual' END AS category FROM n")
 def doc_category(spark, d):
-    names = F.array(*map(F.lit, ("Постановление ", "Инструкция ", "протокол ", "руководство ")))
-    return table(spark, d, "part").select("p_partkey", L.category(F.concat(F.get(names, (F.col("p_partkey") % 4).cast("int")), F.translate("p_name", "0123456789", ""))).alias("category"))
+    part = F.get(F.array(*(F.lit(p.capitalize()) for p in _PARTS)), (F.col("p_partkey") % len(_PARTS)).cast("int"))
+    return table(spark, d, "part").select("p_partkey", L.category(F.concat("p_name", F.lit(" "), part, "p_brand")).alias("category"))
 
 
 def _tables(spark, d) -> DataFrame:
@@ -133,10 +166,20 @@ def markdown_build(spark, d):
     return _tables(spark, d)
 
 
-@query(f"WITH {_TABLES} SELECT table_id, n < 2 OR chars < 30 AS degenerate, chars >= 30 AS useful, n >= 1 AS markdown FROM tables")
+_VARIED = "CASE table_id % 5 WHEN 0 THEN string_split(content, chr(10))[1] WHEN 1 THEN replace(content, ' | ', '  ') WHEN 2 THEN array_to_string(string_split(content, chr(10))[1:3], chr(10)) WHEN 3 THEN replace(content, '| ', '|| ') ELSE content END"
+
+
+@query(rf"""WITH {_TABLES}, v AS (SELECT table_id, {_VARIED} AS c FROM tables),
+p AS (SELECT table_id, c, list_filter(string_split(c, chr(10)), lambda x: trim(x, ' ') <> '') AS rows, list_filter(list_transform(string_split(replace(c, chr(10), '|'), '|'), lambda x: trim(x, ' ')), lambda x: x <> '' AND NOT regexp_full_match(x, ':?-{{3,}}:?')) AS cells FROM v),
+m AS (SELECT table_id, c, len(list_filter(list_transform(string_split(rows[1], '|'), lambda x: trim(x, ' ')), lambda x: x <> '')) AS head, len(list_filter(rows[2:], lambda x: NOT regexp_full_match(x, '[\s|:-]+'))) AS data, len(cells) AS n, coalesce(list_sum(list_transform(cells, lambda x: length(x))), 0) AS chars FROM p)
+SELECT table_id, head < 2 OR data < 2 OR chars < 30 AS degenerate, length(c) >= 30 AND contains(c, '|') AND n >= 2 AND chars >= 30 AS useful, starts_with(c, '|') AND length(c) - length(replace(c, chr(10) || '|', chr(10))) >= 2 AS markdown FROM m""")
 def degenerate_tables(spark, d):
-    c = F.col("content")
-    return _tables(spark, d).select("table_id", T.is_degenerate(c).alias("degenerate"), T.is_useful(c).alias("useful"), T.looks_like_table(c).alias("markdown"))
+    """Whole tables, headers alone, tables without columns, with one row, with empty cells."""
+    c, k = F.col("content"), F.col("table_id") % 5
+    lines = F.split("content", "\n")
+    varied = F.when(k == 0, F.get(lines, 0)).when(k == 1, F.replace(c, F.lit(" | "), F.lit("  "))).when(k == 2, F.array_join(F.slice(lines, 1, 3), "\n")).when(k == 3, F.replace(c, F.lit("| "), F.lit("|| "))).otherwise(c)
+    own = _tables(spark, d).select("table_id", varied.alias("content"))
+    return own.select("table_id", T.is_degenerate(c).alias("degenerate"), T.is_useful(c).alias("useful"), T.looks_like_table(c).alias("markdown"))
 
 
 @query(f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY {_ORDER}) AS rn FROM lineitem)
@@ -165,10 +208,10 @@ _F = "coalesce(t, '')"
 _FORMULA = f"""CASE WHEN t = '' OR (length(t) <= 20 AND regexp_full_match(t, '[^\\p{{L}}]*')) OR (length(t) <= 8 AND ends_with(t, '-') AND length(regexp_replace(t, '[^\\p{{L}}]', '', 'g')) <= 6) THEN false
 WHEN regexp_matches(t, '{E.LATEX}') THEN true WHEN regexp_matches(t, '{E.CAPTION}') OR regexp_matches(t, '{E.TOLERANCE}') THEN false WHEN regexp_matches(t, '{E.STRONG}') THEN true
 WHEN NOT contains(t, '=') AND (regexp_matches(t, '{E.MEASURE}') OR regexp_matches(t, '{E.PERCENT}')) THEN false
-WHEN regexp_matches(t, '{E.LEGAL}') OR regexp_matches(t, '{E.DATE}') OR regexp_matches(t, '{E.NUMBER}') OR length(t) > 260 THEN false ELSE regexp_matches(t, '{E.WEAK}') END"""
+WHEN regexp_matches(t, '{E.LEGAL}') OR regexp_matches(t, '{E.DATE}') OR regexp_matches(t, '{E.NUMBER}') OR length(t) > 260 THEN false ELSE regexp_matches(t, '{X.MATH}') END"""
 
 
-@query(f"WITH x AS (SELECT doc_id, trim(coalesce(text, ''), ' ') AS t FROM documents), f AS (SELECT doc_id, t, {_FORMULA} AS formula FROM x) SELECT doc_id, formula, CASE WHEN formula THEN 'formula' WHEN regexp_matches(t, '(?i)^\\s*(рис|рисунок|схема)') THEN 'figure' ELSE 'text' END AS element_type FROM f")
+@query(f"WITH x AS (SELECT doc_id, trim(coalesce(text, ''), ' ') AS t FROM documents), f AS (SELECT doc_id, t, {_FORMULA} AS formula FROM x) SELECT doc_id, formula, CASE WHEN formula THEN 'formula' WHEN regexp_matches(t, '{E.CAPTION}') AND regexp_matches(lower(t), '^(рис|схема)') THEN 'figure' ELSE 'text' END AS element_type FROM f")
 def true_formula(spark, d):
     return table(spark, d, "documents").select("doc_id", E.is_formula(F.col("text")).alias("formula"), E.element_type(F.lit("formula"), F.col("text")).alias("element_type"))
 
@@ -178,10 +221,15 @@ def headings(spark, d):
     return table(spark, d, "documents").select("doc_id", F.array_join(E.headings(F.col("text")), "¶").alias("headings"))
 
 
-@query("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_name WHEN 1 THEN p_type ELSE '' END AS caption FROM part")
+_CAPTIONED = "CASE doc_id % 5 WHEN 0 THEN replace(text, '. ', '. Рис. 3: ') WHEN 1 THEN replace(text, '. ', '. СХЕМА 4 ') WHEN 2 THEN replace(text, ', ', chr(10) || 'чертёж 7. ') WHEN 3 THEN replace(text, ' the ', ' рисунок 12 ') ELSE text END"
+
+
+@query(f"WITH c AS (SELECT doc_id, {_CAPTIONED} AS t FROM documents) SELECT doc_id, trim(coalesce(" + ", ".join(f"nullif(regexp_extract(t, '{p}', 1), '')" for p in E.FIGURES) + ", ''), ' ') AS caption FROM c")
 def captions(spark, d):
-    text = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("Текст\nРис. 5. "), F.col("p_name"), F.lit("\nдалее"))).when(F.col("p_partkey") % 3 == 1, F.concat(F.lit("СХЕМА 12: "), F.col("p_type"))).otherwise(F.col("p_name"))
-    return table(spark, d, "part").select("p_partkey", E.figure_caption(text).alias("caption"))
+    k, t = F.col("doc_id") % 5, F.col("text")
+    put = lambda a, b: F.replace(t, F.lit(a), F.lit(b))
+    text = F.when(k == 0, put(". ", ". Рис. 3: ")).when(k == 1, put(". ", ". СХЕМА 4 ")).when(k == 2, put(", ", "\nчертёж 7. ")).when(k == 3, put(" the ", " рисунок 12 ")).otherwise(t)
+    return table(spark, d, "documents").select("doc_id", E.figure_caption(text).alias("caption"))
 
 
 @query()
@@ -199,10 +247,18 @@ def fix_homoglyphs(spark, d):
     return table(spark, d, "documents").select("doc_id", repair.fix_homoglyphs(mixed).alias("fixed"))
 
 
-@query("SELECT doc_id, 'установить контрольное устройство ' || doc_id AS split FROM documents")
+WORDS = ("установить", "контрольное", "устройство", "сканер", "печать", "бумага", "сигнал", "питание")
+_PICKED = "(['" + "', '".join(WORDS) + "'])"
+_PICK = [f"{_PICKED}[(doc_id // {8**k}) % 8 + 1]" for k in range(3)]
+
+
+@query(f"WITH w AS (SELECT doc_id, {', '.join(f'{p} AS w{k}' for k, p in enumerate(_PICK))}, length(text) % 3 AS n FROM documents), g AS (SELECT doc_id, CASE n WHEN 0 THEN [w0] WHEN 1 THEN [w0, w1] ELSE [w0, w1, w2] END AS ws FROM w) SELECT doc_id, CASE WHEN length(array_to_string(ws, '')) >= 14 THEN array_to_string(ws, ' ') ELSE array_to_string(ws, '') END || ' ' || doc_id AS split FROM g")
 def split_glued(spark, d):
-    costs = {w: 1.0 for w in ("установить", "контрольное", "устройство")}
-    return table(spark, d, "documents").select("doc_id", repair.split_glued(F.concat(F.lit("установитьконтрольноеустройство "), F.col("doc_id").cast("string")), costs).alias("split"))
+    """One to three words of a dictionary, glued; runs of fewer than 14 letters stay."""
+    word = lambda k: F.get(F.array(*map(F.lit, WORDS)), F.expr(f"(doc_id DIV {8**k}) % 8").cast("int"))
+    n = F.length("text") % 3
+    glued = F.concat(word(0), F.when(n > 0, word(1)).otherwise(""), F.when(n > 1, word(2)).otherwise(""), F.lit(" "), F.col("doc_id").cast("string"))
+    return table(spark, d, "documents").select("doc_id", repair.split_glued(glued, {w: 1.0 for w in WORDS}).alias("split"))
 
 
 @query()

@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from corvane.functions import text as X
-from corvane.operators import records, retrieval as R
-from corvane.plans import documents, serving  # noqa: F401  they register their queries
+from corvane.operators import postings as P, records, retrieval as R
+from corvane.plans import documents, exchange, serving  # noqa: F401  they register their queries
 from corvane.plans.base import QUERIES, SQL, Query, query as _query, table as _t
 from corvane.sources import jsonl
 from corvane.streaming import events as S
 
 _STOP = ", ".join(f"'{w}'" for w in X.STOP_WORDS)
-_TOKENS = f"list_filter(regexp_extract_all(lower(coalesce(text, '')), '{X.TOKEN}'), lambda t: length(t) > 1 AND t NOT IN ({_STOP}))"
+_PLAIN = r"regexp_replace(coalesce(text, ''), '(?i)^(?:\s*(?:passage|query):){1,3}\s*', '')"
+_TOKENS = f"list_filter(regexp_extract_all(lower({_PLAIN}), '{X.TOKEN}'), lambda t: length(t) > 1 AND t NOT IN ({_STOP}))"
 _LETTERS = r"length(regexp_replace({0}, '[^\p{{L}}]', '', 'g'))"
 
 
@@ -24,7 +25,18 @@ def tokenize_bm25(spark, d):
 
 @_query(f"WITH p AS (SELECT DISTINCT doc_id, unnest({_TOKENS}) AS term FROM documents) SELECT term, count(*) AS df FROM p GROUP BY term")
 def token_stats(spark, d):
-    return R.postings(_t(spark, d, "documents"), "doc_id", "text").groupBy("term").agg(F.count("*").alias("df"))
+    return P.postings(_t(spark, d, "documents"), "doc_id", "text").groupBy("term").agg(F.count("*").alias("df"))
+
+
+@_query(f"WITH t AS (SELECT item_id, {_TOKENS} AS ts FROM (SELECT item_id, 'query: ' || text || ' ' || text AS text FROM benchmark)) SELECT DISTINCT item_id, unnest(ts[1:20]) AS term FROM t")
+def query_terms(spark, d):
+    own = _t(spark, d, "benchmark").select("item_id", F.concat(F.lit("query: "), "text", F.lit(" "), "text").alias("text"))
+    return P.query_terms(own, "item_id", "text")
+
+
+@_query(f"SELECT doc_id, array_to_string(list_transform({_TOKENS}, lambda t: CASE t WHEN 'the' THEN 'a' WHEN 'les' THEN 'le' WHEN 'der' THEN 'die' ELSE t END), ' ') AS terms FROM documents")
+def lemmas(spark, d):
+    return _t(spark, d, "documents").select("doc_id", F.array_join(X.tokens(F.col("text"), {"the": "a", "les": "le", "der": "die"}), " ").alias("terms"))
 
 
 @_query("SELECT doc_id, CAST(CASE WHEN text IS NULL OR length(text) = 0 THEN 0 ELSE greatest(1, length(text) * 2 // 5) END AS BIGINT) AS n_est, substr(sha256(text), 1, 16) AS hash_id FROM documents")
@@ -37,9 +49,11 @@ def strip_tags(spark, d):
     return _t(spark, d, "pages").select("page_id", X.strip_tags(F.col("html")).alias("plain"))
 
 
-@_query(r"SELECT item_id, regexp_replace('Passage: query: ' || text, '(?i)^(?:\s*(?:passage|query):){1,3}\s*', '') AS plain FROM benchmark")
+@_query("SELECT item_id, repeat('pAssage:  ', greatest(0, (item_id % 5 - 3))::INT) || CASE WHEN item_id % 5 IN (0, 4) THEN ' ' ELSE '' END || ltrim(substr(text, 1, 40)) AS plain FROM benchmark")
 def strip_prefix(spark, d):
-    return _t(spark, d, "benchmark").select("item_id", X.strip_service_prefix(F.concat(F.lit("Passage: query: "), F.col("text"))).alias("plain"))
+    """None to four prefixes before each text: a fourth stays."""
+    led = F.concat(F.repeat(F.lit("pAssage:  "), (F.col("item_id") % 5).cast("int")), F.lit(" "), F.ltrim(F.substring("text", 1, 40)))
+    return _t(spark, d, "benchmark").select("item_id", X.strip_service_prefix(led).alias("plain"))
 
 
 @_query(r"""SELECT doc_id, regexp_replace(regexp_replace(array_to_string(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(text, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', '', 'g'), '[ \t]+', ' ', 'g'), '[^\p{L}\p{N}_\p{Z}\s+=*/()\[\]{}$<>,.;:!?%&|^~`"\\@#№°±≥≤≈×÷→←↑↓∈∑∫∂∇∞≠√∏∝∧∨¬⊂⊃⊆⊇∅∩∪\x{0400}-\x{04FF}\x27-]', '', 'g'), chr(10)), lambda x: trim(x, ' ')), chr(10)), '^\n+', ''), '\n+$', '') AS cleaned FROM documents""")
@@ -50,9 +64,11 @@ def clean_text(spark, d):
 _L = _LETTERS.format("t")
 
 
-@_query(f"WITH x AS (SELECT doc_id, trim(coalesce(text, ''), ' ') AS t FROM documents) SELECT doc_id, (t = '') OR (length(t) <= 20 AND {_L} = 0) OR {_L} < 3 OR (length(t) <= 8 AND ends_with(t, '-') AND {_L} <= 6) AS noise FROM x")
+@_query(f"WITH x AS (SELECT doc_id, trim(CASE doc_id % 5 WHEN 0 THEN substr(text, 1, 2) || ' = ' || doc_id WHEN 1 THEN substr(text, 1, doc_id::INT % 9) || '-' WHEN 2 THEN '-- ' || doc_id || ' --' WHEN 3 THEN substr(text, 1, 2) || ' ' || doc_id ELSE coalesce(text, '') END, ' ') AS t FROM documents) SELECT doc_id, (t = '') OR (length(t) <= 20 AND {_L} = 0) OR ({_L} < 3 AND NOT regexp_matches(t, '{X.MATH}')) OR (length(t) <= 8 AND ends_with(t, '-') AND {_L} <= 6) AS noise FROM x")
 def noise_filter(spark, d):
-    return _t(spark, d, "documents").select("doc_id", X.is_noise(F.col("text")).alias("noise"))
+    k, n = F.col("doc_id"), F.col("doc_id").cast("string")
+    text = F.when(k % 5 == 0, F.concat(F.substring("text", 1, 2), F.lit(" = "), n)).when(k % 5 == 1, F.concat(F.col("text").substr(F.lit(1), (k % 9).cast("int")), F.lit("-"))).when(k % 5 == 2, F.concat(F.lit("-- "), n, F.lit(" --"))).when(k % 5 == 3, F.concat(F.substring("text", 1, 2), F.lit(" "), n)).otherwise(F.col("text"))
+    return _t(spark, d, "documents").select("doc_id", X.is_noise(text).alias("noise"))
 
 
 @_query(rf"""
@@ -100,7 +116,7 @@ def _queries_of(spark, d) -> DataFrame:
 
 
 _BM25 = f"""
-q AS (SELECT DISTINCT item_id AS query_id, unnest({_TOKENS}) AS term FROM benchmark),
+q AS (SELECT DISTINCT item_id AS query_id, unnest(({_TOKENS})[1:20]) AS term FROM benchmark),
 s AS (SELECT doc_id AS chunk_id, {_TOKENS} AS ts FROM documents), l AS (SELECT chunk_id, len(ts) AS dl, ts FROM s WHERE len(ts) > 0),
 st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM l),
 p AS (SELECT chunk_id, dl, term, count(*) AS tf FROM (SELECT chunk_id, dl, unnest(ts) AS term FROM l) GROUP BY ALL),
@@ -109,10 +125,21 @@ sc AS (SELECT query_id, chunk_id, round(sum(greatest(1e-6, ln((n - df + 0.5) / (
 lex AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM sc QUALIFY rank <= 10)"""
 
 
+def _lexical(spark, d) -> P.LexicalIndex:
+    """Index of the documents: written once a session, searched by several queries."""
+    docs = _t(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
+    return P.index_of(spark, docs, f"{d}/documents.parquet")
+
+
+@_query(f"WITH {_BM25} SELECT term, df FROM f")
+def index_build(spark, d):
+    """The stored index: its terms."""
+    return _lexical(spark, d).table("terms")
+
+
 @_query(f"WITH {_BM25} SELECT query_id, chunk_id, rank FROM lex")
 def bm25_topk(spark, d):
-    docs = _t(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
-    return R.bm25(docs, _queries_of(spark, d)).select("query_id", "chunk_id", "rank")
+    return _lexical(spark, d).search(_queries_of(spark, d)).select("query_id", "chunk_id", "rank")
 
 
 _SQ = "round(list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda x: (x[1]::DOUBLE - x[2]::DOUBLE) * (x[1]::DOUBLE - x[2]::DOUBLE))), 6)"
@@ -133,31 +160,39 @@ _DOT = "list_sum(list_transform(list_zip({0}, {1}), lambda x: x[1]::DOUBLE * x[2
 _COS = f"round({_DOT.format('e.embedding', 'q.embedding')} / (sqrt({_DOT.format('e.embedding', 'e.embedding')}) * sqrt({_DOT.format('q.embedding', 'q.embedding')})), 6)"
 
 
+@_query(f"SELECT vec_id // 50 AS query_id, chunk_id, rank FROM (SELECT q.vec_id, e.vec_id AS chunk_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_SQ}, e.vec_id) AS rank FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0) WHERE rank <= vec_id // 50 % 7")
+def vector_topk_sized(spark, d):
+    """Each query wants a number of results of its own, some none."""
+    own = _t(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
+    asked = own.where("chunk_id % 50 = 0").select(F.expr("chunk_id DIV 50").alias("query_id"), F.col("embedding").alias("query_embedding"), F.expr("chunk_id DIV 50 % 7").alias("k"))
+    return R.vector_topk(own, asked).select("query_id", "chunk_id", "rank")
+
+
 @_query(f"SELECT q.vec_id // 50 AS query_id, e.vec_id AS chunk_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS} DESC, e.vec_id) AS rank FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0 QUALIFY rank <= 18")
 def vector_topk_cosine(spark, d):
     return _vector_leg(spark, d, "cosine").select("query_id", "chunk_id", "rank")
 
 
 _FUSED = f"""{_BM25}, {_VEC},
-parts AS (SELECT query_id, chunk_id, 0.6::DOUBLE / (60 + rank) AS part FROM vec UNION ALL SELECT query_id, chunk_id, (1 - 0.6::DOUBLE) / (60 + rank) FROM lex),
-fused AS (SELECT query_id, chunk_id, round(sum(part), 9) AS score FROM parts GROUP BY query_id, chunk_id)"""
+parts2 AS (SELECT query_id, chunk_id, rank AS vr, NULL AS lr, 0.6::DOUBLE / (60 + rank) AS part FROM vec UNION ALL SELECT query_id, chunk_id, NULL, rank, (1 - 0.6::DOUBLE) / (60 + rank) FROM lex),
+fused AS (SELECT query_id, chunk_id, round(sum(part), 9) AS score, min(vr) AS vr, min(lr) AS lr FROM parts2 GROUP BY query_id, chunk_id)"""
 
 
 def _fused(spark, d) -> DataFrame:
-    docs = _t(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
-    return R.fuse(_vector_leg(spark, d), R.bm25(docs, _queries_of(spark, d)))
+    return R.fuse(_vector_leg(spark, d), _lexical(spark, d).search(_queries_of(spark, d)))
 
 
-@_query(f"WITH {_FUSED} SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM fused")
+@_query(f"WITH {_FUSED} SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vr NULLS LAST, lr NULLS LAST, chunk_id) AS rank FROM fused")
 def rrf_fusion(spark, d):
     return _fused(spark, d).select("query_id", "chunk_id", "rank")
 
 
 @_query(f"""WITH {_FUSED}, ok AS (SELECT * FROM fused WHERE chunk_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1))
-SELECT query_id, chunk_id, rank, source, length(text) AS n_chars FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM ok QUALIFY rank <= 6) r LEFT JOIN documents ON doc_id = chunk_id""")
+SELECT query_id, chunk_id, rank, source, length(text) AS n_chars FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vr NULLS LAST, lr NULLS LAST, chunk_id) AS rank FROM ok QUALIFY rank <= 6) r LEFT JOIN documents ON doc_id = chunk_id""")
 def hybrid_search(spark, d):
     bad = _t(spark, d, "labels").where("toxic = 1").select(F.col("doc_id").alias("chunk_id"))
-    top = R.ranked(R.without_quarantined(_fused(spark, d), bad).drop("rank"), F.desc("score"), R.FINAL_K)
+    left = R.without_quarantined(_fused(spark, d), bad).withColumnRenamed("rank", "place")
+    top = R.ranked(left, [F.col("place")], R.FINAL_K)
     store = _t(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "source", F.length("text").cast("long").alias("n_chars"))
     return top.join(store, "chunk_id", "left").select("query_id", "chunk_id", "rank", "source", "n_chars")
 
@@ -175,10 +210,29 @@ def facet_policy_strict(spark, d):
     return R.facet_policy(own).select("query_id", "rank", "position")
 
 
-@_query("SELECT doc_id, CAST(length(array_to_string(list_filter([lag(text) OVER w, text, lead(text) OVER w], lambda x: x IS NOT NULL), chr(10))) AS BIGINT) > 2400 AS cut, (lag(text) OVER w IS NOT NULL OR lead(text) OVER w IS NOT NULL) AS context_expanded FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id)")
+def _near_sql(window: int, longest: int) -> str:
+    """Texts with those beside them in their source, by joins on the running number."""
+    sides = [k for k in range(-window, window + 1) if k]
+    joins = " ".join(f"LEFT JOIN c t{n} ON c.kind = 'text' AND t{n}.kind = 'text' AND t{n}.source = c.source AND t{n}.seq = c.seq + ({k})" for n, k in enumerate(sides))
+    order = [f"t{n}.text" if k else "c.text" for n, k in [*enumerate(sides[:window]), (None, 0), *((n + window, k) for n, k in enumerate(sides[window:]))]]
+    return f"""WITH c AS (SELECT doc_id, source, text, CASE WHEN doc_id % 7 = 0 THEN 'table' ELSE 'text' END AS kind, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS seq FROM documents),
+j AS (SELECT c.doc_id, c.text, coalesce({', '.join(f't{n}.text' for n in range(len(sides)))}) IS NOT NULL AS met, trim(array_to_string(list_filter([{', '.join(order)}], lambda x: x IS NOT NULL), chr(10)), ' ') AS s FROM c {joins})
+SELECT doc_id, met AND s <> text AS context_expanded, sha256(CASE WHEN met AND s <> text THEN CASE WHEN length(s) > {longest} THEN regexp_replace(substr(s, 1, {longest}), ' [^ ]*$', '') || '…' ELSE s END ELSE text END) AS digest FROM j"""
+
+
+def _near(spark, d, window: int, longest: int) -> DataFrame:
+    own = records.sequence_in_source(_chunks(spark, d)).withColumn("chunk_type", F.when(F.col("chunk_id") % 7 == 0, "table").otherwise("text"))
+    return R.neighbours(own, own, window, longest).select(F.col("chunk_id").alias("doc_id"), "context_expanded", F.sha2("content", 256).alias("digest"))
+
+
+@_query(_near_sql(1, 2400))
 def neighbors(spark, d):
-    own = R.neighbours(records.sequence_in_source(_chunks(spark, d)))
-    return own.select(F.col("chunk_id").alias("doc_id"), F.col("stitched").endswith("…").alias("cut"), "context_expanded")
+    return _near(spark, d, 1, 2400)
+
+
+@_query(_near_sql(2, 900))
+def expand_context(spark, d):
+    return _near(spark, d, 2, 900)
 
 
 @_query(f"WITH {_VEC}, n AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS n FROM vec) SELECT query_id, chunk_id, CAST(CASE WHEN n <= 2 THEN rank WHEN rank <= ceil(n / 2.0) THEN 2 * rank - 1 ELSE 2 * (n - rank + 1) END AS BIGINT) AS position FROM n")
@@ -186,15 +240,28 @@ def u_shape(spark, d):
     return R.u_shape(_vector_leg(spark, d)).select("query_id", "chunk_id", F.col("position").cast("long").alias("position"))
 
 
-@_query("SELECT c_custkey AS key, CASE WHEN c_custkey % 10 = 0 THEN 'removed' WHEN c_custkey % 10 = 1 THEN 'new' WHEN c_custkey % 10 = 2 THEN 'changed' ELSE 'same' END AS status FROM customer")
+_MANIFESTS = """o AS (SELECT c_custkey AS key, sha256(c_name || c_mktsegment) AS sha FROM customer WHERE c_nationkey <> 3), n AS (SELECT c_custkey AS key, sha256(c_name || CASE WHEN c_acctbal < 0 THEN 'x' ELSE c_mktsegment END) AS sha FROM customer WHERE c_nationkey <> 7),
+m AS (SELECT coalesce(o.key, n.key) AS key, CASE WHEN n.key IS NULL THEN 'removed' WHEN o.key IS NULL THEN 'new' WHEN o.sha <> n.sha THEN 'changed' ELSE 'same' END AS status FROM o FULL JOIN n ON o.key = n.key)"""
+
+
+def _manifests(spark, d):
+    own = _t(spark, d, "customer")
+    old = own.where("c_nationkey <> 3").select(F.col("c_custkey").alias("key"), F.sha2(F.concat("c_name", "c_mktsegment"), 256).alias("sha"))
+    new = own.where("c_nationkey <> 7").select(F.col("c_custkey").alias("key"), F.sha2(F.concat("c_name", F.when(F.col("c_acctbal") < 0, "x").otherwise(F.col("c_mktsegment"))), 256).alias("sha"))
+    return old, new
+
+
+@_query(f"WITH {_MANIFESTS} SELECT key, status FROM m")
 def manifest_diff(spark, d):
-    own = _t(spark, d, "customer").select(F.col("c_custkey").alias("key"), F.sha2("c_name", 256).alias("sha"))
-    old = own.where("key % 10 <> 1")
-    new = own.where("key % 10 <> 0").withColumn("sha", F.when(F.col("key") % 10 == 2, F.lit("x")).otherwise(F.col("sha")))
-    return records.manifest_diff(old, new)
+    return records.manifest_diff(*_manifests(spark, d))
 
 
-@_query(r"""WITH p AS (SELECT a.conv_id, a.turn, list_distinct(list_filter(regexp_split_to_array(lower(a.text), '\s+'), lambda w: w <> '')) AS x, list_distinct(list_filter(regexp_split_to_array(lower(u.text), '\s+'), lambda w: w <> '')) AS y
+@_query(f"WITH {_MANIFESTS} SELECT key, status, CASE WHEN status = 'removed' THEN 'drop' WHEN status = 'new' OR (SELECT count(*) FROM m WHERE status IN ('removed', 'changed')) > 0 THEN 'read' ELSE 'keep' END AS action FROM m")
+def ingest_plan(spark, d):
+    return records.ingest_plan(*_manifests(spark, d))
+
+
+@_query(r"""WITH p AS (SELECT a.conv_id, a.turn, list_distinct(list_filter(regexp_split_to_array(regexp_replace(lower(a.text), '[^\p{L}\p{N}_\s]', ' ', 'g'), '\s+'), lambda w: w <> '')) AS x, list_distinct(list_filter(regexp_split_to_array(regexp_replace(lower(u.text), '[^\p{L}\p{N}_\s]', ' ', 'g'), '\s+'), lambda w: w <> '')) AS y
   FROM conversations a JOIN conversations u ON a.conv_id = u.conv_id AND u.turn = a.turn - 1 WHERE a.role = 'assistant' AND u.role = 'user'), s AS (SELECT *, len(list_intersect(x, y)) AS both_n FROM p)
 SELECT conv_id, turn, CASE WHEN both_n > 0 THEN round(2 * (both_n / len(x)::DOUBLE) * (both_n / len(y)::DOUBLE) / (both_n / len(x)::DOUBLE + both_n / len(y)::DOUBLE), 3) ELSE 0.0 END AS token_f1 FROM s""")
 def eval_token_f1(spark, d):
@@ -203,9 +270,11 @@ def eval_token_f1(spark, d):
     return records.token_f1(a.join(u, ["conv_id", "turn"]), "text", "reference").select("conv_id", "turn", "token_f1")
 
 
-@_query("SELECT conv_id, turn, role FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role, text) <= 5")
+@_query("WITH r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn // 2 DESC, turn DESC) AS back FROM conversations QUALIFY back <= 5) SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY back DESC) AS nth FROM r")
 def history_last5(spark, d):
-    return spark.sql("SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role, text) AS rn FROM {t}) WHERE rn <= 5", t=_t(spark, d, "conversations"))
+    """Two turns share a time; their order decides."""
+    own = _t(spark, d, "conversations").select(F.col("conv_id").alias("user_id"), F.expr("turn DIV 2").alias("t"), "turn", "role", F.col("text").alias("content"))
+    return records.history(own).select(F.col("user_id").alias("conv_id"), "turn", "role", F.col("nth").cast("long").alias("nth"))
 
 
 @_query("SELECT user_id, event_type, strftime(ts, '%Y-%m-%d') AS day, min(event_id) AS event_id FROM events GROUP BY ALL")
@@ -230,8 +299,23 @@ def rate_limit_two_level(spark, d):
 
 @_query("SELECT DISTINCT user_id, event_type FROM events")
 def stream_dedup(spark, d):
-    own = S.stream_of(spark, f"{d}/events.parquet").dropDuplicates(["user_id", "event_type"]).select("user_id", "event_type")
-    return S.drained(own)
+    return S.drained(S.deduplicated(S.stream_of(spark, f"{d}/events.parquet"), ["user_id", "event_type"]).select("user_id", "event_type"))
+
+
+@_query("""WITH m AS (SELECT conv_id, turn, role, text, row_number() OVER w AS n, array_to_string(list(role || ':' || length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), ' ') AS held FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+SELECT conv_id, turn, least(n, 5) AS n_held, held FROM m""")
+def stream_memory(spark, d):
+    own = spark.readStream.schema(_t(spark, d, "conversations").schema).option("pathGlobFilter", "conversations.parquet").parquet(d)
+    told = own.select(F.col("conv_id").alias("key"), F.col("turn").cast("double").alias("t"), F.col("turn").alias("event_id"), F.lit("add").alias("op"), "role", F.col("text").alias("content"))
+    out = S.drained(S.conversations(told))
+    shown = F.transform("history", lambda h: F.concat(h["role"], F.lit(":"), F.length(h["content"]).cast("string")))
+    return out.select(F.col("key").alias("conv_id"), F.col("event_id").alias("turn"), F.size("history").cast("long").alias("n_held"), F.array_join(shown, " ").alias("held"))
+
+
+@_query("SELECT event_id, substr(sha256(event_type || ' ' || user_id), 1, 16) AS query_hash, strftime(ts, '%Y%m%d') AS log_date, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS timestamp FROM events")
+def query_log(spark, d):
+    own = S.stream_of(spark, f"{d}/events.parquet").select("event_id", "ts", F.concat("event_type", F.lit(" "), F.col("user_id").cast("string")).alias("query"))
+    return S.drained(S.log_entries(own), partition="log_date").select("event_id", "query_hash", "log_date", "timestamp")
 
 
 _CLOSED = "(SELECT max(ts) - INTERVAL 1 HOUR FROM events)"
@@ -279,17 +363,25 @@ def jsonl_validate(spark, d):
     return jsonl.valid_lines(_t(spark, d, "events").select("event_id", F.col("props").alias("value"))).select("event_id", "valid")
 
 
-@_query("SELECT CAST(conv_id AS VARCHAR) AS path, count(*) AS n FROM conversations GROUP BY conv_id")
+@_query("""WITH p AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) AS line_no, '{"turn":' || turn || ',"role":"' || role || '"}' AS j FROM conversations),
+x AS (SELECT *, turn % 5 AS k, unnest(CASE WHEN turn % 5 = 3 THEN [j, j] ELSE [j] END) AS v FROM p)
+SELECT CAST(conv_id AS VARCHAR) AS path, line_no, CASE k WHEN 0 THEN 'ok' WHEN 3 THEN 'split' WHEN 4 THEN 'unrecoverable' ELSE 'repaired' END AS status, CASE WHEN k = 4 THEN 'no object' ELSE v END AS value FROM x""")
 def jsonl_repair(spark, d):
-    line = F.to_json(F.struct("turn", "role"))
-    torn = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("junk "), line)).otherwise(line)
-    files = _t(spark, d, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", torn.alias("line")))), lambda x: x["line"]), "\n").alias("text"))
-    return jsonl.repaired(files.select(F.col("conv_id").cast("string").alias("path"), "text")).where("status <> 'unrecoverable'").groupBy("path").agg(F.count("*").alias("n"))
-
-
-@_query("SELECT l_returnflag, l_linestatus, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*) AS n FROM lineitem GROUP BY ALL")
-def lineitem_pricing_rollup(spark, d):
-    return _t(spark, d, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.count("*").alias("n"))
+    """Lines that are whole, with junk in front, without their opening brace, with two objects, with none."""
+    line, k = F.to_json(F.struct("turn", "role")), F.col("turn") % 5
+    torn = F.when(k == 1, F.concat(F.lit("junk "), line)).when(k == 2, F.concat(F.lit("?"), F.substring(line, 2, 10_000))).when(k == 3, F.concat(line, line)).when(k == 4, "no object").otherwise(line)
+    files = _t(spark, d, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", torn.alias("line")))), lambda x: x["line"]), "\n").alias("text"))
+    return jsonl.repaired(files.select(F.col("conv_id").cast("string").alias("path"), "text"))
+
+
+@_query("""WITH l AS (SELECT user_id, event_id, CASE event_id % 4 WHEN 0 THEN props WHEN 1 THEN substr(props, 2) WHEN 2 THEN '[' || event_id || ']' ELSE '' END AS value FROM events),
+f AS (SELECT *, CASE WHEN json_valid(value) THEN json_type(value) = 'OBJECT' ELSE false END AS valid FROM l WHERE trim(value, ' ') <> ''), b AS (SELECT *, row_number() OVER (PARTITION BY user_id, valid ORDER BY event_id) AS n FROM f)
+SELECT user_id, count(*) AS total, count(*) FILTER (valid) AS valid, count(*) FILTER (NOT valid) AS invalid, coalesce(string_agg(event_id::VARCHAR, ' ' ORDER BY event_id) FILTER (NOT valid AND n <= 50), '') AS invalid_lines FROM b GROUP BY user_id""")
+def jsonl_report(spark, d):
+    k = F.col("event_id") % 4
+    value = F.when(k == 0, F.col("props")).when(k == 1, F.substring("props", 2, 10_000)).when(k == 2, F.concat(F.lit("["), F.col("event_id").cast("string"), F.lit("]"))).otherwise("")
+    own = _t(spark, d, "events").select("user_id", F.col("event_id").alias("line_no"), value.alias("value"))
+    return jsonl.validation(own, ["user_id"]).withColumn("invalid_lines", F.array_join(F.col("invalid_lines").cast("array<string>"), " "))
 
 
 def queries() -> dict[str, Query]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from corvane.operators import evaluate, indexes, records, serving as V
+from corvane.operators import evaluate, indexes, records, retrieval as R, serving as V
 from corvane.plans.base import query, table
 
 _NOW = "TIMESTAMP '2024-02-15 12:00:00'"
@@ -47,19 +47,32 @@ def _ranked(spark, d) -> DataFrame:
     return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("query_id"), F.col("l_partkey").alias("chunk_id"), F.col("l_returnflag").alias("facet"), F.row_number().over(w).cast("long").alias("rank"))
 
 
-@query(f"WITH {_RANKED} SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM r WHERE facet IN ('N', 'unknown')")
+@query("""WITH r AS (SELECT l_orderkey AS query_id, l_partkey AS chunk_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber) AS rank FROM lineitem),
+s AS (SELECT p_partkey AS chunk_id, CASE WHEN p_size % 4 = 0 THEN 'unknown' ELSE p_brand END AS facet FROM part), q AS (SELECT o_orderkey AS query_id, CASE WHEN o_orderkey % 3 > 0 THEN 'Brand#' || (o_orderkey % 5 + 1) || '1' END AS wanted FROM orders)
+SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM r JOIN s USING (chunk_id) JOIN q USING (query_id) WHERE wanted IS NULL OR facet IN ('unknown', wanted)""")
 def facet_postfilter(spark, d):
-    return V.facet_filtered(_ranked(spark, d), "N").select("query_id", "chunk_id", "rank")
+    store = table(spark, d, "part").select(F.col("p_partkey").alias("chunk_id"), F.when(F.col("p_size") % 4 == 0, "unknown").otherwise(F.col("p_brand")).alias("facet"))
+    asked = table(spark, d, "orders").select(F.col("o_orderkey").alias("query_id"), F.when(F.col("o_orderkey") % 3 > 0, F.concat(F.lit("Brand#"), (F.col("o_orderkey") % 5 + 1).cast("string"), F.lit("1"))).alias("wanted"))
+    return R.facet_filtered(_ranked(spark, d).withColumn("score", F.lit(0.0)), store, asked).select("query_id", "chunk_id", "rank")
+
+
+@query("""WITH r AS (SELECT l_orderkey AS query_id, l_linenumber AS rank, l_quantity AS score, l_orderkey % 7 AS n, count(*) OVER (PARTITION BY l_orderkey) AS c FROM lineitem)
+SELECT query_id, rank AS before, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN c > 3 THEN -(score * n) END NULLS LAST, rank) AS rank FROM r""")
+def rerank(spark, d):
+    """A scorer over texts: the number in the text, times the number in the query; three results or fewer keep their order."""
+    own = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("query_id"), F.col("l_linenumber").alias("rank"), F.col("l_linenumber").alias("before"), F.col("l_quantity").cast("string").alias("content"))
+    asked = table(spark, d, "orders").select(F.col("o_orderkey").alias("query_id"), (F.col("o_orderkey") % 7).cast("string").alias("query"))
+    return R.reranked(own, asked, lambda q, t: q.cast("double") * t.cast("double"), 3).select("query_id", "before", "rank")
 
 
 @query(f"""WITH {_RANKED}, a AS (SELECT query_id, chunk_id, rank, CASE WHEN facet = 'N' THEN 0 ELSE 1 END AS leg FROM r), f AS (SELECT query_id, chunk_id, leg, rank FROM a QUALIFY row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY leg, rank) = 1)
 SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY leg, rank, chunk_id) AS rank FROM f""")
 def two_leg_vector(spark, d):
     own = _ranked(spark, d)
-    return V.two_legs(own.where("facet = 'N'"), own.where("facet <> 'N'"))
+    return R.two_legs(own.where("facet = 'N'"), own.where("facet <> 'N'"))
 
 
-_SHOWN = "s AS (SELECT query_id, rank, '[Документ: ' || p_brand || ', стр. ' || p_size || ']' || chr(10) || 'Раздел: ' || p_type || chr(10) || CASE WHEN chunk_id % 3 = 0 THEN 'ФОРМУЛА: ' WHEN chunk_id % 3 = 1 THEN 'РИСУНОК: ' ELSE '' END || p_name AS shown, p_brand FROM r JOIN part ON p_partkey = chunk_id)"
+_SHOWN = "s AS (SELECT query_id, rank, '[Документ: ' || p_brand || ', стр. ' || p_size || ']' || chr(10) || 'Раздел: ' || p_type || chr(10) || CASE WHEN chunk_id % 3 = 0 THEN 'ФОРМУЛА: ' WHEN chunk_id % 3 = 1 THEN 'РИСУНОК: ' ELSE '' END || p_name AS shown, p_brand, p_brand AS source, p_size AS page FROM r JOIN part ON p_partkey = chunk_id)"
 
 
 def _shown(spark, d) -> DataFrame:
@@ -72,6 +85,11 @@ def prompt_build(spark, d):
     return V.prompts(_shown(spark, d))
 
 
+@query(f"WITH {_RANKED}, {_SHOWN} SELECT query_id, string_agg('--- Фрагмент ' || rank || ' (источник: ' || source || ', стр. ' || page || ') ---' || chr(10) || shown, chr(10) || chr(10) ORDER BY rank) AS context FROM s GROUP BY query_id")
+def prompt_numbered(spark, d):
+    return V.prompts(_shown(spark, d), numbered=True)
+
+
 @query(f"""WITH {_RANKED}, {_SHOWN}, f AS (SELECT query_id, p_brand, min(rank) AS place FROM s GROUP BY ALL), n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY place, p_brand) AS n FROM f QUALIFY n <= 3)
 SELECT query_id, string_agg(p_brand, '; ' ORDER BY n) AS sources FROM n GROUP BY query_id""")
 def sources_top3(spark, d):
@@ -99,10 +117,12 @@ def quarantine_upsert(spark, d):
     return V.quarantined(store, own.where("quality = 0").drop("quality")).select("chunk_id", "reviewed")
 
 
-@query("SELECT c_custkey, coalesce(CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment END, CASE WHEN c_custkey % 2 = 0 THEN 'stored' END) AS facet, c_custkey % 3 <> 0 AND c_custkey % 2 <> 0 AS ask FROM customer")
+@query("SELECT c_custkey, coalesce(CASE WHEN c_acctbal > 5000 THEN c_mktsegment END, CASE WHEN n_regionkey < 3 THEN n_name END) AS facet, NOT c_acctbal > 5000 AND n_regionkey >= 3 AS ask FROM customer JOIN nation ON n_nationkey = c_nationkey")
 def model_resolution(spark, d):
-    asked, stored = F.when(F.col("c_custkey") % 3 == 0, F.col("c_mktsegment")).otherwise("unknown"), F.when(F.col("c_custkey") % 2 == 0, "stored")
-    return table(spark, d, "customer").select("c_custkey", V.facet_for_user(asked, stored).alias("f")).select("c_custkey", "f.facet", "f.ask")
+    """What the text names, else what the user prefers, else a question."""
+    own = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("n_nationkey") == F.col("c_nationkey"))
+    asked, stored = F.when(F.col("c_acctbal") > 5000, F.col("c_mktsegment")).otherwise("unknown"), F.when(F.col("n_regionkey") < 3, F.col("n_name"))
+    return own.select("c_custkey", V.facet_for_user(asked, stored).alias("f")).select("c_custkey", "f.facet", "f.ask")
 
 
 def _message():
@@ -128,7 +148,7 @@ _SCORE = "CASE WHEN (a > 0)::INT + (b > 0)::INT + (c > 0)::INT + (d > 0)::INT =
 
 def _judged(spark, d) -> DataFrame:
     own = table(spark, d, "lineitem")
-    return own.select("l_orderkey", "l_linenumber", "l_returnflag", (F.col("l_linenumber") % 4 / 4).alias("faithfulness"), (F.col("l_quantity") / 53).alias("answer_relevancy"), F.col("l_discount").alias("context_precision"), F.col("l_tax").alias("context_recall"), F.lit(0.5).alias("token_f1"), F.when(F.col("l_linestatus") == "F", "e").alias("error"))
+    return own.select("l_orderkey", "l_linenumber", "l_returnflag", (F.col("l_linenumber") % 4 / 4).alias("faithfulness"), (F.col("l_quantity") / 53).alias("answer_relevancy"), F.col("l_discount").alias("context_precision"), F.col("l_tax").alias("context_recall"), (F.col("l_discount") * 3).alias("token_f1"), F.when(F.col("l_linestatus") == "F", "e").alias("error"))
 
 
 @query(f"WITH m AS (SELECT l_orderkey, l_linenumber, {_METRICS} FROM lineitem) SELECT l_orderkey, l_linenumber, {_SCORE} AS score FROM m")
@@ -136,24 +156,42 @@ def eval_rag_score(spark, d):
     return _judged(spark, d).select("l_orderkey", "l_linenumber", evaluate.rag_score(*map(F.col, evaluate.METRICS)).alias("score"))
 
 
-@query("SELECT l_returnflag, count(*) AS n, count(*) FILTER (l_linestatus = 'F') AS n_errors, round(avg(l_quantity / 53) FILTER (l_linestatus <> 'F'), 3) AS answer_relevancy FROM lineitem GROUP BY l_returnflag")
+_MEANS = ", ".join(f"round(avg({x}) FILTER (l_linestatus <> 'F'), 3) AS {n}" for n, x in (("faithfulness", "a"), ("answer_relevancy", "b"), ("context_precision", "c"), ("context_recall", "d"), ("token_f1", "c * 3"), ("rag_score", "score")))
+
+
+@query(f"WITH m AS (SELECT l_returnflag, l_linestatus, {_METRICS} FROM lineitem), s AS (SELECT *, {_SCORE} AS score FROM m) SELECT l_returnflag, count(*) AS n, count(*) FILTER (l_linestatus = 'F') AS n_errors, {_MEANS} FROM s GROUP BY l_returnflag")
 def eval_report(spark, d):
-    return evaluate.report(_judged(spark, d), ["l_returnflag"]).select("l_returnflag", "n", "n_errors", "answer_relevancy")
+    return evaluate.report(_judged(spark, d), ["l_returnflag"])
+
+
+_REPLY = "p_name || ': ' || p_size || '.' || p_partkey % 10 || ' из ' || p_partkey || ' (' || p_size % 12 || ')'"
 
 
-@query("SELECT p_partkey, CASE WHEN p_partkey % 100 <= 10 THEN round(p_partkey % 100 / 10.0::DOUBLE, 3) WHEN p_size <= 10 THEN round(p_size / 10.0::DOUBLE, 3) ELSE 0.0::DOUBLE END AS score FROM part")
+@query(rf"WITH n AS (SELECT p_partkey, list_filter(list_transform(regexp_extract_all({_REPLY}, '\b(\d+(?:\.\d+)?)\b', 1), lambda x: x::DOUBLE), lambda x: x <= 10) AS ns FROM part) SELECT p_partkey, coalesce(round(ns[1] / 10, 3), 0.0::DOUBLE) AS score FROM n".replace("\\\\", "\\"))
 def score_parse(spark, d):
-    reply = F.concat(F.lit("Оценка: "), (F.col("p_partkey") % 100).cast("string"), F.lit(" ("), F.col("p_size").cast("string"), F.lit(")"))
+    """Replies with several numbers, of which the first within 0 to 10 counts."""
+    key, size = F.col("p_partkey"), F.col("p_size")
+    reply = F.concat("p_name", F.lit(": "), size.cast("string"), F.lit("."), (key % 10).cast("string"), F.lit(" из "), key.cast("string"), F.lit(" ("), (size % 12).cast("string"), F.lit(")"))
     return table(spark, d, "part").select("p_partkey", evaluate.score_of(reply).alias("score"))
 
 
-@query("""SELECT o_orderkey, CASE WHEN k = 4 THEN 'approved' WHEN k = 3 THEN 'rejected' WHEN k IN (1, 2) THEN 'review' ELSE 'approved' END AS status, CASE WHEN k IN (0, 2, 3, 4) THEN 1 ELSE 0 END AS n_citations, CASE WHEN k = 2 THEN 1 ELSE 0 END AS n_fake FROM (SELECT o_orderkey, o_orderkey % 5 AS k FROM orders)""")
+_ANSWER = "substr(text, 1, 20 + (conv_id % 5 * 20)::INT) || CASE WHEN turn % 3 > 0 THEN ' [Документ: ' || CASE conv_id % 3 WHEN 0 THEN 'Guide' WHEN 1 THEN 'docs.PDF' ELSE 'other' END || ', стр. ' || turn || ']' ELSE '' END || CASE WHEN turn % 4 = 3 THEN ' [документ: guide.pdf, страница 1]' ELSE '' END"
+_CITE = r"(?i)\[Документ:\s*([^,\]]+?),\s*стр(?:аница)?\.?\s*(\d+)\]"
+
+
+@query(f"""WITH a AS (SELECT conv_id, turn, {_ANSWER} AS answer, CASE WHEN conv_id % 6 = 5 THEN [] ELSE [{{'s': 'x/guide.pdf', 'p': 1::BIGINT}}, {{'s': 'docs', 'p': turn}}] END AS sources, CASE WHEN conv_id % 11 = 3 THEN false END AS factual FROM conversations),
+c AS (SELECT *, list_zip(regexp_extract_all(answer, '{_CITE}', 1), list_transform(regexp_extract_all(answer, '{_CITE}', 2), lambda x: x::BIGINT)) AS cited FROM a),
+f AS (SELECT *, CASE WHEN len(sources) = 0 THEN [] ELSE list_filter(cited, lambda c: len(list_filter(sources, lambda s: s.p = c[2] AND (contains(lower(list_last(string_split(s.s, '/'))), lower(c[1])) OR contains(lower(c[1]), lower(list_last(string_split(s.s, '/'))))))) = 0) END AS fake FROM c)
+SELECT conv_id, turn, CASE WHEN length(trim(answer, ' ')) < 50 THEN 'approved' WHEN factual = false THEN 'rejected' WHEN len(cited) = 0 OR len(fake) > 0 THEN 'review' ELSE 'approved' END AS status, len(cited)::INT AS n_citations, len(fake)::INT AS n_fake FROM f""")
 def validate_answers(spark, d):
-    k, body = F.col("o_orderkey") % 5, "Ответ по документации, достаточно длинный для проверки ссылок. "
-    cite = lambda page: F.lit(f"[Документ: Guide, стр. {page}]")
-    answer = F.when(k == 1, F.lit(body)).when(k == 2, F.concat(F.lit(body), cite(9))).when(k == 4, cite(3)).otherwise(F.concat(F.lit(body), cite(3)))
-    own = table(spark, d, "orders").select("o_orderkey", answer.alias("answer"), F.array(F.struct(F.lit("docs/guide.pdf").alias("source"), F.lit(3).cast("long").alias("page"))).alias("sources"), F.when(k == 3, False).alias("factual"))
-    return evaluate.validated(own).select("o_orderkey", "status", "n_citations", F.size("fake").alias("n_fake"))
+    """Answers of the conversations with citations of two documents, some right, some of another page or document."""
+    conv, turn = F.col("conv_id"), F.col("turn")
+    name = F.when(conv % 3 == 0, "Guide").when(conv % 3 == 1, "docs.PDF").otherwise("other")
+    answer = F.concat(F.col("text").substr(F.lit(1), (20 + conv % 5 * 20).cast("int")), F.when(turn % 3 > 0, F.concat(F.lit(" [Документ: "), name, F.lit(", стр. "), turn.cast("string"), F.lit("]"))).otherwise(""), F.when(turn % 4 == 3, " [документ: guide.pdf, страница 1]").otherwise(""))
+    place = lambda s, p: F.struct(F.lit(s).alias("source"), p.alias("page"))
+    sources = F.when(conv % 6 == 5, F.expr("cast(array() as array<struct<source: string, page: bigint>>)")).otherwise(F.array(place("x/guide.pdf", F.lit(1).cast("long")), place("docs", turn)))
+    own = table(spark, d, "conversations").select("conv_id", "turn", answer.alias("answer"), sources.alias("sources"), F.when(conv % 11 == 3, False).alias("factual"))
+    return evaluate.validated(own).select("conv_id", "turn", "status", "n_citations", F.size("fake").alias("n_fake"))
 
 
 def _store(spark, d) -> DataFrame:
@@ -165,18 +203,26 @@ def index_counts(spark, d):
     return indexes.chunk_counts(_store(spark, d)).select("chunk_type", "n", "n_empty")
 
 
-@query("""WITH c AS (SELECT count(*) AS n, count(*) FILTER (doc_id % 10 <> 0) AS l FROM documents)
-SELECT CAST(n AS BIGINT) AS n_store, l AS n_lexical, n AS n_vectors, CASE WHEN n = 0 OR abs(n - l) > greatest(5.0, 0.02 * n) THEN 'fail' ELSE 'ok' END AS status FROM c""")
+@query("""WITH c AS (SELECT count(*) AS n, count(*) FILTER (doc_id % 100 <> 7) AS l, count(*) FILTER (trim(coalesce(text, ''), ' ') = '') AS e FROM documents), v AS (SELECT count(*) AS v FROM embeddings)
+SELECT CAST(n AS BIGINT) AS n_store, CAST(e AS BIGINT) AS n_empty, l AS n_lexical, v AS n_vectors, CASE WHEN n = 0 OR e > 0 OR abs(n - l) > greatest(5.0, 0.02 * n) THEN 'fail' WHEN abs(n - v) > greatest(5.0, 0.05 * n) THEN 'warn' ELSE 'ok' END AS status FROM c, v""")
 def index_verify(spark, d):
-    own = _store(spark, d)
-    return indexes.verified(own, own.where("content <> '' OR content IS NULL"), own).select("n_store", "n_lexical", "n_vectors", "status")
+    """The documents as a store, with a lexical index that lacks some of them and the vectors of another table."""
+    own = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("text").alias("content"), F.col("lang").alias("chunk_type"))
+    vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"))
+    return indexes.verified(own, own.where("chunk_id % 100 <> 7"), vectors).select("n_store", "n_empty", "n_lexical", "n_vectors", "status")
 
 
-@query("SELECT 'id' || event_id AS chunk_id, CASE WHEN event_id % 2 = 0 THEN event_type ELSE NULL END AS content, user_id AS page FROM events WHERE event_id % 3 <> 0")
+@query("""SELECT coalesce(CASE WHEN event_id % 4 > 0 THEN 'id' || event_id END, CASE WHEN event_id % 3 > 0 AND event_id % 8 = 4 THEN 'm' || event_id END, 'rec_' || substr(sha256(coalesce(c, '')), 1, 16)) AS chunk_id, c AS content, CASE WHEN event_id % 3 > 0 THEN user_id ELSE 0 END AS page, event_id % 3 = 0 OR (event_id % 4 = 0 AND event_id % 8 <> 4) AS backfilled
+FROM (SELECT *, CASE event_id % 5 WHEN 0 THEN event_type WHEN 1 THEN '' WHEN 2 THEN event_type || ' p' WHEN 3 THEN 'text ' || user_id END AS c FROM events) WHERE trim(coalesce(c, ''), ' ') <> '' OR event_id % 3 > 0""")
 def record_coerce(spark, d):
-    meta = F.when(F.col("event_id") % 3 != 0, F.struct(F.col("user_id").cast("string").alias("page")))
-    line = F.to_json(F.struct(F.concat(F.lit("id"), F.col("event_id").cast("string")).alias("id"), F.when((F.col("event_id") % 2 == 0) & (F.col("event_id") % 3 != 0), F.col("event_type")).alias("page_content"), meta.alias("metadata")))
-    return indexes.coerced(table(spark, d, "events").select(line.alias("value"))).select("chunk_id", "content", "page")
+    """Ids in three places or none; content under three names, empty (which hides the others) or absent; with and without metadata."""
+    k = F.col("event_id")
+    name = lambda prefix: F.concat(F.lit(prefix), k.cast("string"))
+    meta = F.when(k % 3 > 0, F.struct(F.col("user_id").cast("string").alias("page"), F.when(k % 8 == 4, name("m")).alias("chunk_id")))
+    line = F.to_json(F.struct(
+        F.when(k % 4 > 0, name("id")).alias("id"), F.when(k % 5 == 0, F.col("event_type")).when(k % 5 == 1, "").alias("content"), F.when(k % 5 == 2, F.concat("event_type", F.lit(" p"))).when(k % 5 == 1, "hidden").alias("page_content"),
+        F.when(k % 5 == 3, F.concat(F.lit("text "), F.col("user_id").cast("string"))).when(k % 5 == 2, "hidden").alias("text"), meta.alias("metadata")))
+    return indexes.coerced(table(spark, d, "events").select(line.alias("value"))).select("chunk_id", "content", "page", "backfilled")
 
 
 @query("SELECT source, lang, text IS NOT NULL AS has_text, min(doc_id) AS first_doc FROM documents GROUP BY source, lang, text")
@@ -190,32 +236,3 @@ def seq_backfill(spark, d):
     own = table(spark, d, "documents").select("doc_id", F.col("doc_id").alias("chunk_id"), "source", F.col("doc_id").alias("ord"))
     adjacency = records.sequence_in_source(own).select("chunk_id", F.col("seq").cast("long").alias("seq"))
     return indexes.with_seq(own.withColumn("seq", F.lit(None).cast("long")), adjacency).select("doc_id", "seq")
-
-
-@query("SELECT o_custkey, o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS INT) AS rank FROM orders QUALIFY rank <= 3")
-def orders_topk_per_customer(spark, d):
-    w = W.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")
-    return table(spark, d, "orders").select("o_custkey", "o_orderkey", F.row_number().over(w).alias("rank")).where("rank <= 3")
-
-
-@query("SELECT e.event_id, p.event_id AS purchase_id FROM events e ASOF LEFT JOIN (SELECT event_id, user_id, max(event_id) OVER () IS NOT NULL AS y FROM events WHERE event_type = 'purchase') p ON e.user_id = p.user_id AND e.event_id >= p.event_id")
-def asof_event_join(spark, d):
-    """The last purchase of the same user up to each event: one window over both sides, no pairs."""
-    past = W.partitionBy("user_id").orderBy("event_id").rowsBetween(W.unboundedPreceding, 0)
-    return table(spark, d, "events").select("event_id", F.last(F.when(F.col("event_type") == "purchase", F.col("event_id")), True).over(past).alias("purchase_id"))
-
-
-@query("SELECT DISTINCT o_custkey AS key, o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) AS rich FROM orders UNION SELECT c_custkey, false FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
-def setops_keys(spark, d):
-    ordered = table(spark, d, "orders").select(F.col("o_custkey").alias("key"))
-    every = table(spark, d, "customer")
-    rich = every.where("c_acctbal > 0").select(F.col("c_custkey").alias("key"))
-    idle = every.select(F.col("c_custkey").alias("key")).subtract(ordered)
-    return ordered.intersect(rich).withColumn("rich", F.lit(True)).unionByName(ordered.subtract(rich).withColumn("rich", F.lit(False))).unionByName(idle.withColumn("rich", F.lit(False)))
-
-
-@query("WITH f AS (SELECT source, doc_id, length(text) AS n FROM documents) SELECT a.doc_id, count(b.doc_id) AS n_near FROM f a LEFT JOIN f b ON a.source = b.source AND a.doc_id <> b.doc_id AND abs(a.doc_id - b.doc_id) <= 40 GROUP BY a.doc_id")
-def expand_context(spark, d):
-    w = W.partitionBy("source").orderBy("doc_id").rangeBetween(-40, 40)
-    return table(spark, d, "documents").select("doc_id", (F.count("*").over(w) - 1).alias("n_near"))
-
