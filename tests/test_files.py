@@ -25,7 +25,7 @@ def folder(tmp_path_factory):
     (base / "old.md").write_bytes("Руководство по включению сканера: нажмите кнопку питания и ждите сигнала.".encode("cp1251"))
     (base / "sub" / "t.CSV").write_text("name;size;note\n" + "".join(f"item{k};{k};some note about item {k}\n" for k in range(100)))
     (base / "empty.txt").write_text("")
-    (base / "data.txt").write_text(json.dumps({"chunk_id": "c", "content": "x" * 80}) + "\n")
+    (base / "data.txt").write_text(json.dumps({"chunk_id": "c", "content": "x" * 80, "metadata": {}}) + "\n")
     (base / "chunks_1.txt").write_text("y" * 80)
     (base / "skip.bin").write_bytes(b"\x00")
     (base / "broken.docx").write_bytes(b"no archive")
@@ -54,7 +54,7 @@ def test_elements(spark, folder):
 def test_artifact_names(spark):
     names = spark.createDataFrame([("chunks_a.jsonl",), ("Docstore.txt",), ("bm25x.txt",), ("a.txt",)], "name string")
     rows = names.select("name", files.artifact_kind(names["name"]).alias("k"), files.artifact_priority(files.artifact_kind(names["name"]), True).alias("p")).collect()
-    assert [(r["k"], r["p"]) for r in rows] == [("chunks", 2), ("docstore", 1), ("bm25", 3), ("unknown", 0)]
+    assert [(r["k"], r["p"]) for r in rows] == [("chunks", 2), ("docstore", 1), ("bm25", 4), ("unknown", 0)]
 
 
 def test_engine(spark, folder, tmp_path):
@@ -64,6 +64,7 @@ def test_engine(spark, folder, tmp_path):
     assert {r["chunk_type"] for r in store.select("chunk_type").distinct().collect()} == {"text", "table"}
     assert store.count() == store.select("chunk_id").distinct().count()
     asked = spark.createDataFrame([(1, "ballots images scanner"), (2, "nothing of that")], "query_id long, query string")
+    assert engine.ready()["ready"]
     best = engine.search(asked, 2).where("rank = 1 AND query_id = 1").collect()
     assert best[0]["source"] == "a.txt"
     assert "[Документ: a.txt, стр. 1]" in engine.contexts(engine.search(asked, 2)).where("query_id = 1").collect()[0]["context"]

@@ -1,12 +1,13 @@
 """Operators that SQL cannot express, against brute force and small cases."""
 
+import hashlib
 from collections import defaultdict
 
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from corvane.functions import elements as E, repair, rules, tables as T
+from corvane.functions import elements as E, repair, rules, tables as T, text as X
 from corvane.operators import chunking, indexes, records, serving
 from corvane.plans import registry
 
@@ -67,8 +68,47 @@ def test_chunk_bounds():
     text = "\n\n".join(f"Paragraph number {k} with some words in it." * 8 for k in range(12))
     parts = chunking.split_text(text)
     assert len(parts) > 1 and parts[1].startswith(chunking.tail(parts[0], chunking.OVERLAP))
-    assert max(map(len, chunking.split_text("y" * 5000, overlap=0))) <= chunking.CUT
-    assert chunking.pack(["a" * 30, "b" * 30, "c" * 300], 30) == ["a" * 30 + "\n\n" + "b" * 30, "c" * 300]
+    assert max(map(len, chunking.split_text("y" * 5000, overlap=0))) <= chunking.longest_for(chunking.SIZE)
+    assert [len(c) for c in chunking.split_text("y" * 3000, 100, 0)] == [250] * 12
+    assert chunking.packed([30, 30, 300], 30) == [(0, 2), (2, 3)]
+    assert chunking.split_text("12 34 56\n" * 20) == []  # noise
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(1, 400), max_size=20), st.integers(1, 200))
+def test_packing_is_greedy(lengths, budget):
+    want, first, joined = [], 0, 0
+    for k, n in enumerate(lengths):
+        if k > first and chunking.tokens_of(joined + 2 + n) > budget:
+            want.append((first, k))
+            first, joined = k, n
+        else:
+            joined = joined + 2 + n if k > first else n
+    assert chunking.packed(lengths, budget) == want + [(first, len(lengths))] * bool(lengths)
+
+
+def test_noise_twins(spark):
+    texts = ["", "  ", "12.", "x = 5", "ab", "a1 = 2", "изме-", "слово-", "--- 123456789012345678901", "50%x", "∑", "α", "два слова", "a" * 40, "1 + 2"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", X.is_noise(F.col("t")).alias("a"), X.is_noise(F.col("t"), 0).alias("b")).collect()
+    assert [(r["t"], r["a"], r["b"]) for r in rows] == [(t, X.noisy(t), X.noisy(t, 0)) for t in texts]
+    assert not X.noisy("x = 5") and X.noisy("2 + 2 = 4") and X.noisy("изме-")
+
+
+def test_garbage_lines(spark):
+    lines = ["ю отл л еге оте кн рь а д ёво л нж а е", "| ю отл л еге оте кн рь а д ёво |", "Обычная строка текста здесь и дальше.", "a b c d e f g h i j k l m", "12 34 56 78 90 11 12", None, "", "bc df gh jk lm np qr st"]
+    got = [r["x"] for r in spark.createDataFrame([(t,) for t in lines], "t string").select(X.is_garbage_line(F.col("t")).alias("x")).collect()]
+
+    def brute(line):
+        t = (line or "").strip(" ")
+        n = [c for c in t if c.isalpha()]
+        words = [w for w in t.split() if any(map(str.isalpha, w))]
+        if t.startswith("|") or len(n) < 12 or len(words) < 6:
+            return False
+        short, average = sum(len(w) <= 2 for w in words) / len(words), sum(map(len, words)) / len(words)
+        vowels = sum(c in "аеёиоуыэюяaeiouy" for c in t.lower()) / len(n)
+        return (short >= 0.55 and average <= 3.2) or (average <= 2.6 and vowels < 0.30)
+
+    assert got == [brute(x) for x in lines] and sum(got) >= 2
 
 
 def brute_pieces(table, longest):
@@ -139,7 +179,7 @@ def test_import_rules(spark):
     assert indexes.incompatible({"model": "m ", "query_prefix": "q"}, {"model": "m", "query_prefix": ""}) == ["query_prefix"]
     lines = spark.createDataFrame([('{"id":"1","text":"t","metadata":{"page":"3"}}',), ('{"id":"2"}',), ('{"content":"c"}',), ("broken",), (None,)], "value string")
     got = indexes.coerced(lines).orderBy("chunk_id").collect()
-    assert [(r["chunk_id"][:4], r["content"], r["page"]) for r in got] == [("1", "t", 3), ("rec_", "c", 0)]
+    assert [(r["chunk_id"][:4], r["content"], r["page"]) for r in got] == [("1", "t", 3), ("rec_", "c", 0)] and got[1]["chunk_id"] == "rec_" + hashlib.sha256(b"c").hexdigest()[:16]
 
 
 def test_cache_entries_serve_their_facet(spark):
