@@ -194,9 +194,23 @@ def truncate_table(spark, d):
     return _tables(spark, d).select("table_id", T.for_prompt(F.col("content"), rows=2).alias("shown"))
 
 
-@query()
+_LONG = "'| order | line | flag |' || chr(10) || '| --- | --- | --- |'"
+
+
+@query(f"""WITH RECURSIVE r AS (SELECT l_suppkey AS id, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_returnflag) AS n, '| ' || l_orderkey || ' | ' || repeat('x', l_linenumber) || ' | ' || l_returnflag || ' |' AS line FROM lineitem),
+t AS (SELECT id, length({_LONG}) + sum(length(line) + 1) > 3500 AS long FROM r GROUP BY id), p AS (SELECT r.*, long FROM r JOIN t USING (id)),
+f AS (SELECT id, n, line, long, 1 AS part, length({_LONG}) + 1 + length(line) AS size FROM p WHERE n = 1 UNION ALL
+  SELECT p.id, p.n, p.line, p.long, CASE WHEN p.long AND f.size + 1 + length(p.line) > 3500 THEN f.part + 1 ELSE f.part END, CASE WHEN p.long AND f.size + 1 + length(p.line) > 3500 THEN length({_LONG}) + 1 + length(p.line) ELSE f.size + 1 + length(p.line) END FROM f JOIN p ON p.id = f.id AND p.n = f.n + 1),
+g AS (SELECT id, part, {_LONG} || chr(10) || string_agg(line, chr(10) ORDER BY n) AS content FROM f GROUP BY id, part)
+SELECT id AS table_id, part AS table_part, (count(*) OVER (PARTITION BY id))::INT AS table_parts, sha256(content) AS digest FROM g""")
 def table_split(spark, d):
-    return chunking.split_tables(_tables(spark, d))
+    """A table of each supplier's lines, most of them too long for one piece."""
+    rows = F.array_sort(F.collect_list(F.struct("l_orderkey", "l_linenumber", "l_returnflag")))
+    cells = lambda r: F.array(r["l_orderkey"].cast("string"), F.repeat(F.lit("x"), r["l_linenumber"]), r["l_returnflag"])
+    own = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("table_id")).agg(F.transform(rows, cells).alias("rows"))
+    head = F.array(F.array(*map(F.lit, ("order", "line", "flag"))))
+    made = own.select("table_id", T.from_rows(F.concat(head, F.col("rows"))).alias("content"))
+    return chunking.split_tables(made).select("table_id", "table_part", "table_parts", F.sha2("content", 256).alias("digest"))
 
 
 @query()
@@ -232,7 +246,13 @@ def captions(spark, d):
     return table(spark, d, "documents").select("doc_id", E.figure_caption(text).alias("caption"))
 
 
-@query()
+_REST = r"regexp_replace(coalesce(text, ''), '(?s)\$\$.+?\$\$', ' ', 'g')"
+
+
+@query(rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {_REST} AS rest FROM documents),
+b AS (SELECT doc_id, trim(unnest(regexp_extract_all(text, '(?s)\$\$(.+?)\$\$', 1)), ' ') AS content, 'latex_block' AS formula_type FROM d), i AS (SELECT doc_id, trim(unnest(regexp_extract_all(rest, '\$([^$]{{1,500}})\$', 1)), ' ') AS content, 'latex_inline' AS formula_type FROM d),
+l AS (SELECT doc_id, trim(unnest(string_split(regexp_replace(rest, '\$[^$]{{1,500}}\$', ' ', 'g'), chr(10))), ' ') AS t FROM d), s AS (SELECT doc_id, t AS content, 'suspected_formula' AS formula_type FROM l WHERE length(t) BETWEEN 5 AND 260 AND NOT starts_with(t, '|') AND regexp_matches(t, '{X.MATH}') AND {_FORMULA})
+SELECT * FROM b UNION ALL SELECT * FROM i UNION ALL SELECT * FROM s""".replace("\\\\", "\\"))
 def formulas_extract(spark, d):
     return table(spark, d, "documents").select("doc_id", F.explode(E.formulas(F.col("text"))).alias("f")).select("doc_id", "f.content", "f.formula_type")
 
@@ -261,12 +281,53 @@ def split_glued(spark, d):
     return table(spark, d, "documents").select("doc_id", repair.split_glued(glued, {w: 1.0 for w in WORDS}).alias("split"))
 
 
-@query()
+def _twice(x: str, pattern: str, by: str) -> str:
+    """A replacement between two digits; the second run takes what the first one's matches hid."""
+    once = lambda y: f"regexp_replace({y}, '([0-9]){pattern}([0-9])', '\\1{by}\\2', 'g')"
+    return once(once(x))
+
+
+def _word(x: str, pattern: str, by: str) -> str:
+    """A replacement of whole words, twice for neighbours that share a blank."""
+    once = lambda y: f"regexp_replace({y}, '(?i)(^|[^\\p{{L}}\\p{{N}}_]){pattern}($|[^\\p{{L}}\\p{{N}}_])', '\\1{by}\\2', 'g')"
+    return once(once(x))
+
+
+def _normal_sql(column: str) -> str:
+    """The steps of the repair of recognised text, as a chain of expressions."""
+    x = f"regexp_replace(coalesce({column}, ''), '(?i)^(?:\\s*(?:passage|query):){{1,3}}\\s*', '')"
+    x = f"regexp_replace(regexp_replace({x}, '([А-Яа-яA-Za-z])[-¬]\\s*\\n\\s*([А-Яа-яA-Za-z])', '\\1\\2', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g')"
+    x = f"regexp_replace({x}, '<[^<>\\n]{{1,80}}>', ' ', 'g')"
+    x = _word(x, "toto", "того")
+    x = f"regexp_replace({x}, '(?i)(^|[^\\p{{L}}\\p{{N}}_])установяич[\\p{{L}}\\p{{N}}_]*', '\\1установочный', 'g')"
+    x = _word(x, "сенсорнь[!1|]й", "сенсорный")
+    x = _word(x, "бюллетен[ьb]", "бюллетень")
+    x = _twice(_twice(_twice(x, "[lI]", "1"), "O", "0"), "З", "3")
+    return f"regexp_replace({x}, '(^|[^\\p{{L}}\\p{{N}}_])N[°o]($|[^\\p{{L}}\\p{{N}}_])', '\\1№\\2', 'g')"
+
+
+_GLYPHS = f"""array_to_string(list_transform(regexp_extract_all(x, '[а-яёА-ЯЁA-Za-z]+|[^а-яёА-ЯЁA-Za-z]+'), lambda w: CASE WHEN NOT (regexp_matches(w, '[а-яёА-ЯЁ]') AND regexp_matches(w, '[A-Za-z]')) THEN w
+WHEN length(regexp_replace(w, '[^\\x{{0400}}-\\x{{04FF}}]', '', 'g')) >= greatest(1, length(w) // 2) THEN translate(w, '{repair.LATIN}', '{repair.AS_CYRILLIC}') ELSE translate(w, '{repair.CYRILLIC}', '{repair.AS_LATIN}') END), '')"""
+_CLEANED = r"""regexp_replace(regexp_replace(array_to_string(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(y, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', '', 'g'), '[ \t]+', ' ', 'g'), '[^\p{L}\p{N}_\p{Z}\s+=*/()\[\]{}$<>,.;:!?%&|^~`"\\@#№°±≥≤≈×÷→←↑↓∈∑∫∂∇∞≠√∏∝∧∨¬⊂⊃⊆⊇∅∩∪\x{0400}-\x{04FF}\x27-]', '', 'g'), chr(10)), lambda v: trim(v, ' ')), chr(10)), '^\n+', ''), '\n+$', '')"""
+
+
+def _normalised(name: str, source: str, key: str, column: str) -> str:
+    """CTE of the normalised texts of a table."""
+    return rf"""{name}_a AS (SELECT {key}, {_normal_sql(column)} AS x FROM {source}), {name}_b AS (SELECT {key}, {_GLYPHS} AS y FROM {name}_a), {name}_c AS (SELECT {key}, {_CLEANED} AS z FROM {name}_b),
+{name} AS (SELECT {key}, regexp_replace(regexp_replace(regexp_replace(z, ' {{2,}}', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS t FROM {name}_c)"""
+
+
+@query(f"WITH {_normalised('n', 'pages', 'page_id', 'html')} SELECT page_id, t AS plain FROM n")
 def normalize_ocr(spark, d):
     return table(spark, d, "pages").select("page_id", repair.normalized(F.col("html")).alias("plain"))
 
 
-@query()
+_LETTER = r"length(regexp_replace({0}, '[^\p{{L}}]', '', 'g'))"
+_BAD = rf"""(SELECT NOT starts_with(q, '|') AND {_LETTER.format('q')} >= 12 AND n >= 6 AND coalesce((short >= 0.55 AND av <= 3.2) OR (av <= 2.6 AND vow < 0.30), false) FROM (SELECT q, len(ws) AS n, len(list_filter(ws, lambda v: length(v) <= 2)) / nullif(len(ws), 0)::DOUBLE AS short,
+  coalesce(list_sum(list_transform(ws, lambda v: length(v))), 0) / nullif(len(ws), 0)::DOUBLE AS av, length(regexp_replace(lower(q), '[^аеёиоуыэюяaeiouy]', '', 'g')) / nullif({_LETTER.format('q')}, 0)::DOUBLE AS vow FROM (SELECT q, list_filter(regexp_split_to_array(q, '\s+'), lambda v: {_LETTER.format('v')} > 0) AS ws)))"""
+
+
+@query(f"WITH {_normalised('n', 'documents', 'doc_id', 'text')}, l AS (SELECT doc_id, generate_subscripts(string_split(t, chr(10)), 1) AS k, unnest(string_split(t, chr(10))) AS line, trim(unnest(string_split(t, chr(10))), ' ') AS q FROM n), g AS (SELECT *, {_BAD} AS bad FROM l) SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (NOT bad), '') AS cleaned FROM g GROUP BY doc_id")
 def deep_clean(spark, d):
     return table(spark, d, "documents").select("doc_id", repair.deep_clean(F.col("text")).alias("cleaned"))
 

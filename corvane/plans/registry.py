@@ -287,12 +287,25 @@ def _timed(spark, d):
     return own.select("key", "event_id", (F.col("us") / 1e6).alias("t"))
 
 
-@_query()
+def _admitted_sql(name: str, rows: str, limit: int, window: int) -> str:
+    """Limiter as a recursion over the running number of each key's events: the state is the list of admitted times."""
+    return f"""{name}_n AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY t, event_id) AS n FROM {rows}),
+{name} AS (SELECT key, event_id, t, n, true AS admitted, [t] AS live FROM {name}_n WHERE n = 1 UNION ALL
+  SELECT x.key, x.event_id, x.t, x.n, len(list_filter(p.live, lambda v: x.t - v <= {window})) < {limit}, CASE WHEN len(list_filter(p.live, lambda v: x.t - v <= {window})) < {limit} THEN list_append(list_filter(p.live, lambda v: x.t - v <= {window}), x.t) ELSE list_filter(p.live, lambda v: x.t - v <= {window}) END
+  FROM {name} p JOIN {name}_n x ON x.key = p.key AND x.n = p.n + 1)"""
+
+
+_EVENTS = "e AS (SELECT user_id AS key, event_id, epoch_us(ts) / 1e6::DOUBLE AS t FROM events)"
+_BY_USER = f"WITH RECURSIVE {_EVENTS}, {_admitted_sql('a', 'e', 3, 86400)} SELECT key, event_id, admitted FROM a"
+
+
+@_query(_BY_USER)
 def rate_limit_user(spark, d):
     return records.admitted(_timed(spark, d), 3, 86400)
 
 
-@_query()
+@_query(f"""WITH RECURSIVE {_EVENTS}, o AS (SELECT 0 AS key, event_id, t FROM e), {_admitted_sql('f', 'o', 20, 86400)}, p AS (SELECT e.* FROM e JOIN f USING (event_id) WHERE f.admitted), {_admitted_sql('g', 'p', 2, 86400)}
+SELECT e.key, e.event_id, CASE WHEN NOT f.admitted THEN 'overall' WHEN g.admitted THEN 'admitted' ELSE 'key' END AS verdict FROM e JOIN f USING (event_id) LEFT JOIN g ON g.event_id = e.event_id""")
 def rate_limit_two_level(spark, d):
     return records.admitted_two_level(_timed(spark, d), 2, 20, 86400)
 
@@ -337,7 +350,7 @@ def stream_session(spark, d):
     return S.drained(S.sessions(S.stream_of(spark, f"{d}/events.parquet"), "6 hours")).select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")
 
 
-@_query()
+@_query(_BY_USER)
 def stream_rate_limit(spark, d):
     own = S.stream_of(spark, f"{d}/events.parquet").select(F.col("user_id").alias("key"), (F.unix_micros("ts") / F.lit(1e6)).alias("t"), "event_id")
     return S.drained(S.limited(own, 3, 86400))

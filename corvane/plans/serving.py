@@ -137,7 +137,19 @@ def parse_message(spark, d):
     return V.incoming(table(spark, d, "events").select(_message().alias("value"))).select("event_key", "user_id", "text", "cmd")
 
 
-@query()
+_LAST = "length(h) - strpos(reverse(h), reverse({0})) - length({0}) + 1"
+_STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
+
+
+def _rfind(mark: str) -> str:
+    """Place (from 0) of the last mark in h, -1 without one."""
+    return f"CASE WHEN strpos(h, {mark}) = 0 THEN -1 ELSE {_LAST.format(mark)} END"
+
+
+@query(f"""WITH RECURSIVE r AS (SELECT doc_id, 0 AS part, NULL::VARCHAR AS content, {_STRIP.format("coalesce(text, '')")} AS rest FROM documents UNION ALL
+SELECT doc_id, part + 1, {_STRIP.format("substr(rest, 1, at_)")}, {_STRIP.format("substr(rest, at_ + 1)")} FROM (SELECT *, CASE WHEN length(rest) <= 3900 THEN length(rest) WHEN a >= 1950 THEN a WHEN b >= 1950 THEN b WHEN c >= 1950 THEN c ELSE 3900 END AS at_
+  FROM (SELECT *, {_rfind("chr(10) || chr(10)")} AS a, {_rfind("chr(10)")} AS b, CASE WHEN strpos(h, '. ') = 0 THEN -1 ELSE {_LAST.format("'. '")} + 1 END AS c FROM (SELECT *, substr(rest, 1, 3900) AS h FROM r WHERE rest <> '' OR part = 0))))
+SELECT doc_id, part::BIGINT AS part, content FROM r WHERE part > 0""")
 def message_parts(spark, d):
     return V.messages(table(spark, d, "documents"), "doc_id", "text")
 

@@ -84,6 +84,23 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(uri)
 
 
+#: Bytes of a table from which its rows are spread, if its files make fewer partitions than there are cores.
+LEAST_SPREAD = 4 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table read from files, dealt by its first column if its files make fewer partitions than the cluster has cores.
+
+    Files of one row group are one task. What is dealt anew is at most a partition
+    a core; larger tables are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    plan = df._jdf.queryExecution()
+    if int(plan.optimizedPlan().stats().sizeInBytes()) < LEAST_SPREAD or plan.toRdd().getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, df.columns[0])
+
+
 def fingerprint(spark: SparkSession, uri: str) -> str:
     """Digest of names, lengths and times of the files at ``uri``; it changes when the table does."""
     files, path = _files(spark, uri)
