@@ -34,6 +34,8 @@ SAMPLE, CUTS, LANGUAGES = 2400, 3, 100
 #: Bytes of a training window, of a reading window and of its margins, hidden units of each direction; reading windows are padded to a multiple of STEP.
 LEARN_BYTES, READ_BYTES, MARGIN, UNITS, STEP = 64, 128, 8, 8, 16
 EPOCHS, BATCH, RATE = 8, 128, 0.02
+#: Rows that are ranked for each that is taken, about.
+OVERSAMPLED = 3
 #: Steps of the training at least, however few the rows.
 LEAST_STEPS = 320
 #: Rows whose crc32(doc_id) leaves this remainder by FOLDS are held out.
@@ -230,11 +232,13 @@ def learn(docs: DataFrame, sample: int = SAMPLE, epochs: int = EPOCHS) -> ByteGR
 
     # the sample is chosen by a hash of the identifier, language by language, before any text is cut
     known = open_.where("text IS NOT NULL").select("lang", F.xxhash64("doc_id").alias("h"))
-    spoken = [r["lang"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()]
+    spoken = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
     if not spoken:
         return None
     each = max(1, sample // len(spoken))
-    ranked = known.where(F.col("lang").isin(spoken)).withColumn("nth", F.row_number().over(W.partitionBy("lang").orderBy("h"))).where(F.col("nth") <= each)
+    # hashes are even, so a share of them is about so many rows: few are ranked, whatever the table's size
+    near = F.coalesce(*(F.when(F.col("lang") == r["lang"], F.col("h") <= min(2**63 - 1, int(2**64 * OVERSAMPLED * each / r["n"]) - 2**63)) for r in spoken), F.lit(False))
+    ranked = known.where(near).withColumn("nth", F.row_number().over(W.partitionBy("lang").orderBy("h"))).where(F.col("nth") <= each)
     highest = {r["lang"]: r["h"] for r in ranked.groupBy("lang").agg(F.max("h").alias("h")).collect()}
     wanted = F.coalesce(*(F.when(F.col("lang") == lang, F.xxhash64("doc_id") <= h) for lang, h in highest.items()), F.lit(False))
     # equal identifiers share a hash: at most so many windows are taken, whatever their rows
