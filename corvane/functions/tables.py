@@ -47,12 +47,17 @@ def looks_like_table(text: Column) -> Column:
 
 def from_rows(rows: Column) -> Column:
     """Markdown of array<array<string>>: the first row is the header, short rows are padded."""
-    width = F.array_max(F.transform(rows, lambda r: F.size(r)))
     line = lambda r: F.concat(F.lit("| "), F.array_join(r, " | "), F.lit(" |"))
-    named = lambda r: F.transform(F.sequence(F.lit(0), width - 1), lambda i: F.coalesce(F.get(r, i), F.concat(F.lit("Кол."), (i + 1).cast("string"))))
-    padded = lambda r: F.transform(F.sequence(F.lit(0), width - 1), lambda i: F.coalesce(F.get(r, i), F.lit("")))
-    head = F.array(line(named(F.get(rows, 0))), line(F.array_repeat(F.lit("---"), width)))
-    return F.when(F.size(rows) > 0, F.array_join(F.concat(head, F.transform(F.slice(rows, 2, 1_000_000), lambda r: line(padded(r)))), "\n"))
+    # bound to a variable, so that the width is found once and not for every row
+    bound = F.array(F.struct(F.array_max(F.transform(rows, lambda r: F.size(r))).alias("width"), rows.alias("rows")))
+
+    def made(b):
+        places = lambda fill: lambda r: F.transform(F.sequence(F.lit(0), b["width"] - 1), lambda i: F.coalesce(F.get(r, i), fill(i)))
+        named, padded = places(lambda i: F.concat(F.lit("Кол."), (i + 1).cast("string"))), places(lambda i: F.lit(""))
+        head = F.array(line(named(F.get(b["rows"], 0))), line(F.array_repeat(F.lit("---"), b["width"])))
+        return F.array_join(F.concat(head, F.transform(F.slice(b["rows"], 2, 1_000_000), lambda r: line(padded(r)))), "\n")
+
+    return F.when(F.size(rows) > 0, F.get(F.transform(bound, made), 0))
 
 
 def summary(table: Column) -> Column:
@@ -92,14 +97,20 @@ def pieces(table: Column, longest: int = LONGEST) -> Column:
     rule = F.when(own_rule, second).otherwise(F.concat(F.lit("| "), F.array_join(F.array_repeat(F.lit("---"), F.size(cells(F.get(every, 0)))), " | "), F.lit(" |")))
     head = F.concat(F.get(every, 0), F.lit("\n"), rule)
     data = F.slice(every, F.when(own_rule, 3).otherwise(2), F.lit(1_000_000))
-    start = F.struct(F.expr("cast(array() as array<string>)").alias("done"), F.lit("").alias("now"), F.length(head).alias("size"))
+    # bound to a variable, so that the steps do not split the table again
+    bound = F.array(F.struct(head.alias("head"), F.length(head).alias("n"), data.alias("data")))
 
-    def step(s, x):
-        full = (s["size"] + F.length(x) + 1 > longest) & (s["now"] != "")
-        return F.struct(
-            F.when(full, F.concat(s["done"], F.array(s["now"]))).otherwise(s["done"]).alias("done"),
-            F.when(full, F.concat(F.lit("\n"), x)).otherwise(F.concat(s["now"], F.lit("\n"), x)).alias("now"),
-            F.when(full, F.length(head) + 1 + F.length(x)).otherwise(s["size"] + 1 + F.length(x)).alias("size"))
-
-    parts = F.aggregate(data, start, step, lambda s: F.filter(F.concat(s["done"], F.array(s["now"])), lambda x: x != ""))
-    return F.when(F.length(table) <= longest, F.array(table)).otherwise(F.transform(parts, lambda x: F.concat(head, x)))
+    def cut(b):
+        start = F.struct(F.expr("cast(array() as array<string>)").alias("done"), F.lit("").alias("now"), b["n"].alias("size"))
+
+        def step(s, x):
+            full = (s["size"] + F.length(x) + 1 > longest) & (s["now"] != "")
+            return F.struct(
+                F.when(full, F.concat(s["done"], F.array(s["now"]))).otherwise(s["done"]).alias("done"),
+                F.when(full, F.concat(F.lit("\n"), x)).otherwise(F.concat(s["now"], F.lit("\n"), x)).alias("now"),
+                F.when(full, b["n"] + 1 + F.length(x)).otherwise(s["size"] + 1 + F.length(x)).alias("size"))
+
+        parts = F.aggregate(b["data"], start, step, lambda s: F.filter(F.concat(s["done"], F.array(s["now"])), lambda x: x != ""))
+        return F.transform(parts, lambda x: F.concat(b["head"], x))
+
+    return F.when(F.length(table) <= longest, F.array(table)).otherwise(F.flatten(F.transform(bound, cut)))

@@ -32,7 +32,7 @@ from corvane.operators.scoring import _arrow, best_of, query_blocks, ranked
 
 K1, B, FLOOR = 1.2, 0.75, 1e-6
 #: Results of a query, term buckets, postings of a block of documents, about, queries that are searched together, entries of a dense matrix.
-LEXICAL_K, BUCKETS, BLOCK, QUERIES, ENTRIES = 10, 64, 1 << 20, 256, 1 << 22
+LEXICAL_K, BUCKETS, BLOCK, QUERIES, ENTRIES = 10, 16, 1 << 20, 256, 1 << 22
 
 
 def postings(docs: DataFrame, key: str, text: str, lemmas: dict[str, str] | None = None) -> DataFrame:

@@ -11,7 +11,7 @@ from corvane.operators import answering, bundle, chunking, indexes, rebuild, rec
 from corvane.operators.postings import LexicalIndex
 from corvane.plans.base import query, table
 from corvane.sources import files, jsonl, pages
-from corvane.storage import work_folder
+from corvane.storage import settle, work_folder
 
 
 def _quoted(words) -> str:
@@ -174,8 +174,9 @@ def rebuild_dedup(spark, d):
 
 @query(f"WITH {_KEPT} SELECT (SELECT count(*) FROM part) AS records_in, (SELECT count(*) FROM part WHERE p_partkey % 6 = 4) AS skipped_noise, (SELECT count(*) FROM part WHERE p_partkey % 6 = 0) AS fixed_prefix, (SELECT count(*) FROM part WHERE p_partkey % 6 = 3) AS reclassified_formula, (SELECT count(*) FROM clean WHERE k = 5 OR (k = 1 AND NOT useful)) AS downgraded_table, (SELECT count(*) FROM r WHERE page = 0) AS page_zero, (SELECT count(*) FROM r WHERE model <> raw_model) AS fixed_model, count(*) AS kept, sum(copies - 1)::BIGINT AS deduplicated, count(*) FILTER (kind2 = 'table') AS tables, count(*) FILTER (model = 'B') AS of_b FROM best WHERE rn = 1")
 def rebuild_report(spark, d):
-    rows = rebuild.repaired(_record_rows(spark, d), STRONG, WEAK)
-    out = rebuild.report(rows, _rebuilt(spark, d))
+    rows = settle(rebuild.repaired(_record_rows(spark, d), STRONG, WEAK), "records")
+    kept = settle(rebuild.deduplicated(rows.withColumn("file_no", F.lit(1)).withColumn("line_no", F.col("p_partkey")), rebuild.place_of()), "kept")
+    out = rebuild.report(rows, kept)
     return out.select("records_in", "skipped_noise", "fixed_prefix", "reclassified_formula", "downgraded_table", "page_zero", "fixed_model", "kept", "deduplicated", F.coalesce(F.try_element_at("by_type", F.lit("table")), F.lit(0)).alias("tables"), F.coalesce(F.try_element_at("by_model", F.lit("B")), F.lit(0)).alias("of_b"))
 
 

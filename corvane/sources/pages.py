@@ -73,7 +73,8 @@ def elements(pages: DataFrame, recognise: Callable[[Column], Column] | None = No
     own = own.withColumn("scan", is_scan(F.col("plain"), F.col("images"), F.col("width"), F.col("height"))).withColumn("headings", F.when(~F.col("scan"), E.headings(F.col("plain"))))
     largest = F.get(F.sort_array(F.transform("images", lambda i: F.struct((i["width"] * i["height"]).alias("area"), i["data"].alias("data"))), asc=False), 0)["data"]
     own = own.withColumn("read", recognise(F.when(F.col("scan"), largest)) if recognise else F.lit(None).cast("string"))
-    own = own.withColumn("read", repair.normalized(F.col("read")))
+    # columns of their own, so that each is worked out once
+    own = own.withColumn("read", repair.normalized(F.col("read"))).withColumn("clean", repair.deep_clean(F.when(~F.col("scan"), F.col("plain")), costs))
     caption = E.figure_caption(F.col("plain"))
     scanned = F.when(F.length("read") >= LEAST_RECOGNISED, F.array(_element("text", repair.deep_clean(F.col("read"), costs), ocr=F.lit(True))))
     titles = F.transform(F.slice("headings", 1, HEADINGS), lambda h: _element("heading", h))
@@ -81,8 +82,7 @@ def elements(pages: DataFrame, recognise: Callable[[Column], Column] | None = No
     maths = F.transform(E.formulas(F.col("plain")), lambda f: _element("formula", f["content"], formula_type=f["formula_type"]))
     numbered = F.transform("images", lambda i, n: F.struct(i.alias("i"), n.alias("n")))
     pictures = F.transform(F.filter(numbered, lambda x: is_large(x["i"]["width"], x["i"]["height"])), lambda x: _element("figure", F.when(caption != "", caption).otherwise(F.concat(F.lit("Изображение "), (x["n"] + 1).cast("string"))), image_path=x["i"]["path"]))
-    clean = repair.deep_clean(F.col("plain"), costs)
-    body = F.when(F.length(clean) >= LEAST_TEXT, F.array(_element("text", clean))).otherwise(F.array().cast("array<struct<element_type: string, content: string, image_path: string, formula_type: string, num_rows: bigint, num_cols: bigint, ocr: boolean>>"))
+    body = F.when(F.length("clean") >= LEAST_TEXT, F.array(_element("text", F.col("clean")))).otherwise(F.array().cast("array<struct<element_type: string, content: string, image_path: string, formula_type: string, num_rows: bigint, num_cols: bigint, ocr: boolean>>"))
     found = F.when(F.col("scan"), scanned).otherwise(F.concat(titles, grids, maths, pictures, body))
     headed = own.withColumn("own_heading", F.get("headings", 0)).select("source", "page", "own_heading", F.posexplode(found).alias("n", "e"))
     # the heading of an earlier page: one row a page is enough to carry it
