@@ -57,8 +57,8 @@ GATHER = 1 << 21
 BLOCK_ENTRIES = 1 << 21
 #: Bits of the filter that spares shuffling sets that no pair needs: so many for each wanted set, at least and at most (as powers of two); beyond that, more sets pass.
 FILTER_SHARE, FILTER_LEAST, FILTER_MOST = 16, 20, 28
-#: Entries of a tile of a label, and classes on one side of a matrix that a worker makes.
-TILE_ENTRIES, SIDE = 1 << 20, 512
+#: Entries of a tile of a label: a 64th of the label's, but within these bounds; and classes on one side of a matrix that a worker makes.
+LEAST_TILE, TILE_ENTRIES, TILES, SIDE = 1 << 16, 1 << 20, 64, 512
 
 _U = np.uint64
 _PERM = np.random.default_rng(7).integers(1, 2**63, (2 * BANDS, 2), dtype=_U) * _U(2) + _U(1)
@@ -456,8 +456,8 @@ def _inside(docs: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame
     """(node, links): the rows that each class links to among the classes of its label."""
     spark = docs.sparkSession
     own = classes.select("node", "doc_id", "n", "n_copies").join(labels.hint("merge"), "node")
-    sums = own.groupBy("label").agg(F.sum("n").alias("entries")).withColumn("tiles", F.ceil(F.col("entries") / TILE_ENTRIES))
-    packs = -(-(sums.agg(F.sum("entries")).first()[0] or 0) // TILE_ENTRIES) + 1
+    sums = own.groupBy("label").agg(F.sum("n").alias("entries")).withColumn("tiles", F.ceil(F.col("entries") / F.least(F.greatest(F.col("entries") / TILES, F.lit(LEAST_TILE)), F.lit(TILE_ENTRIES))))
+    packs = -(-(sums.agg(F.sum("entries")).first()[0] or 0) // LEAST_TILE) + 1
     bits = spark.sparkContext.broadcast(_filter_bits(own.mapInArrow(_codes, "h long"), labels.count()))
     sets = docs.select("doc_id", "text").mapInArrow(_sets(bits), "node long, n long, items binary").dropDuplicates(["node"]).select("node", "items")
     tiled = own.join(sums.hint("merge"), "label").withColumn("tile", F.pmod(F.xxhash64("node"), "tiles")).select("node", "n_copies", "label", "tiles", "tile")
