@@ -597,10 +597,10 @@ def test_decontamination_recall_by_length():
 
 def test_short_unspaced_and_nameless_items(spark):
     items = spark.createDataFrame([(1, "to be or"), (2, "今日は天気がいいので散歩に行きます"), (None, "alpha beta gamma delta epsilon zeta eta theta"), (-1, "no such words"), (3, ""), (4, None)], "item_id long, text string")
-    texts = ["Here: To be, or not!", "to be and or", "彼は言った。今日は天気がいいので散歩に行きます。それから", "ALPHA beta gamma delta x epsilon zeta eta theta", "", None]
+    texts = ["Here: To be, or not!", "to be and or", "彼は言った。今日は天気がいいので散歩に行きます。それから", "ALPHA beta gamma, delta epsilon zeta eta theta.", "", None]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {(r["doc_id"], r["item_id"], r["first_word"], r["n_words"], r["edits"]) for r in decontam.contaminated(docs, items).collect()}
-    assert got == {(0, 1, 1, 3, 0), (2, 2, 4, 17, 0), (3, None, 0, 9, 1)}
+    assert got == {(0, 1, 1, 3, 0), (2, 2, 6, 17, 0), (3, None, 0, 8, 0)}
     assert sorted(r["doc_id"] for r in decontam.clean_documents(docs, items).collect()) == [1, 4, 5]
 
 
