@@ -318,7 +318,7 @@ def stream_dedup(spark, d):
 @_query("""WITH m AS (SELECT conv_id, turn, role, text, row_number() OVER w AS n, array_to_string(list(role || ':' || length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), ' ') AS held FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
 SELECT conv_id, turn, least(n, 5) AS n_held, held FROM m""")
 def stream_memory(spark, d):
-    own = spark.readStream.schema(_t(spark, d, "conversations").schema).option("pathGlobFilter", "conversations.parquet").parquet(d)
+    own = S.table_stream(spark, f"{d}/conversations.parquet")
     told = own.select(F.col("conv_id").alias("key"), F.col("turn").cast("double").alias("t"), F.col("turn").alias("event_id"), F.lit("add").alias("op"), "role", F.col("text").alias("content"))
     out = S.drained(S.conversations(told))
     shown = F.transform("history", lambda h: F.concat(h["role"], F.lit(":"), F.length(h["content"]).cast("string")))

@@ -11,14 +11,21 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from corvane.storage import work_folder
+from corvane.storage import is_folder, work_folder
 
 
-def stream_of(spark: SparkSession, path: str) -> DataFrame:
-    schema = spark.read.parquet(path).schema
+def table_stream(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of a table as a stream; the table is one file or a folder of files."""
+    own = spark.readStream.schema(spark.read.parquet(path).schema)
+    if is_folder(spark, path):
+        return own.parquet(path)
+    # a stream reads folders only: a single file is picked out of its own
     folder, _, name = path.rpartition("/")
-    own = spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
-    return own.withColumn("ts", F.col("ts").cast("timestamp"))
+    return own.option("pathGlobFilter", name).parquet(folder)
+
+
+def stream_of(spark: SparkSession, path: str) -> DataFrame:
+    return table_stream(spark, path).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def drained(stream: DataFrame, mode: str = "append", partition: str | None = None) -> DataFrame:

@@ -13,6 +13,7 @@ from corvane.api import Service
 from corvane.engine import Engine, Settings
 from corvane.functions import chat, paths
 from corvane.operators import answering, bundle, indexes, models, ordered, postings, records, retrieval as R, serving
+from corvane.plans import registry
 from corvane.sources import pages
 from corvane.streaming import events as S, longpoll
 
@@ -285,6 +286,17 @@ def test_conversation_memory(spark, tmp_path):
     assert got[3] == ["m1", "m2", "m3"] and got[4] == got[5] == [] and got[11] == ["m9", "m10", "m11"] and got[100] == ["x"]
 
 
+def test_streams_of_files_and_folders(spark, tmp_path):
+    path, data = tmp_path / "conversations.parquet", "/root/testdata/sf0.001"
+    spark.read.parquet(f"{data}/conversations.parquet").repartition(3).write.parquet(str(path))
+    ask = registry.queries()["stream_memory"]
+    of_file, of_folder = (sorted(map(tuple, ask(spark, d).collect())) for d in (data, str(tmp_path)))
+    assert len(of_file) == 87 and of_folder == of_file
+    events = tmp_path / "events.parquet"
+    spark.createDataFrame([(1, "2024-01-01 00:00:00", "x")], "event_id long, ts string, day string").write.partitionBy("day").parquet(str(events))
+    assert [(r["event_id"], r["day"]) for r in S.drained(S.stream_of(spark, str(events))).collect()] == [(1, "x")]
+
+
 def test_sending(spark):
     rows = spark.createDataFrame([("a", 1, "ok"), ("a", 2, "retry"), ("b", 1, "bad"), ("b", 2, "boom")], "key string, part int, content string")
 
