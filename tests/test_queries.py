@@ -29,6 +29,21 @@ def test_query_matches_sql(spark, duck, name):
     assert rows(registry.queries()[name](spark, DATA).toPandas()) == rows(duck.sql(registry.oracle_sql()[name]).df())
 
 
+def matches_sql(spark, folder, name, table, rows, schema):
+    """A query against its SQL over a table of odd rows."""
+    spark.createDataFrame(rows, schema).write.parquet(f"{folder}/{table}.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet/*.parquet'")
+    got = sorted(map(repr, map(tuple, registry.queries()[name](spark, str(folder)).collect())))
+    assert got == sorted(map(repr, con.sql(registry.oracle_sql()[name]).fetchall()))
+
+
+def test_mentions_at_line_ends(spark, tmp_path):
+    texts = ["Twenty-nine characters it has.\n", "one\n", " one \n ", "\tone\t", "\n one", "one\r\n", "one \u2028", "\u00a0one\u00a0", "", " ", "\n", None]
+    rows = [(conv, turn, "user", t) for conv in (1, 2) for k, t in enumerate(texts) for turn in range(3 * k, 3 * k + 3)]
+    matches_sql(spark, tmp_path, "mention_strip", "conversations", rows, "conv_id long, turn long, role string, text string")
+
+
 def test_rate_limit_counts_only_admitted(spark):
     events = spark.createDataFrame([("a", float(t), k) for k, t in enumerate((0, 1, 2, 60, 61, 62))], "key string, t double, event_id long")
     got = {r["event_id"]: r["admitted"] for r in records.admitted(events, 2, 60).collect()}
