@@ -25,15 +25,19 @@ def replaced(text: Column, rules=REPLACEMENTS) -> Column:
 
 def fix_homoglyphs(text: Column) -> Column:
     """Words of both scripts in one script: Cyrillic if at least half of their letters are."""
-    parts = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("[а-яёА-ЯЁA-Za-z]+|[^а-яёА-ЯЁA-Za-z]+"), F.lit(0))
-
     def fixed(w):
         n_cyrillic = F.length(F.regexp_replace(w, r"[^\x{0400}-\x{04FF}]", ""))
         mixed = w.rlike("[а-яёА-ЯЁ]") & w.rlike("[A-Za-z]")
         mostly = n_cyrillic >= F.greatest(F.lit(1), F.floor(F.length(w) / 2))
         return F.when(mixed & mostly, F.translate(w, LATIN, AS_CYRILLIC)).when(mixed, F.translate(w, CYRILLIC, AS_LATIN)).otherwise(w)
 
-    return F.array_join(F.transform(parts, fixed), "")
+    def own(t):
+        parts = F.regexp_extract_all(t, F.lit("[а-яёА-ЯЁA-Za-z]+|[^а-яёА-ЯЁA-Za-z]+"), F.lit(0))
+        # a word of both scripts has a place where they meet; texts without one are not taken apart
+        return F.when(t.rlike("[а-яёА-ЯЁ][A-Za-z]|[A-Za-z][а-яёА-ЯЁ]"), F.array_join(F.transform(parts, fixed), "")).otherwise(t)
+
+    # an array of one: what comes before is worked out once
+    return F.get(F.transform(F.array(F.coalesce(text, F.lit(""))), own), F.lit(0))
 
 
 def light(text: Column, rules=REPLACEMENTS) -> Column:
@@ -46,7 +50,7 @@ def normalized(text: Column, rules=REPLACEMENTS) -> Column:
     out = F.regexp_replace(out, r"<[^<>\n]{1,80}>", " ")
     out = X.clean(light(out, rules))
     out = F.regexp_replace(F.regexp_replace(out, " {2,}", " "), r"\n{3,}", "\n\n")
-    return F.regexp_replace(out, r"^\s+|\s+$", "")
+    return F.regexp_replace(out, r"^\s+|\s+\z", "")
 
 
 def segment(token: str, costs: dict[str, float]) -> list[str] | None:
@@ -79,7 +83,7 @@ def split_glued(text: Column, costs: dict[str, float]) -> Column:
     return F.when(text.rlike(LONG_RUN.pattern), apply(text)).otherwise(text)
 
 
-def deep_clean(text: Column, costs: dict[str, float] | None = None) -> Column:
+def deep_clean(text: Column, costs: dict[str, float] | None = None, rules=REPLACEMENTS) -> Column:
     """Normalised text without garbage lines; glued words are cut if a dictionary is given."""
-    out = F.array_join(F.filter(F.split(normalized(text), "\n"), lambda x: ~X.is_garbage_line(x)), "\n")
+    out = F.array_join(F.filter(F.split(normalized(text, rules), "\n"), lambda x: ~X.is_garbage_line(x)), "\n")
     return split_glued(out, costs) if costs else out

@@ -78,7 +78,7 @@ def clean(text: Column) -> Column:
     out = F.regexp_replace(out, r"[ \t]+", " ")
     out = F.regexp_replace(out, NOT_KEPT, "")
     out = F.array_join(F.transform(F.split(out, "\n"), lambda x: F.trim(x)), "\n")
-    return F.regexp_replace(F.regexp_replace(out, r"^\n+", ""), r"\n+$", "")
+    return F.regexp_replace(F.regexp_replace(out, r"^\n+", ""), r"\n+\z", "")
 
 
 def letters(text: Column) -> Column:
@@ -107,14 +107,18 @@ def is_garbage_line(line: Column) -> Column:
     """Recognition garbage: many very short words, or short words with few vowels. Table rows are exempt."""
     t = F.trim(F.coalesce(line, F.lit("")))
     count = lambda pattern: F.regexp_count(t, F.lit(pattern))
-    # words are runs without blanks that hold a letter; all counts are of matches, without a step per word
-    n = count(r"\S*?\p{L}\S*")
-    short = count(r"(?<!\S)(?:\p{L}\S?|[^\s\p{L}]\p{L})(?!\S)") / n
-    average = F.length(F.regexp_replace(t, r"(?<!\S)[^\p{L}\s]+(?!\S)|\s+", "")) / n
-    vowels = F.regexp_count(F.lower(t), F.lit("[аеёиоуыэюяaeiouy]")) / count(r"\p{L}")
-    bad = ((short >= 0.55) & (average <= 3.2)) | ((average <= 2.6) & (vowels < 0.30))
-    # cheap tests first: a line that fails one is not measured further
-    return F.when(t.startswith("|") | (F.length(t) < 12), False).when(count(r"\p{L}") < 12, False).when(n < 6, False).otherwise(bad)
+    once = lambda column, then: F.get(F.transform(F.array(column), then), F.lit(0))  # noqa: E731  an array of one: its value is worked out once
+
+    def bad(n_letters, n):
+        short = count(r"(?<!\S)(?:\p{L}\S?|[^\s\p{L}]\p{L})(?!\S)") / n
+        average = F.length(F.regexp_replace(t, r"(?<!\S)[^\p{L}\s]+(?!\S)|\s+", "")) / n
+        vowels = F.regexp_count(F.lower(t), F.lit("[аеёиоуыэюяaeiouy]")) / n_letters
+        return ((average <= 3.2) & (short >= 0.55)) | ((average <= 2.6) & (vowels < 0.30))
+
+    # cheap tests first: a line that fails one is not measured further; words are runs without blanks that hold a letter, counted without a step per word
+    worded = lambda n_letters: once(count(r"\S*?\p{L}\S*"), lambda n: F.when(n < 6, False).otherwise(bad(n_letters, n)))
+    lettered = once(count(r"\p{L}"), lambda n: F.when(n < 12, False).otherwise(worded(n)))
+    return F.when(t.startswith("|") | (F.length(t) < 12), False).otherwise(lettered)
 
 
 def with_prefix(text: Column, prefix: str) -> Column:

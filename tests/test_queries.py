@@ -44,6 +44,14 @@ def test_mentions_at_line_ends(spark, tmp_path):
     matches_sql(spark, tmp_path, "mention_strip", "conversations", rows, "conv_id long, turn long, role string, text string")
 
 
+#: Texts whose replacements touch, or that end at separators other than a line end.
+DAMAGED = ("No No No No", "x No\nNo No. No.5", "N° 5, N°5 No²", "toto toto toto", "²toto", "БЮЛЛЕТЕНЬ]БЮЛЛЕТЕНЬ] бюллетенb", "установяичный Установяич", "1l2l3O4 сенсорнь!й сенсорнь|й", "one \u2028", "one\n\u2028", "", "\n", None)
+
+
+def test_touching_replacements_in_deep_clean(spark, tmp_path):
+    matches_sql(spark, tmp_path, "deep_clean", "documents", list(enumerate(DAMAGED)), "doc_id long, text string")
+
+
 def test_rate_limit_counts_only_admitted(spark):
     events = spark.createDataFrame([("a", float(t), k) for k, t in enumerate((0, 1, 2, 60, 61, 62))], "key string, t double, event_id long")
     got = {r["event_id"]: r["admitted"] for r in records.admitted(events, 2, 60).collect()}
